@@ -57,7 +57,7 @@ def date_to_epoch(date: Column | str,
     denote an instant already.
     """
     d = _col(date)
-    candidates = [F.unix_date(F.try_to_date(d, F.lit(fmt))).cast("double") * SECONDS_PER_DAY
+    candidates = [F.unix_date(F.try_to_date(d, fmt)).cast("double") * SECONDS_PER_DAY
                   for fmt in day_formats]
     candidates += [F.unix_micros(F.try_to_timestamp(d, F.lit(fmt))).cast("double") / 1e6
                    for fmt in time_formats]

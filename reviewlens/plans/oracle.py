@@ -135,3 +135,153 @@ ORACLE_SQL["sentiment_labels"] = with_fact(
 ORACLE_SQL["last_write_wins"] = """
 SELECT event_id, ts, user_id, event_type, value, props FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""
+
+
+# -- input side -------------------------------------------------------------------
+
+def _fmt_price(n: str) -> str:
+    return f"format('{{:,.2f}}', {n})"
+
+
+RAW_ITEMS = f"""raw0 AS (
+  SELECT p_partkey AS _key, CAST(p_partkey AS VARCHAR) AS asin, p_name AS title,
+    CASE WHEN p_partkey % 97 = 96 THEN NULL ELSE p_brand END AS brand,
+    CASE WHEN p_partkey % 53 = 0 THEN 'Gift Cards' ELSE p_type END AS main_cat,
+    CASE p_partkey % 8
+      WHEN 0 THEN '$' || {_fmt_price('p_retailprice')}
+      WHEN 1 THEN 'from $' || {_fmt_price('p_retailprice')}
+      WHEN 2 THEN '$1,' || {_fmt_price('p_retailprice')}
+      WHEN 3 THEN NULL WHEN 4 THEN '' WHEN 5 THEN '$1.00 - $2.00' WHEN 6 THEN '.99'
+      ELSE 'N/A' END AS price,
+    p_type AS cat0, p_brand AS cat1,
+    'About ' || p_name AS description,
+    CASE p_partkey % 4
+      WHEN 0 THEN strftime(DATE '2013-01-01' + CAST(p_partkey % 365 AS INTEGER), '%B %-d, %Y')
+      WHEN 1 THEN strftime(DATE '2013-01-01' + CAST(p_partkey % 365 AS INTEGER), '%-m/%-d/%Y')
+      WHEN 2 THEN NULL ELSE 'n/a' END AS date,
+    CASE p_partkey % 4
+      WHEN 0 THEN '>#' || format('{{:,}}', p_size * 1000 + p_partkey) || ' in Things (See top 100)'
+      WHEN 1 THEN NULL WHEN 2 THEN 'unranked'
+      ELSE '[">#' || format('{{:,}}', p_size * 1000 + p_partkey) || ' in X"]' END AS rank
+  FROM part),
+raw AS (SELECT * FROM raw0 UNION ALL SELECT * FROM raw0 WHERE _key % 50 = 0)"""
+
+ITEM_FILTER = ("asin IS NOT NULL AND title IS NOT NULL AND main_cat IS NOT NULL AND brand IS NOT NULL "
+               "AND main_cat NOT IN ('Grocery', 'Pet Supplies', 'Baby', 'Books', "
+               "'Appstore for Android', 'Gift Cards')")
+
+PRICE = (r"COALESCE(TRY_CAST(replace(regexp_extract(price, "
+         r"'^[^\p{Nd}]*(\d[\d,]*(?:\.\d*)?(?:[eE][+-]?\d+)?)\s*$', 1), ',', '') AS FLOAT), "
+         r"CAST(-1 AS FLOAT))")
+RANK = (r"COALESCE(TRY_CAST(replace(regexp_extract(rank, '\p{Nd}+(,\p{Nd}+)*', 0), ',', '') "
+        r"AS BIGINT), CAST(-1 AS BIGINT))")
+DATE = ("COALESCE("
+        "CAST(epoch(try_strptime(date, '%B %-d, %Y')) AS DOUBLE), "
+        "CAST(epoch(try_strptime(date, '%b %-d, %Y')) AS DOUBLE), "
+        "CAST(epoch(try_strptime(date, '%-m/%-d/%Y')) AS DOUBLE), "
+        "CAST(epoch(try_strptime(date, '%Y-%m-%d')) AS DOUBLE), "
+        "CAST(epoch(try_strptime(date, '%Y-%m-%dT%H:%M:%S%z')) AS DOUBLE), "
+        "CAST(-1 AS DOUBLE))")
+
+ORACLE_SQL["metadata_filter"] = f"""WITH {RAW_ITEMS}
+SELECT asin, title, brand, main_cat FROM raw WHERE {ITEM_FILTER}"""
+ORACLE_SQL["price_clean"] = f"WITH {RAW_ITEMS}\nSELECT asin, price AS price_text, {PRICE} AS price FROM raw"
+ORACLE_SQL["date_clean"] = f"WITH {RAW_ITEMS}\nSELECT asin, date AS date_text, {DATE} AS unixTime FROM raw"
+ORACLE_SQL["rank_clean"] = f"WITH {RAW_ITEMS}\nSELECT asin, rank AS rank_text, {RANK} AS rank FROM raw"
+ORACLE_SQL["metadata_clean"] = f"""WITH {RAW_ITEMS}
+SELECT asin, title, brand, main_cat, description, {PRICE} AS price, {DATE} AS unixTime, {RANK} AS rank
+FROM raw WHERE {ITEM_FILTER}"""
+
+CLEAN_RAW = f"clean AS (SELECT * FROM raw WHERE {ITEM_FILTER})"
+ORACLE_SQL["reviews_known_items"] = f"""WITH {RAW_ITEMS},\n{CLEAN_RAW},\n{REVIEWS}
+SELECT r.rid, r.asin, r.unix_time, r.doc_id FROM reviews r
+JOIN (SELECT asin AS id FROM clean) ids ON r.asin = ids.id"""
+ORACLE_SQL["reviews_known_items_semi"] = f"""WITH {RAW_ITEMS},\n{CLEAN_RAW},\n{REVIEWS}
+SELECT r.rid, r.asin, r.unix_time, r.doc_id FROM reviews r WHERE r.asin IN (SELECT asin FROM clean)"""
+ORACLE_SQL["reviews_clean"] = "WITH " + REVIEWS.replace(
+    "AND dc.text IS NOT NULL)",
+    "AND dc.text IS NOT NULL AND (l.l_orderkey * 7 + l.l_linenumber) % 13 <> 0)") + """
+SELECT rid, asin, unix_time, doc_id FROM reviews"""
+ORACLE_SQL["load_counts"] = f"""WITH {RAW_ITEMS},\n{CLEAN_RAW},\n{REVIEWS}
+SELECT (SELECT COUNT(*) FROM clean) AS metadata_count,
+       (SELECT COUNT(*) FROM reviews r JOIN (SELECT asin AS id FROM clean) ids ON r.asin = ids.id)
+         AS review_count"""
+
+ORACLE_SQL["metadata_scan"] = f"""WITH {RAW_ITEMS}
+SELECT
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE asin END AS asin,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE title END AS title,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE brand END AS brand,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE main_cat END AS main_cat,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE price END AS price,
+  CASE WHEN _key % 250 = 125 OR _key % 10 = 9 THEN NULL ELSE cat0 || '|' || cat1 END AS category,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE description END AS description,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE '' END AS image,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE date END AS date,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE rank END AS rank
+FROM raw"""
+
+ORACLE_SQL["review_scan"] = "WITH " + REVIEWS.replace("AND dc.text IS NOT NULL)", ")") + """
+SELECT rid AS reviewerID, asin, unix_time AS unixReviewTime, sha256(review_text) AS review_text_sha256
+FROM reviews"""
+
+ORACLE_SQL["training_tsv_scan"] = r"""
+SELECT sha256(trim(regexp_replace(d.text, '\s+', ' ', 'g'))) AS text_sha256,
+       (lb.quality = 1) AS sentiment
+FROM documents d JOIN labels lb ON lb.doc_id = d.doc_id"""
+
+ORACLE_SQL["sample_first_lines"] = f"""WITH {RAW_ITEMS},
+lines AS (SELECT *, row_number() OVER (ORDER BY _key) AS line_no FROM raw)
+SELECT
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE asin END AS asin,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE title END AS title,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE brand END AS brand,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE main_cat END AS main_cat,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE price END AS price,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE date END AS date,
+  CASE WHEN _key % 250 = 125 THEN NULL ELSE rank END AS rank
+FROM lines WHERE line_no <= 1000 AND _key % 100 <> 42"""
+
+ORACLE_SQL["sample_reserialized"] = "WITH " + REVIEWS.replace(
+    "dc.text AS review_text, dc.doc_id,",
+    "dc.text AS review_text, dc.doc_id, l.l_orderkey, l.l_linenumber,"
+).replace("AND dc.text IS NOT NULL)", ")") + """,
+lines AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS line_no FROM reviews)
+SELECT rid AS reviewerID, asin,
+       CASE WHEN (l_orderkey * 7 + l_linenumber) % 17 = 0 THEN CAST(0 AS BIGINT) ELSE unix_time END
+         AS unixReviewTime,
+       CAST(NULL AS VARCHAR) AS summary, sha256(review_text) AS review_text_sha256
+FROM lines WHERE line_no <= 1000"""
+
+ORACLE_SQL["report_replace"] = ORACLE_SQL["category_sentiment"]
+ORACLE_SQL["report_readback"] = ORACLE_SQL["top_brands_by_sentiment"]
+
+
+def _key_check(name: str, relation: str, keys: list[str]) -> str:
+    null_test = " OR ".join(f"{k} IS NULL" for k in keys)
+    key_list = ", ".join(keys)
+    return (f"SELECT '{name}' AS report, CAST(COALESCE(SUM(c), 0) AS BIGINT) AS rows, "
+            f"CAST(COALESCE(SUM(CASE WHEN {null_test} THEN c END), 0) AS BIGINT) AS null_keys, "
+            f"CAST(COALESCE(SUM(c - 1), 0) AS BIGINT) AS duplicate_keys "
+            f"FROM (SELECT {key_list}, COUNT(*) AS c FROM {relation} GROUP BY {key_list})")
+
+
+ORACLE_SQL["report_key_check"] = with_fact(",\n".join([
+    REPORTS["category_report"], REPORTS["brand_report"], REPORTS["product_report"],
+    f"""by_year AS (
+  SELECT brand, {CALENDAR_YEAR} AS year FROM fact
+  WHERE brand IN (SELECT brand FROM brand_report
+                  ORDER BY sentiment_rank DESC, review_count ASC, brand LIMIT 10)
+  GROUP BY brand, {CALENDAR_YEAR})""",
+    f"""product_keyed AS (
+  SELECT sha256(concat_ws(chr(1), title, brand)) AS id FROM (SELECT DISTINCT * FROM ({_UNION})))""",
+    CATEGORY_DEMAND,
+    BRAND_DEMAND.lstrip(",\n").strip(),
+]) + "\n" + "\nUNION ALL\n".join([
+    _key_check("category_sentiment", "category_report", ["main_cat"]),
+    _key_check("brand_sentiment", "brand_report", ["brand"]),
+    _key_check("brand_sentiment_by_year", "by_year", ["brand", "year"]),
+    _key_check("product_sentiment", "product_keyed", ["id"]),
+    _key_check("category_demand", "category_demand", ["main_cat", "month"]),
+    _key_check("brand_demand", "brand_demand", ["brand", "month"]),
+]))

@@ -10,160 +10,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.operators import reports as R
-from reviewlens.plans import inputs as I
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# A category slice needs one concrete value; this one exists at every scale.
-SLICE_CATEGORY = "STANDARD"
-
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
 
 
-# -- category ---------------------------------------------------------------
-
-@query
-def category_sentiment(spark, sf_dir):
-    return R.category_sentiment(I.fact(spark, sf_dir))
-
-
-@query
-def category_sentiment_ranked(spark, sf_dir):
-    return R.category_sentiment_ranked(I.fact(spark, sf_dir))
-
-
-# -- brand ------------------------------------------------------------------
-
-@query
-def brand_sentiment(spark, sf_dir):
-    return I.brand_report(spark, sf_dir)
-
-
-@query
-def brands_most_popular(spark, sf_dir):
-    return R.brand_ranking(I.brand_report(spark, sf_dir), "most_popular")
-
-
-@query
-def brands_best_sentiment(spark, sf_dir):
-    return R.brand_ranking(I.brand_report(spark, sf_dir), "best_sentiment")
-
-
-@query
-def brands_least_popular(spark, sf_dir):
-    return R.brand_ranking(I.brand_report(spark, sf_dir), "least_popular")
-
-
-@query
-def brands_worst_sentiment(spark, sf_dir):
-    return R.brand_ranking(I.brand_report(spark, sf_dir), "worst_sentiment")
-
-
-@query
-def top_brands_by_sentiment(spark, sf_dir):
-    return R.top_brands_by_sentiment(I.brand_report(spark, sf_dir))
-
-
-@query
-def top_brands_by_reviews(spark, sf_dir):
-    return R.top_brands_by_reviews(I.brand_report(spark, sf_dir))
-
-
-@query
-def brand_sentiment_by_year(spark, sf_dir):
-    fact = I.fact(spark, sf_dir)
-    return R.brand_sentiment_by_year(fact, R.brand_sentiment(fact), year_mode="calendar")
-
-
-@query
-def brand_sentiment_by_week_year(spark, sf_dir):
-    fact = I.fact(spark, sf_dir)
-    return R.brand_sentiment_by_year(fact, R.brand_sentiment(fact), year_mode="week")
-
-
-# -- product ----------------------------------------------------------------
-
-@query
-def product_sentiment(spark, sf_dir):
-    return I.product_report_base(spark, sf_dir)
-
-
-@query
-def products_most_popular(spark, sf_dir):
-    return R.product_ranking(I.product_report_base(spark, sf_dir), "most_popular")
-
-
-@query
-def products_best_sentiment(spark, sf_dir):
-    return R.product_ranking(I.product_report_base(spark, sf_dir), "best_sentiment")
-
-
-@query
-def products_least_popular(spark, sf_dir):
-    return R.product_ranking(I.product_report_base(spark, sf_dir), "least_popular")
-
-
-@query
-def products_worst_sentiment(spark, sf_dir):
-    return R.product_ranking(I.product_report_base(spark, sf_dir), "worst_sentiment")
-
-
-@query
-def product_report(spark, sf_dir):
-    return R.product_report(I.product_report_base(spark, sf_dir))
-
-
-@query
-def product_report_keyed(spark, sf_dir):
-    return R.product_report_keyed(I.product_report_base(spark, sf_dir))
-
-
-# -- demand -----------------------------------------------------------------
-
-@query
-def category_demand(spark, sf_dir):
-    return R.category_demand(I.fact(spark, sf_dir))
-
-
-@query
-def category_demand_for(spark, sf_dir):
-    return R.category_demand_for(R.category_demand(I.fact(spark, sf_dir)), SLICE_CATEGORY)
-
-
-@query
-def demand_categories(spark, sf_dir):
-    return R.demand_categories(R.category_demand(I.fact(spark, sf_dir)))
-
-
-@query
-def brand_demand(spark, sf_dir):
-    fact = I.fact(spark, sf_dir)
-    return R.brand_demand(fact, R.brand_sentiment(fact))
-
-
-@query
-def brand_demand_for(spark, sf_dir):
-    """The slice of the brand-demand report for the brand with most reviews
-    (the application prints one such slice per top brand)."""
-    fact = I.fact(spark, sf_dir)
-    report = R.brand_sentiment(fact)
-    return R.brand_demand_for(R.brand_demand(fact, report), R.top_brands_by_reviews(report, 1))
-
-
-# -- providers and keep-last -------------------------------------------------
-
-@query
-def sentiment_labels(spark, sf_dir):
-    """Category shares with stored labels as the sentiment provider."""
-    return R.category_sentiment(I.fact(spark, sf_dir, provider="labels"))
-
-
-@query
-def last_write_wins(spark, sf_dir):
-    from reviewlens.sources.tables import table
-    return R.keep_last(table(spark, sf_dir, "events"), ["user_id"], "event_id")
+def all_queries() -> dict[str, Query]:
+    # Importing the modules registers their queries.
+    from reviewlens.plans import input_queries, ml_queries, report_queries  # noqa: F401
+    return dict(QUERIES)

@@ -45,7 +45,8 @@ def doc_key(lineitem_orderkey: str = "l_orderkey", linenumber: str = "l_linenumb
 
 
 def raw_reviews_from_tables(lineitem: DataFrame, orders: DataFrame, documents: DataFrame,
-                            blank_text_every: int | None = None) -> DataFrame:
+                            blank_text_every: int | None = None,
+                            with_position: bool = False) -> DataFrame:
     """Reviews in the declared input shape plus the observed ``outcome``.
 
     The document count is a scalar subquery, so nothing passes through the
@@ -54,7 +55,7 @@ def raw_reviews_from_tables(lineitem: DataFrame, orders: DataFrame, documents: D
     """
     n_docs = documents.select(F.count(F.lit(1))).scalar()
     li = lineitem.select(
-        "l_orderkey", "l_partkey", "l_returnflag", "l_shipdate",
+        "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_shipdate",
         F.pmod(doc_key(), n_docs).alias("doc_id"),
         doc_key().alias("doc_key"))
     o = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
@@ -69,12 +70,14 @@ def raw_reviews_from_tables(lineitem: DataFrame, orders: DataFrame, documents: D
                     text.alias("reviewText"),
                     F.unix_timestamp("l_shipdate").alias("unixReviewTime"),
                     (F.col("l_returnflag") != F.lit("R")).cast("int").alias("outcome"),
-                    "doc_id"))
+                    "doc_id",
+                    *(["l_orderkey", "l_linenumber"] if with_position else [])))
 
 
-def raw_metadata_from_parts(part: DataFrame) -> DataFrame:
+def raw_metadata_from_parts(part: DataFrame, keep_key: bool = False) -> DataFrame:
     """Product metadata as it arrives: text prices, ranks and dates in several
-    shapes, NULL brands, an excluded category and duplicated asins."""
+    shapes, NULL brands, an excluded category and duplicated asins.
+    ``keep_key`` keeps the integer part key as ``_key``."""
     key = F.col("p_partkey")
     price_text = F.format_number("p_retailprice", 2)
     price = (F.when(key % 8 == 0, F.concat(F.lit("$"), price_text))
@@ -111,4 +114,5 @@ def raw_metadata_from_parts(part: DataFrame) -> DataFrame:
         rank.alias("rank"),
         key.alias("_key"))
     copies = raw.where(F.col("_key") % DUPLICATE_ITEM_EVERY == 0)
-    return raw.unionByName(copies).drop("_key")
+    both = raw.unionByName(copies)
+    return both if keep_key else both.drop("_key")
