@@ -1 +1,147 @@
-"""placeholder"""
+"""Text-feature, metric and model queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reviewlens.operators import features as FT
+from reviewlens.operators.metrics import binary_metrics as _binary_metrics
+from reviewlens.operators.metrics import pr_auc as _pr_auc
+from reviewlens.operators.metrics import roc_auc as _roc_auc
+from reviewlens.operators.model import best_row, load_model, save_model, train_sentiment
+from reviewlens.operators.sentiment import model_sentiment
+from reviewlens.plans import inputs as I
+from reviewlens.plans.queries import query
+from reviewlens.session import shared_path
+from reviewlens.sources.tables import table
+
+TEST_EVERY = 5   # labelled documents with doc_id % 5 = 0 are held out
+
+
+def _docs(spark, sf_dir):
+    """Documents with missing text read as empty text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+# -- text features -----------------------------------------------------------------
+
+@query
+def tokenize_words(spark, sf_dir):
+    t = FT.tokenizer("text", "words").transform(_docs(spark, sf_dir))
+    return t.select("doc_id", F.size("words").alias("n_tokens"),
+                    F.array_join("words", " ").alias("tokens"))
+
+
+@query
+def remove_stop_words(spark, sf_dir):
+    t = FT.tokenized(_docs(spark, sf_dir))
+    return t.select("doc_id", F.size("clean").alias("n_words"), F.array_join("clean", " ").alias("words"))
+
+
+@query
+def word_bigrams(spark, sf_dir):
+    t = FT.bigrams("clean", "bigrams").transform(FT.tokenized(_docs(spark, sf_dir)))
+    return t.select("doc_id", F.size("bigrams").alias("n_bigrams"),
+                    F.array_join("bigrams", "|").alias("bigrams"))
+
+
+@query
+def term_counts(spark, sf_dir):
+    return FT.term_counts(_docs(spark, sf_dir))
+
+
+@query
+def document_frequency(spark, sf_dir):
+    return FT.document_frequency(_docs(spark, sf_dir))
+
+
+@query
+def char_trigrams(spark, sf_dir):
+    return FT.char_gram_counts(_docs(spark, sf_dir))
+
+
+@query
+def max_abs_scaled_counts(spark, sf_dir):
+    return FT.max_abs_scaled_counts(_docs(spark, sf_dir))
+
+
+# -- metrics -----------------------------------------------------------------------
+
+def _labelled(spark, sf_dir):
+    """Quality labels with two classifier outputs: the toxic flag as a
+    prediction and the document length as a score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").select(
+        "doc_id", F.col("quality").alias("label"), F.col("toxic").alias("prediction"),
+        F.col("n_chars").cast("double").alias("score"))
+
+
+@query
+def binary_metrics(spark, sf_dir):
+    return _binary_metrics(_labelled(spark, sf_dir))
+
+
+@query
+def roc_auc(spark, sf_dir):
+    return _roc_auc(_labelled(spark, sf_dir))
+
+
+@query
+def pr_auc(spark, sf_dir):
+    return _pr_auc(_labelled(spark, sf_dir))
+
+
+# -- model -------------------------------------------------------------------------
+
+_TRAINED: dict[tuple[int, str], tuple] = {}
+
+
+def training_split(spark, sf_dir):
+    """Labelled documents: (doc_id, text, label) train and held-out parts."""
+    data = (table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+            .select("doc_id", "text", F.col("quality").alias("label")))
+    held = F.pmod(F.col("doc_id"), F.lit(TEST_EVERY)) == 0
+    return data.where(~held), data.where(held)
+
+
+def trained(spark, sf_dir):
+    """Search once per session and scale factor; the model is saved to and
+    reloaded from the shared folder."""
+    key = (id(spark), sf_dir)
+    if key not in _TRAINED:
+        train, test = training_split(spark, sf_dir)
+        model, board = train_sentiment(train, test)
+        path = shared_path(spark, "sentiment-model")
+        if model is not None:
+            save_model(model, path)
+        _TRAINED[key] = (model, board, path)
+    return _TRAINED[key]
+
+
+@query
+def model_leaderboard(spark, sf_dir):
+    return trained(spark, sf_dir)[1]
+
+
+@query
+def best_model(spark, sf_dir):
+    return best_row(trained(spark, sf_dir)[1])
+
+
+@query
+def model_roundtrip(spark, sf_dir):
+    """Held-out predictions of the fitted model and of its saved copy."""
+    model, _, path = trained(spark, sf_dir)
+    _, test = training_split(spark, sf_dir)
+    before = model.transform(test).select("doc_id", F.col("prediction").cast("int").alias("before"))
+    after = load_model(path).transform(test).select(
+        "doc_id", F.col("prediction").cast("int").alias("after"))
+    return before.join(after, "doc_id").withColumn("same", F.col("before") == F.col("after"))
+
+
+@query
+def review_sentiment(spark, sf_dir):
+    """Every clean review scored by the saved model (each distinct text once)."""
+    _, _, path = trained(spark, sf_dir)
+    scored = model_sentiment(I.reviews(spark, sf_dir), load_model(path))
+    return scored.select("rid", "asin", "unix_time", "doc_id", "sentiment")

@@ -285,3 +285,85 @@ ORACLE_SQL["report_key_check"] = with_fact(",\n".join([
     _key_check("category_demand", "category_demand", ["main_cat", "month"]),
     _key_check("brand_demand", "brand_demand", ["brand", "month"]),
 ]))
+
+
+# -- text features and metrics ---------------------------------------------------------
+
+def _stop_list() -> str:
+    from reviewlens.functions.stopwords import ENGLISH_STOP_WORDS
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + "]"
+
+
+TOKENS = r"""tok AS (
+  SELECT doc_id, COALESCE(text, '') AS text,
+         list_filter(string_split_regex(lower(COALESCE(text, '')), '\s+'), lambda x: length(x) > 0) AS w
+  FROM documents)"""
+CLEAN = f"""cln AS (
+  SELECT doc_id, list_filter(w, lambda x: NOT list_contains({_stop_list()}, x)) AS c FROM tok)"""
+
+ORACLE_SQL["tokenize_words"] = f"""WITH {TOKENS}
+SELECT doc_id, CAST(len(w) AS INTEGER) AS n_tokens, array_to_string(w, ' ') AS tokens FROM tok"""
+ORACLE_SQL["remove_stop_words"] = f"""WITH {TOKENS},\n{CLEAN}
+SELECT doc_id, CAST(len(c) AS INTEGER) AS n_words, array_to_string(c, ' ') AS words FROM cln"""
+ORACLE_SQL["word_bigrams"] = f"""WITH {TOKENS},\n{CLEAN},
+bg AS (SELECT doc_id, list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1]) AS b FROM cln)
+SELECT doc_id, CAST(len(b) AS INTEGER) AS n_bigrams, array_to_string(b, '|') AS bigrams FROM bg"""
+ORACLE_SQL["term_counts"] = f"""WITH {TOKENS},\n{CLEAN}
+SELECT term, COUNT(*) AS count FROM (SELECT unnest(c) AS term FROM cln) GROUP BY term"""
+ORACLE_SQL["document_frequency"] = f"""WITH {TOKENS},\n{CLEAN}
+SELECT term, COUNT(*) AS doc_count FROM (SELECT unnest(list_distinct(c)) AS term FROM cln) GROUP BY term"""
+ORACLE_SQL["char_trigrams"] = """
+SELECT gram, COUNT(*) AS count FROM (
+  SELECT unnest(list_transform(range(1, length(lower(t)) - 1), lambda i: substring(lower(t), i, 3))) AS gram
+  FROM (SELECT COALESCE(text, '') AS t FROM documents) WHERE length(lower(t)) >= 3)
+GROUP BY gram"""
+ORACLE_SQL["max_abs_scaled_counts"] = f"""WITH {TOKENS},\n{CLEAN},
+tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(c) AS term FROM cln) GROUP BY doc_id, term)
+SELECT doc_id, term, tf, tf / max(tf) OVER (PARTITION BY term) AS scaled FROM tf"""
+
+LABELLED = """x AS (
+  SELECT lb.doc_id, lb.quality AS label, lb.toxic AS prediction, CAST(d.n_chars AS DOUBLE) AS score
+  FROM labels lb JOIN documents d ON d.doc_id = lb.doc_id)"""
+
+
+def _rate(num: str, den: str) -> str:
+    return f"CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0)"
+
+
+ORACLE_SQL["binary_metrics"] = f"""WITH {LABELLED},
+c AS (SELECT
+  CAST(COALESCE(SUM(CASE WHEN label = 1 AND prediction = 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS tp,
+  CAST(COALESCE(SUM(CASE WHEN label = 0 AND prediction = 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS fp,
+  CAST(COALESCE(SUM(CASE WHEN label = 0 AND prediction = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS tn,
+  CAST(COALESCE(SUM(CASE WHEN label = 1 AND prediction = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS fn
+  FROM x)
+SELECT tp, fp, tn, fn,
+  {_rate('tp + tn', 'tp + fp + tn + fn')} AS accuracy,
+  {_rate('tp', 'tp + fp')} AS precision_pos,
+  {_rate('tp', 'tp + fn')} AS recall_pos,
+  {_rate('2 * tp', '2 * tp + fp + fn')} AS f1_pos,
+  {_rate('tn', 'tn + fn')} AS precision_neg,
+  {_rate('tn', 'tn + fp')} AS recall_neg
+FROM c"""
+
+BY_SCORE = """s AS (
+  SELECT score, CAST(SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+         CAST(SUM(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg
+  FROM x WHERE score IS NOT NULL GROUP BY score)"""
+
+ORACLE_SQL["roc_auc"] = f"""WITH {LABELLED},\n{BY_SCORE},
+r AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                AS neg_before FROM s)
+SELECT CAST(SUM(pos) AS BIGINT) AS positives, CAST(SUM(neg) AS BIGINT) AS negatives,
+       {_rate('SUM(pos * (2 * neg_before + neg))', '2 * SUM(pos) * SUM(neg)')} AS auc_roc
+FROM r"""
+
+ORACLE_SQL["pr_auc"] = f"""WITH {LABELLED},\n{BY_SCORE},
+r AS (SELECT *,
+  COALESCE(SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_before,
+  COALESCE(SUM(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_before
+  FROM s)
+SELECT CAST(SUM(pos) AS BIGINT) AS positives,
+       round(SUM(pos * (pos_before + pos) / (pos_before + pos + neg_before + neg)) / NULLIF(SUM(pos), 0), 9)
+         AS auc_pr
+FROM r"""
