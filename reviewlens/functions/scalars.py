@@ -23,7 +23,7 @@ PRICE_PATTERN = r"^[^\p{Nd}]*(\d[\d,]*(?:\.\d*)?(?:[eE][+-]?\d+)?)\s*$"
 RANK_PATTERN = r"\p{Nd}+(,\p{Nd}+)*"
 # Date: day-precision formats tried in order, then ISO-8601 with an offset.
 DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "M/d/yyyy", "yyyy-MM-dd")
-DATE_TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssX",)
+DATE_TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssX")
 # ---------------------------------------------------------------------------
 
 SECONDS_PER_DAY = 86400

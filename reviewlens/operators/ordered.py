@@ -22,12 +22,15 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], buckets: int | N
         buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     v = F.col(order_col).cast("double")
     data = df.where(v.isNotNull()).withColumn("_v", -v if descending else v)
-    cuts = []
+    cuts: list[float] = []
     if buckets > 1:
         qs = [i / buckets for i in range(1, buckets)]
         cuts = sorted(set(data.approxQuantile("_v", qs, relative_error)))
-    splits = [float("-inf"), *cuts, float("inf")]
-    data = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(data)
+    if cuts:
+        splits = [float("-inf"), *cuts, float("inf")]
+        data = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(data)
+    else:
+        data = data.withColumn("_b", F.lit(0.0))
     totals = data.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     # One row per range: this window is over ``buckets`` rows only.
     earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

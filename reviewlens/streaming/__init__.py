@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The source application is a batch job: it has no stream source, trigger,
+watermark or state.  Nothing here is built on purpose; the batch report job
+(``reviewlens.plans.job``) covers every computation it performs.
+"""
