@@ -42,10 +42,11 @@ def review_stats(scored: DataFrame) -> DataFrame:
 
 def item_weights(items: DataFrame, parity: bool = True) -> DataFrame:
     """(asin, title, brand, main_cat) -> weight each review of the asin gets."""
-    # Hash-partition by asin once: the group-by on (asin, ...) and the window
-    # over asin both accept that partitioning, so this costs a single shuffle.
+    # Group first: the map-side partial count collapses the copies of an
+    # asin before any shuffle (an asin listed a million times moves as one
+    # row per map task).  The window then sees one row per distinct
+    # (asin, title, brand, main_cat), a handful per asin.
     grouped = (items.select("asin", "title", "brand", "main_cat")
-               .repartition("asin")
                .groupBy("asin", "title", "brand", "main_cat")
                .agg(F.count(F.lit(1)).alias("copies")))
     if not parity:

@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +34,19 @@ def model_sentiment(reviews: DataFrame, model: PipelineModel, text_col: str = "r
     """
     if distinct_key is None:
         scored = model.transform(reviews.withColumn("text", F.col(text_col)))
-        return scored.select(*reviews.columns, F.col("prediction").cast("int").alias("sentiment"))
+        return scored.select(*reviews.columns, *_outputs(scored))
     texts = (reviews.select(distinct_key, F.col(text_col).alias("text"))
              .dropDuplicates([distinct_key]))
-    scores = model.transform(texts).select(
-        distinct_key, F.col("prediction").cast("int").alias("sentiment"))
-    return reviews.join(scores, distinct_key)
+    scored = model.transform(texts)
+    return reviews.join(scored.select(distinct_key, *_outputs(scored)), distinct_key)
+
+
+def _outputs(scored: DataFrame) -> list:
+    """``sentiment`` (0/1) and ``score``: P(positive) when the model gives
+    probabilities, else the raw margin of class 1 over class 0."""
+    if "probability" in scored.columns:
+        score = vector_to_array("probability")[1]
+    else:
+        raw = vector_to_array("rawPrediction")
+        score = raw[1] - raw[0]
+    return [F.col("prediction").cast("int").alias("sentiment"), score.alias("score")]

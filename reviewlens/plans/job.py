@@ -15,6 +15,7 @@ from __future__ import annotations
 import argparse
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -52,15 +53,34 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
         written[name] = read_table(spark, path)
         return written[name]
 
-    publish("category_sentiment", R.category_sentiment(fact))
-    brands = publish("brand_sentiment", R.brand_sentiment(fact, brand_min_reviews))
-    # The time and demand reports take their brand list from the written
-    # brand table, as the application read it back from its database.
-    publish("brand_sentiment_by_year", R.brand_sentiment_by_year(fact, brands, year_mode=year_mode))
-    publish("product_sentiment",
-            R.product_report_keyed(R.product_sentiment(fact, product_min_reviews)))
-    publish("category_demand", R.category_demand(fact))
-    publish("brand_demand", R.brand_demand(fact, brands))
+    # Stage 1: reports of the fact alone, plus the HAVING-filtered product
+    # aggregate the four product rankings share (written once, read four
+    # times).  Independent jobs, submitted concurrently.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        jobs = {
+            "category_sentiment": pool.submit(publish, "category_sentiment", R.category_sentiment(fact)),
+            "brand_sentiment": pool.submit(publish, "brand_sentiment",
+                                           R.brand_sentiment(fact, brand_min_reviews)),
+            "category_demand": pool.submit(publish, "category_demand", R.category_demand(fact)),
+            "_products": pool.submit(replace_table, R.product_sentiment(fact, product_min_reviews),
+                                     f"{out_dir}/_products"),
+        }
+        for j in jobs.values():
+            j.result()
+    brands = written["brand_sentiment"]
+    products = read_table(spark, f"{out_dir}/_products")
+    # Stage 2: the time and demand reports take their brand list from the
+    # written brand table, as the application read it back from its database.
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        jobs = [
+            pool.submit(publish, "brand_sentiment_by_year",
+                        R.brand_sentiment_by_year(fact, brands, year_mode=year_mode)),
+            pool.submit(publish, "product_sentiment", R.product_report_keyed(products)),
+            pool.submit(publish, "brand_demand", R.brand_demand(fact, brands)),
+        ]
+        for j in jobs:
+            j.result()
+    written = {name: written[name] for name in REPORT_NAMES}
 
     counts = {**item_obs.get, **review_obs.get}
     return {"reports": written, "counts": counts, "out_dir": out_dir}

@@ -144,4 +144,4 @@ def review_sentiment(spark, sf_dir):
     """Every clean review scored by the saved model (each distinct text once)."""
     _, _, path = trained(spark, sf_dir)
     scored = model_sentiment(I.reviews(spark, sf_dir), load_model(path))
-    return scored.select("rid", "asin", "unix_time", "doc_id", "sentiment")
+    return scored.select("rid", "asin", "unix_time", "doc_id", "sentiment", "score")

@@ -367,3 +367,6 @@ SELECT CAST(SUM(pos) AS BIGINT) AS positives,
        round(SUM(pos * (pos_before + pos) / (pos_before + pos + neg_before + neg)) / NULLIF(SUM(pos), 0), 9)
          AS auc_pr
 FROM r"""
+
+ORACLE_SQL["category_sentiment_sql"] = ORACLE_SQL["category_sentiment_ranked"]
+ORACLE_SQL["category_demand_sql"] = ORACLE_SQL["category_demand"]

@@ -152,3 +152,22 @@ def sentiment_labels(spark, sf_dir):
 @query
 def last_write_wins(spark, sf_dir):
     return R.keep_last(table(spark, sf_dir, "events"), ["user_id"], "event_id")
+
+
+# -- SQL façade --------------------------------------------------------------------
+
+@query
+def category_sentiment_sql(spark, sf_dir):
+    """The ranked category report written as SQL over the registered views."""
+    from reviewlens.plans.sql import register_views
+    register_views(spark, I.fact(spark, sf_dir))
+    return spark.sql("SELECT * FROM Category_Sentiment "
+                     "ORDER BY sentiment_rank DESC, review_count DESC, main_cat")
+
+
+@query
+def category_demand_sql(spark, sf_dir):
+    """Category demand computed by SQL text over the ``fact`` view."""
+    from reviewlens.plans.sql import REPORT_SQL, register_views
+    register_views(spark, I.fact(spark, sf_dir))
+    return spark.sql(REPORT_SQL["category_demand"])
