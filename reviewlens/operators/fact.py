@@ -63,8 +63,11 @@ def build_fact(items: DataFrame, scored: DataFrame, parity: bool = True) -> Data
     ``scored``: clean reviews with asin, unix_time and int ``sentiment``;
     reviews of unknown items drop out in the join, as in the known-items join.
     """
-    stats = review_stats(scored)
-    weights = item_weights(items, parity)
+    return join_fact(review_stats(scored), item_weights(items, parity))
+
+
+def join_fact(stats: DataFrame, weights: DataFrame) -> DataFrame:
+    """``review_stats`` x ``item_weights`` on asin, counts multiplied by weight."""
     return (stats.join(weights, "asin")
             .select(*FACT_KEYS,
                     (F.col("n") * F.col("weight")).alias("n"),

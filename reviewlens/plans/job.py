@@ -4,9 +4,10 @@
         [--provider observed|labels|model] [--year-mode calendar|week] [--dedupe-items]
 
 Plan shape: the reviews are scanned once and pre-aggregated per (asin, time
-bucket); joined once to the item table; the compact fact is written to the
-shared folder (cutting lineage: a lost executor re-reads it instead of
-re-running the scan and join) and all six reports aggregate that table.
+bucket) into a compact table written to the shared folder (cutting lineage:
+a lost executor re-reads it instead of re-running the scan); that table is
+joined once to the item table into the fact, also written, and all six
+reports aggregate the fact.  Row counts come from the compact tables.
 Reports replace their tables as whole, written by the executors.
 """
 
@@ -17,11 +18,11 @@ import json
 import time
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.operators import reports as R
-from reviewlens.operators.fact import build_fact
+from reviewlens.operators.fact import item_weights, join_fact, review_stats
 from reviewlens.schemas import BRAND_MIN_REVIEWS, PRODUCT_MIN_REVIEWS, REPORT_KEYS
 from reviewlens.session import build_session, shared_path
 from reviewlens.sinks.tables import key_check, read_table, replace_table
@@ -37,13 +38,17 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
     "counts": {...}, "out_dir": path}.  ``items`` are clean items, ``scored``
     clean reviews with an int ``sentiment``."""
     out_dir = out_dir or shared_path(spark, "reports")
-    item_obs, review_obs = Observation("items"), Observation("reviews")
-    items = items.observe(item_obs, F.count(F.lit(1)).alias("metadata_count"))
-    scored = scored.observe(review_obs, F.count(F.lit(1)).alias("clean_review_count"))
-
+    # The one pass over the reviews: per (asin, time bucket) counts, written
+    # once.  Everything after reads compact tables.
+    replace_table(review_stats(scored), f"{out_dir}/_review_stats")
+    stats = read_table(spark, f"{out_dir}/_review_stats")
     fact_path = f"{out_dir}/_fact"
-    replace_table(build_fact(items, scored, parity=parity), fact_path)
+    replace_table(join_fact(stats, item_weights(items, parity=parity)), fact_path)
     fact = read_table(spark, fact_path)
+    # Row counts after clean-up from the compact tables (no extra pass over
+    # the reviews): one small row.
+    counts_row = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("clean_review_count")).select(
+        items.select(F.count(F.lit(1))).scalar().alias("metadata_count"), "clean_review_count").first()
 
     written: dict[str, DataFrame] = {}
 
@@ -82,7 +87,7 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
             j.result()
     written = {name: written[name] for name in REPORT_NAMES}
 
-    counts = {**item_obs.get, **review_obs.get}
+    counts = counts_row.asDict()
     return {"reports": written, "counts": counts, "out_dir": out_dir}
 
 
