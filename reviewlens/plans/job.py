@@ -6,8 +6,8 @@
 Plan shape: the reviews are scanned once and pre-aggregated per (asin, time
 bucket) into a compact table written to the shared folder (cutting lineage:
 a lost executor re-reads it instead of re-running the scan); that table is
-joined once to the item table into the fact, also written, and all six
-reports aggregate the fact.  Row counts come from the compact tables.
+joined once to the item table into the fact, also written, which the six
+reports aggregate.  Row counts come from the compact tables.
 Reports replace their tables as whole, written by the executors.
 """
 
