@@ -18,6 +18,8 @@ from pyspark.ml.feature import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.functions.stopwords import ENGLISH_STOP_WORDS
+
 TOKEN_PATTERN = r"\s+"
 CHAR_GRAM = 3
 NUM_FEATURES = 1 << 14
@@ -79,16 +81,33 @@ def tokenized(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return stop_words_remover("words", "clean").transform(words)
 
 
+def terms(docs: DataFrame, text_col: str = "text", key: str | None = None,
+          distinct_per_doc: bool = False) -> DataFrame:
+    """One row per kept token: the tokenizer + stop-word stages as native
+    expressions (``split`` in generated code, ``explode``, and an anti join
+    with the stop list), for views that aggregate tokens rather than keep
+    per-document arrays.  Same tokens as ``tokenized(...).clean``.
+
+    The stop list has a fixed size (181 words), so broadcasting it is bounded.
+    """
+    words = F.split(F.lower(F.col(text_col)), TOKEN_PATTERN)
+    if distinct_per_doc:
+        words = F.array_distinct(words)
+    cols = ([key] if key else []) + [F.explode(words).alias("term")]
+    kept = docs.select(*cols).where(F.length("term") > 0)
+    stop = docs.sparkSession.createDataFrame([(w,) for w in ENGLISH_STOP_WORDS], "term string")
+    return kept.join(F.broadcast(stop), "term", "left_anti")
+
+
 def term_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """term -> occurrences over all documents (map-side partial counts)."""
-    terms = tokenized(docs, text_col).select(F.explode("clean").alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("count"))
+    return terms(docs, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("count"))
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """term -> number of documents containing it."""
-    terms = tokenized(docs, text_col).select(F.explode(F.array_distinct("clean")).alias("term"))
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("doc_count"))
+    once = terms(docs, text_col, distinct_per_doc=True)
+    return once.groupBy("term").agg(F.count(F.lit(1)).alias("doc_count"))
 
 
 def char_gram_counts(docs: DataFrame, text_col: str = "text", n: int = CHAR_GRAM) -> DataFrame:
@@ -104,7 +123,6 @@ def max_abs_scaled_counts(docs: DataFrame, key: str = "doc_id", text_col: str =
     broadcasts it when small and splits a skewed term otherwise), not a
     window, so a term present in most documents is not sorted in one task.
     """
-    tf = (tokenized(docs, text_col).select(key, F.explode("clean").alias("term"))
-          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = terms(docs, text_col, key=key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     peak = tf.groupBy("term").agg(F.max("tf").alias("max_tf"))
     return tf.join(peak, "term").select(key, "term", "tf", (F.col("tf") / F.col("max_tf")).alias("scaled"))

@@ -111,3 +111,10 @@ def test_model_search_roundtrip(spark):
     a = [r.prediction for r in model.transform(test).orderBy("doc_id").collect()]
     b = [r.prediction for r in load_model(path).transform(test).orderBy("doc_id").collect()]
     assert a == b and set(a) <= {0.0, 1.0}
+
+
+def test_native_terms_equal_mllib_tokens(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    via_stages = sorted((r.doc_id, t) for r in FT.tokenized(docs).collect() for t in r.clean)
+    native = sorted((r.doc_id, r.term) for r in FT.terms(docs, key="doc_id").collect())
+    assert via_stages == native
