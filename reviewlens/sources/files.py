@@ -34,10 +34,11 @@ def read_training(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("text", F.trim("sentiment").try_cast("boolean").alias("sentiment"))
 
 
-def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Raw lines with their position: file name, byte offset of the split and
     a per-partition increasing id, which together give file order."""
-    return (spark.read.text(path)
+    paths = [path] if isinstance(path, str) else list(path)
+    return (spark.read.text(paths)
             .select("value",
                     F.col("_metadata.file_name").alias("file_name"),
                     F.col("_metadata.file_block_start").alias("block_start"),

@@ -88,3 +88,15 @@ def test_jdbc_replace_on_embedded_derby(spark):
     back = spark.read.format("jdbc").option("url", url).option("dbtable", "CATEGORY_SENTIMENT") \
         .option("driver", props["driver"]).load()
     assert sorted(r[0] for r in back.collect()) == ["F", "G"]
+
+
+def test_sample_spans_files_in_name_order(spark):
+    path = shared_path(spark, "sample-multi")
+    df = spark.createDataFrame([(i, json.dumps({"i": i})) for i in range(8)], "i int, value string")
+    # two files: lines 0-2 in the first, 3-7 in the second (range partitions)
+    (df.repartitionByRange(2, "i").sortWithinPartitions("i").select("value")
+     .write.text(path))
+    files = sorted(spark.read.text(path).inputFiles())
+    first_file = spark.read.text(files[0]).count()
+    out = sorted(json.loads(r.value)["i"] for r in dev_sample(spark, path, n=first_file + 2).collect())
+    assert out == list(range(first_file + 2))
