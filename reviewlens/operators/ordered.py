@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 def prefix_sums(df: DataFrame, order_col: str, cols: list[str], buckets: int | None = None,
                 descending: bool = False, relative_error: float = 1e-4) -> DataFrame:
-    """Add ``<c>_before``: the sum of ``c`` over rows strictly earlier in the
-    order of ``order_col`` (NULLs excluded).  ``order_col`` values should be
-    distinct (aggregate by it first), which keeps the ranges balanced."""
+    """Add ``<c>_before``: the sum of integral ``c`` over rows strictly earlier
+    in the order of ``order_col`` (NULLs excluded).  ``order_col`` values
+    should be distinct (aggregate by it first), which keeps the ranges
+    balanced."""
     if buckets is None:
         buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     v = F.col(order_col).cast("double")
@@ -31,11 +32,18 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], buckets: int | N
         data = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(data)
     else:
         data = data.withColumn("_b", F.lit(0.0))
-    totals = data.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    # One row per range: this window is over ``buckets`` rows only.
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0))
-                                    .alias(f"_o_{c}") for c in cols])
+    totals = data.groupBy("_b").agg(*[F.sum(c).cast("bigint").alias(f"_t_{c}") for c in cols])
+    # Range offsets from one array of the (at most ``buckets``) range totals,
+    # sorted by range: offset of range i = sum of the totals before it.
+    ranges = totals.agg(F.array_sort(F.collect_list(F.struct("_b", *[f"_t_{c}" for c in cols])))
+                        .alias("r"))
+
+    def before(c: str, i):
+        return F.aggregate(F.slice("r", F.lit(1), i), F.lit(0).cast("bigint"),
+                           lambda acc, x: acc + x[f"_t_{c}"])
+
+    offsets = ranges.select(F.explode(F.transform("r", lambda x, i: F.struct(
+        x["_b"].alias("_b"), *[before(c, i).alias(f"_o_{c}") for c in cols]))).alias("o")).select("o.*")
     within = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     out = data.join(F.broadcast(offsets), "_b")
     for c in cols:
