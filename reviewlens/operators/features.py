@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens.functions.stopwords import ENGLISH_STOP_WORDS
+from reviewlens.operators.partitioning import spread
 
 TOKEN_PATTERN = r"\s+"
 CHAR_GRAM = 3
@@ -77,7 +78,7 @@ def featurizer_stages(text_col: str = "text", num_features: int = NUM_FEATURES)
 
 def tokenized(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``words`` (tokens) and ``clean`` (stop words removed)."""
-    words = tokenizer(text_col, "words").transform(docs)
+    words = tokenizer(text_col, "words").transform(spread(docs))
     return stop_words_remover("words", "clean").transform(words)
 
 
@@ -94,7 +95,7 @@ def terms(docs: DataFrame, text_col: str = "text", key: str | None = None,
     if distinct_per_doc:
         words = F.array_distinct(words)
     cols = ([key] if key else []) + [F.explode(words).alias("term")]
-    kept = docs.select(*cols).where(F.length("term") > 0)
+    kept = spread(docs).select(*cols).where(F.length("term") > 0)
     stop = docs.sparkSession.createDataFrame([(w,) for w in ENGLISH_STOP_WORDS], "term string")
     return kept.join(F.broadcast(stop), "term", "left_anti")
 
@@ -111,7 +112,7 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def char_gram_counts(docs: DataFrame, text_col: str = "text", n: int = CHAR_GRAM) -> DataFrame:
-    grams = docs.select(F.explode(char_grams(F.col(text_col), n)).alias("gram"))
+    grams = spread(docs).select(F.explode(char_grams(F.col(text_col), n)).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.operators.partitioning import spread
+
 
 def observed_sentiment(reviews: DataFrame, column: str = "outcome") -> DataFrame:
     return reviews.withColumn("sentiment", F.col(column).cast("int"))
@@ -25,13 +27,21 @@ def label_sentiment(reviews: DataFrame, labels: DataFrame, key: str = "doc_id",
 
 
 def model_sentiment(reviews: DataFrame, model: PipelineModel, text_col: str = "review_text",
-                    distinct_key: str | None = "doc_id") -> DataFrame:
+                    distinct_key: str | None = "doc_id", texts: DataFrame | None = None) -> DataFrame:
     """Score with a fitted pipeline (JVM-side, batch; no per-row Python).
 
-    With ``distinct_key`` each distinct text is scored once and the score is
-    joined back: copies of the same text cost one prediction.  The model must
-    read column ``text`` and write ``prediction``.
+    * ``texts`` given (``distinct_key`` + ``text``): the text store is scored
+      once per text and the 0/1 result joined onto the reviews by key; the
+      text never travels with the review rows.
+    * otherwise, with ``distinct_key``: each distinct text among the reviews
+      is scored once and joined back (copies cost one prediction).
+    * ``distinct_key=None``: every review row is scored in place.
+
+    The model must read column ``text`` and write ``prediction``.
     """
+    if texts is not None and distinct_key is not None:
+        scored = model.transform(spread(texts.select(distinct_key, "text")))
+        return reviews.join(scored.select(distinct_key, *_outputs(scored)), distinct_key)
     if distinct_key is None:
         scored = model.transform(reviews.withColumn("text", F.col(text_col)))
         return scored.select(*reviews.columns, *_outputs(scored))

@@ -119,8 +119,10 @@ def main(argv: list[str] | None = None) -> None:
     if args.provider == "model":
         from reviewlens.operators.sentiment import model_sentiment
         from reviewlens.plans.ml_queries import trained
+        from reviewlens.sources.tables import table
         model = trained(spark, args.sf_dir)[0]
-        scored = model_sentiment(I.reviews(spark, args.sf_dir), model)
+        docs = table(spark, args.sf_dir, "documents").select("doc_id", "text")
+        scored = model_sentiment(I.reviews(spark, args.sf_dir), model, texts=docs)
     else:
         scored = I.scored(spark, args.sf_dir, args.provider)
     result = run_reports(spark, I.items(spark, args.sf_dir), scored, args.out,

@@ -141,7 +141,8 @@ def model_roundtrip(spark, sf_dir):
 
 @query
 def review_sentiment(spark, sf_dir):
-    """Every clean review scored by the saved model (each distinct text once)."""
+    """Every clean review scored by the saved model: each document text is
+    scored once and the result joined to its reviews."""
     _, _, path = trained(spark, sf_dir)
-    scored = model_sentiment(I.reviews(spark, sf_dir), load_model(path))
+    scored = model_sentiment(I.reviews(spark, sf_dir), load_model(path), texts=_docs(spark, sf_dir))
     return scored.select("rid", "asin", "unix_time", "doc_id", "sentiment", "score")
