@@ -22,7 +22,8 @@ def py_price(text):
     if not NUMBER.match(rest):
         return -1.0
     value = float(rest.strip().replace(",", ""))
-    return float(np.float32(value))
+    with np.errstate(over="ignore"):
+        return float(np.float32(value))
 
 
 def py_rank(text):
