@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import functions as F
 
 from reviewlens.operators import features as FT
@@ -94,6 +96,7 @@ def pr_auc(spark, sf_dir):
 # -- model -------------------------------------------------------------------------
 
 _TRAINED: dict[tuple[int, str], tuple] = {}
+_TRAINING = threading.Lock()
 
 
 def training_split(spark, sf_dir):
@@ -108,14 +111,15 @@ def trained(spark, sf_dir):
     """Search once per session and scale factor; the model is saved to and
     reloaded from the shared folder."""
     key = (id(spark), sf_dir)
-    if key not in _TRAINED:
-        train, test = training_split(spark, sf_dir)
-        model, board = train_sentiment(train, test)
-        path = shared_path(spark, "sentiment-model")
-        if model is not None:
-            save_model(model, path)
-        _TRAINED[key] = (model, board, path)
-    return _TRAINED[key]
+    with _TRAINING:
+        if key not in _TRAINED:
+            train, test = training_split(spark, sf_dir)
+            model, board = train_sentiment(train, test)
+            path = shared_path(spark, "sentiment-model")
+            if model is not None:
+                save_model(model, path)
+            _TRAINED[key] = (model, board, path)
+        return _TRAINED[key]
 
 
 @query

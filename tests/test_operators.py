@@ -161,3 +161,27 @@ def test_partition_count_invariance(spark):
     assert results[0] == results[1] == results[2]
     total = sum(r[2] for r in results[0])
     assert total == build_fact(items, scored).agg(F.sum("n")).first()[0]
+
+
+def test_spread_only_when_too_few_partitions(spark):
+    from reviewlens.operators.partitioning import spread
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == cores
+    many = spark.range(100).repartition(cores * 2)
+    assert spread(many) is many
+
+
+def test_hot_asin_with_a_third_of_reviews(spark):
+    """One asin holds a third of the reviews: same answer as the row-level join."""
+    items = [(str(i), f"t{i}", f"b{i % 3}", f"c{i % 2}") for i in range(30)]
+    rnd = random.Random(9)
+    scored = [("0" if j % 3 == 0 else str(rnd.randint(1, 29)), rnd.randint(0, 500) * 86400, rnd.randint(0, 1))
+              for j in range(3000)]
+    fact = build_fact(items_df(spark, items), scored_df(spark, scored))
+    got = {r.brand: (r.review_count, r.sentiment_rank) for r in R.brand_sentiment(fact, 0).collect()}
+    rows = brute_force_fact(items, scored)
+    for brand in {r[1] for r in rows}:
+        g = [r for r in rows if r[1] == brand]
+        assert got[brand] == (len(g), sum(r[4] for r in g) / len(g) * 100)
+    assert fact.where("asin = '0'").count() <= 501   # one row per time bucket, not per review
