@@ -118,3 +118,18 @@ def test_native_terms_equal_mllib_tokens(spark):
     via_stages = sorted((r.doc_id, t) for r in FT.tokenized(docs).collect() for t in r.clean)
     native = sorted((r.doc_id, r.term) for r in FT.terms(docs, key="doc_id").collect())
     assert via_stages == native
+
+
+def test_single_class_labels_do_not_break_the_search(spark):
+    rows = [(i, f"great item number {i}", 1) for i in range(40)]
+    data = spark.createDataFrame(rows, "doc_id int, text string, label int")
+    from pyspark.ml.classification import LogisticRegression, NaiveBayes
+    cands = {"LR": lambda: LogisticRegression(maxIter=5), "NB": lambda: NaiveBayes()}
+    model, board = train_sentiment(data.where("doc_id % 5 <> 0"), data.where("doc_id % 5 = 0"),
+                                   candidates=cands, num_features=1 << 8)
+    got = board.collect()
+    assert len(got) == 2
+    for r in got:   # either a result or a recorded error, never an exception
+        assert r.error is not None or r.accuracy == 1.0
+        if r.error is None:
+            assert r.auc is None      # no negatives: ROC area undefined
