@@ -112,9 +112,11 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--year-mode", default="calendar", choices=tuple(R.YEAR_MODES))
     ap.add_argument("--dedupe-items", action="store_true")
     ap.add_argument("--show", action="store_true", help="print each report (job only)")
+    ap.add_argument("--cluster", action="store_true",
+                    help="apply the large-cluster session profile (session.CLUSTER_PROFILE)")
     args = ap.parse_args(argv)
 
-    spark = build_session(args.master)
+    spark = build_session(args.master, cluster=args.cluster)
     start = time.monotonic()
     if args.provider == "model":
         from reviewlens.operators.sentiment import model_sentiment

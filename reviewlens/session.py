@@ -26,13 +26,31 @@ SESSION_DEFAULTS = {
 }
 
 
+# Opt-in profile for a large cluster (~100 TB of reviews, ~1000 executors).
+# Start with many shuffle partitions and let AQE coalesce them to the advisory
+# size (an undersized shuffle spills; an oversized one is merged at run time);
+# split skewed join partitions; read large files in 256 MB splits.
+CLUSTER_PROFILE = {
+    "spark.sql.shuffle.partitions": "16000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def build_session(master: str | None = None, app_name: str = "reviewlens",
                   shuffle_partitions: int | None = None,
-                  extra: dict[str, str] | None = None) -> SparkSession:
+                  extra: dict[str, str] | None = None,
+                  cluster: bool = False) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(SESSION_DEFAULTS)
+    if cluster:
+        conf.update(CLUSTER_PROFILE)
     conf.setdefault("spark.ui.enabled", "false")
     conf.setdefault("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
