@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+MAX_BUCKETS = 1024
+
+
 def prefix_sums(df: DataFrame, order_col: str, cols: list[str], buckets: int | None = None,
                 descending: bool = False, relative_error: float = 1e-4) -> DataFrame:
     """Add ``<c>_before``: the sum of integral ``c`` over rows strictly earlier
@@ -20,7 +23,10 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], buckets: int | N
     should be distinct (aggregate by it first), which keeps the ranges
     balanced."""
     if buckets is None:
-        buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        # As many ranges as shuffle partitions, at most MAX_BUCKETS: the offset
+        # step is quadratic in the number of ranges (on one tiny row).
+        buckets = min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1),
+                      MAX_BUCKETS)
     v = F.col(order_col).cast("double")
     data = df.where(v.isNotNull()).withColumn("_v", -v if descending else v)
     cuts: list[float] = []
