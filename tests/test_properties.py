@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from reviewlens.functions.scalars import price_to_float, rank_to_long
 
 NUMBER = re.compile(r"^[0-9][0-9,]*(\.[0-9]*)?([eE][+-]?[0-9]+)?[ \t\n\r\f\v]*$")
-RANK = re.compile(r"\d+(,\d+)*")   # any Unicode digit run, like .NET \d
+RANK = re.compile(r"\d+(,\d+)*")   # any Unicode digit run (Unicode-aware \d)
 
 
 def py_price(text):

@@ -17,7 +17,7 @@ PRICES = [
 ]
 
 RANKS = [
-    (">#1,234 in Electronics", 1234), ("12,34,5 x", 12345), ("12345678901234567890", -1),
+    (">#1,234 in Audio", 1234), ("12,34,5 x", 12345), ("12345678901234567890", -1),
     ('[">#3,100 in X"]', 3100), (None, -1), ("", -1), ("unranked", -1), ("#7", 7),
     ("١٢ then 5", -1),
 ]
