@@ -43,9 +43,14 @@ REVIEW_SCHEMA = T.StructType([
     T.StructField("unixReviewTime", T.LongType()),
 ])
 
-# The development sample re-serialises reviews with one more field.
-REVIEW_SAMPLE_SCHEMA = T.StructType(REVIEW_SCHEMA.fields + [
+# The development sample re-serialises reviews with one more field, in this
+# field order.
+REVIEW_SAMPLE_SCHEMA = T.StructType([
+    T.StructField("reviewerID", T.StringType()),
+    T.StructField("asin", T.StringType()),
+    T.StructField("reviewText", T.StringType()),
     T.StructField("summary", T.StringType()),
+    T.StructField("unixReviewTime", T.LongType()),
 ])
 
 # Training text is read as strings; the label is cast afterwards so that

@@ -58,9 +58,9 @@ def test_sample_empty_lines_use_quota(spark):
 def test_sample_reserialize_and_failfast(spark):
     good = [json.dumps({"reviewerID": "r", "asin": "a", "reviewText": "t", "extra": 1})]
     path = write_lines(spark, good, "sample-ok")
-    out = json.loads(dev_sample(spark, path, n=5, clean=True, schema=REVIEW_SAMPLE_SCHEMA,
-                                defaults={"unixReviewTime": 0}).first().value)
-    assert out == {"reviewerID": "r", "asin": "a", "reviewText": "t", "unixReviewTime": 0, "summary": None}
+    line = dev_sample(spark, path, n=5, clean=True, schema=REVIEW_SAMPLE_SCHEMA,
+                      defaults={"unixReviewTime": 0}).first().value
+    assert line == '{"reviewerID":"r","asin":"a","reviewText":"t","summary":null,"unixReviewTime":0}' 
     bad = write_lines(spark, good + ['{"reviewerID": '], "sample-bad")
     with pytest.raises(Exception):
         dev_sample(spark, bad, n=5, clean=True, schema=REVIEW_SAMPLE_SCHEMA).collect()
