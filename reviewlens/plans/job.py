@@ -38,13 +38,24 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
     "counts": {...}, "out_dir": path}.  ``items`` are clean items, ``scored``
     clean reviews with an int ``sentiment``."""
     out_dir = out_dir or shared_path(spark, "reports")
+    timings: dict[str, float] = {}
+    clock = time.monotonic()
+
+    def lap(name: str) -> None:
+        nonlocal clock
+        now = time.monotonic()
+        timings[name] = round(now - clock, 3)
+        clock = now
+
     # The one pass over the reviews: per (asin, time bucket) counts, written
     # once.  Everything after reads compact tables.
     replace_table(review_stats(scored), f"{out_dir}/_review_stats")
     stats = read_table(spark, f"{out_dir}/_review_stats")
+    lap("review_stats")
     fact_path = f"{out_dir}/_fact"
     replace_table(join_fact(stats, item_weights(items, parity=parity)), fact_path)
     fact = read_table(spark, fact_path)
+    lap("fact")
     # Row counts after clean-up from the compact tables (no extra pass over
     # the reviews): one small row.
     counts_row = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("clean_review_count")).select(
@@ -72,6 +83,7 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
         }
         for j in jobs.values():
             j.result()
+    lap("reports_stage1")
     brands = written["brand_sentiment"]
     products = read_table(spark, f"{out_dir}/_products")
     # Stage 2: the time and demand reports take their brand list from the
@@ -85,10 +97,13 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
         ]
         for j in jobs:
             j.result()
+    lap("reports_stage2")
     written = {name: written[name] for name in REPORT_NAMES}
 
-    counts = counts_row.asDict()
-    return {"reports": written, "counts": counts, "out_dir": out_dir}
+    # How much the pre-aggregation shrank the data (row counts of written
+    # parquet tables come from file metadata).
+    counts = {**counts_row.asDict(), "review_stats_rows": stats.count(), "fact_rows": fact.count()}
+    return {"reports": written, "counts": counts, "timings": timings, "out_dir": out_dir}
 
 
 def check_keys(reports: dict[str, DataFrame]) -> DataFrame:
@@ -134,7 +149,8 @@ def main(argv: list[str] | None = None) -> None:
             print(name)
             df.show(truncate=False)
         check_keys(result["reports"]).show()
-    print(json.dumps({"counts": result["counts"], "out_dir": result["out_dir"],
+    print(json.dumps({"counts": result["counts"], "timings": result["timings"],
+                      "out_dir": result["out_dir"],
                       "minutes": (time.monotonic() - start) / 60}))
 
 
