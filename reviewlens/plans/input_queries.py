@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.operators import reports as R
 from reviewlens.operators.cleanup import clean_items, filter_items, known_items
+from reviewlens.operators.fact import build_fact
 from reviewlens.operators.sample import dev_sample
 from reviewlens.plans import inputs as I
 from reviewlens.plans.queries import query
@@ -218,3 +219,23 @@ def report_key_check(spark, sf_dir):
     for c in checks[1:]:
         out = out.unionByName(c)
     return out
+
+
+# -- duplicated metadata: k^2 parity versus semi-join mode ---------------------------
+
+def _duplicated_items_fact(spark, sf_dir, parity):
+    items = clean_items(_raw_items(spark, sf_dir)).select("asin", "title", "brand", "main_cat")
+    return build_fact(items, I.scored(spark, sf_dir), parity=parity)
+
+
+@query
+def category_sentiment_duplicated_items(spark, sf_dir):
+    """Category shares over metadata listing some asins twice: each of their
+    reviews counts 2 x 2 = 4 times, as the application's two joins do."""
+    return R.category_sentiment(_duplicated_items_fact(spark, sf_dir, parity=True))
+
+
+@query
+def category_sentiment_duplicated_items_semi(spark, sf_dir):
+    """Same with the known-items join as a semi join: counted 2 times."""
+    return R.category_sentiment(_duplicated_items_fact(spark, sf_dir, parity=False))

@@ -370,3 +370,16 @@ FROM r"""
 
 ORACLE_SQL["category_sentiment_sql"] = ORACLE_SQL["category_sentiment_ranked"]
 ORACLE_SQL["category_demand_sql"] = ORACLE_SQL["category_demand"]
+
+_DUP_ITEMS = f"""{RAW_ITEMS},
+dup_items AS (SELECT asin, title, brand, main_cat FROM raw WHERE {ITEM_FILTER}),
+{REVIEWS},
+scored AS (SELECT *, outcome AS sentiment FROM reviews)"""
+ORACLE_SQL["category_sentiment_duplicated_items"] = f"""WITH {_DUP_ITEMS},
+known AS (SELECT s.* FROM scored s JOIN (SELECT asin AS id FROM dup_items) ids ON s.asin = ids.id)
+SELECT i.main_cat, {SHARE} AS sentiment_rank, COUNT(1) AS review_count
+FROM known k JOIN dup_items i ON i.asin = k.asin GROUP BY i.main_cat"""
+ORACLE_SQL["category_sentiment_duplicated_items_semi"] = f"""WITH {_DUP_ITEMS},
+known AS (SELECT s.* FROM scored s WHERE s.asin IN (SELECT asin FROM dup_items))
+SELECT i.main_cat, {SHARE} AS sentiment_rank, COUNT(1) AS review_count
+FROM known k JOIN dup_items i ON i.asin = k.asin GROUP BY i.main_cat"""
