@@ -133,3 +133,20 @@ def test_single_class_labels_do_not_break_the_search(spark):
         assert r.error is not None or r.accuracy == 1.0
         if r.error is None:
             assert r.auc is None      # no negatives: ROC area undefined
+
+
+def test_fixed_seed_gives_the_same_leaderboard(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(["good", "fine", "bad", "poor"]) for _ in range(6)), i % 2)
+            for i in range(100)]
+    data = spark.createDataFrame(rows, "doc_id int, text string, label int")
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    cands = {"LR": lambda: LogisticRegression(maxIter=5),
+             "RF": lambda: RandomForestClassifier(numTrees=5, seed=1024)}
+    boards = []
+    for _ in range(2):
+        _, board = train_sentiment(data.where("doc_id % 5 <> 0"), data.where("doc_id % 5 = 0"),
+                                   candidates=cands, num_features=1 << 8)
+        boards.append(sorted(tuple(r[c] for c in ("trainer", "accuracy", "auc", "auprc", "f1", "error"))
+                             for r in board.collect()))
+    assert boards[0] == boards[1]
