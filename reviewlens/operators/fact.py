@@ -66,9 +66,21 @@ def build_fact(items: DataFrame, scored: DataFrame, parity: bool = True) -> Data
     return join_fact(review_stats(scored), item_weights(items, parity))
 
 
-def join_fact(stats: DataFrame, weights: DataFrame) -> DataFrame:
-    """``review_stats`` x ``item_weights`` on asin, counts multiplied by weight."""
-    return (stats.join(weights, "asin")
-            .select(*FACT_KEYS,
-                    (F.col("n") * F.col("weight")).alias("n"),
-                    (F.col("pos") * F.col("weight")).alias("pos")))
+def join_fact(stats: DataFrame, weights: DataFrame, keep_unknown: bool = False) -> DataFrame:
+    """``review_stats`` x ``item_weights`` on asin, counts multiplied by weight.
+
+    ``keep_unknown=True`` makes it a left join that also keeps the reviews of
+    asins missing from the metadata (their ``n`` / ``pos`` are NULL: filter
+    ``n IS NOT NULL`` for the reports) and adds ``reviews``, the unweighted
+    review count carried by exactly one row per stats row, so
+    ``sum(reviews)`` counts the clean reviews without another pass.
+    """
+    weighted = [(F.col("n") * F.col("weight")).alias("n"),
+                (F.col("pos") * F.col("weight")).alias("pos")]
+    if not keep_unknown:
+        return stats.join(weights, "asin").select(*FACT_KEYS, *weighted)
+    by_asin = Window.partitionBy("asin").orderBy("title", "brand", "main_cat")
+    flagged = weights.withColumn("_first", F.row_number().over(by_asin) == 1)
+    joined = stats.join(flagged, "asin", "left")
+    carried = F.when(F.col("weight").isNull() | F.col("_first"), F.col("n")).otherwise(F.lit(0))
+    return joined.select(*FACT_KEYS, *weighted, carried.cast("bigint").alias("reviews"))

@@ -4,10 +4,10 @@
         [--provider observed|labels|model] [--year-mode calendar|week] [--dedupe-items]
 
 Plan shape: the reviews are scanned once and pre-aggregated per (asin, time
-bucket) into a compact table written to the shared folder (cutting lineage:
-a lost executor re-reads it instead of re-running the scan); that table is
-joined once to the item table into the fact, also written, which the six
-reports aggregate.  Row counts come from the compact tables.
+bucket), joined once to the item weights, and the compact fact is written to
+the shared folder (cutting lineage: a lost executor re-reads it instead of
+re-running the scan and join); the six reports aggregate that table and the
+row counts come from it.
 Reports replace their tables as whole, written by the executors.
 """
 
@@ -47,18 +47,20 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
         timings[name] = round(now - clock, 3)
         clock = now
 
-    # The one pass over the reviews: per (asin, time bucket) counts, written
-    # once.  Everything after reads compact tables.
-    replace_table(review_stats(scored), f"{out_dir}/_review_stats")
-    stats = read_table(spark, f"{out_dir}/_review_stats")
-    lap("review_stats")
+    # The one pass over the reviews: per (asin, time bucket) counts joined
+    # to the item weights, written once.  The table also keeps the reviews
+    # of unknown asins (unweighted, for the clean-review count); the reports
+    # read its known-item rows.
     fact_path = f"{out_dir}/_fact"
-    replace_table(join_fact(stats, item_weights(items, parity=parity)), fact_path)
-    fact = read_table(spark, fact_path)
+    replace_table(join_fact(review_stats(scored), item_weights(items, parity=parity),
+                            keep_unknown=True), fact_path)
+    table_rows = read_table(spark, fact_path)
+    fact = table_rows.where(F.col("n").isNotNull()).drop("reviews")
     lap("fact")
-    # Row counts after clean-up from the compact tables (no extra pass over
-    # the reviews): one small row.
-    counts_row = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("clean_review_count")).select(
+    # Row counts after clean-up from the written table and the small item
+    # table (no extra pass over the reviews): one small row.
+    counts_row = table_rows.agg(
+        F.coalesce(F.sum("reviews"), F.lit(0).cast("bigint")).alias("clean_review_count")).select(
         items.select(F.count(F.lit(1))).scalar().alias("metadata_count"), "clean_review_count").first()
 
     written: dict[str, DataFrame] = {}
@@ -102,7 +104,7 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
 
     # How much the pre-aggregation shrank the data (row counts of written
     # parquet tables come from file metadata).
-    counts = {**counts_row.asDict(), "review_stats_rows": stats.count(), "fact_rows": fact.count()}
+    counts = {**counts_row.asDict(), "fact_rows": fact.count()}
     return {"reports": written, "counts": counts, "timings": timings, "out_dir": out_dir}
 
 

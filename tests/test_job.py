@@ -26,7 +26,7 @@ def test_job_matches_queries(spark):
     assert _rows(reports["brand_demand"]) == _rows(q["brand_demand"](spark, SF_CHECK))
     counts = result["counts"]
     assert (counts["metadata_count"], counts["clean_review_count"]) == (2000, 60000)
-    assert counts["review_stats_rows"] <= counts["clean_review_count"]
+    assert counts["fact_rows"] <= counts["clean_review_count"]
     for row in check_keys(reports).collect():
         assert row.null_keys == 0 and row.duplicate_keys == 0, row.report
 

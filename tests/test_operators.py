@@ -185,3 +185,15 @@ def test_hot_asin_with_a_third_of_reviews(spark):
         g = [r for r in rows if r[1] == brand]
         assert got[brand] == (len(g), sum(r[4] for r in g) / len(g) * 100)
     assert fact.where("asin = '0'").count() <= 501   # one row per time bucket, not per review
+
+
+def test_fact_keeping_unknown_reviews_counts_each_review_once(spark):
+    from reviewlens.operators.fact import item_weights, join_fact, review_stats
+    items = items_df(spark, [("a", "t1", "b", "E"), ("a", "t2", "b", "E"), ("a", "t1", "b", "E"),
+                             ("c", "t", "b", "F")])
+    scored = scored_df(spark, [("a", 0, 1), ("a", 0, 0), ("c", 86400 * 40, 1), ("zzz", 0, 1)])
+    full = join_fact(review_stats(scored), item_weights(items), keep_unknown=True)
+    assert full.agg(F.sum("reviews")).first()[0] == 4
+    known = full.where("n IS NOT NULL").drop("reviews")
+    plain = join_fact(review_stats(scored), item_weights(items))
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, plain.collect()))
