@@ -93,12 +93,17 @@ def reviews_clean(spark, sf_dir):
 
 @query
 def load_counts(spark, sf_dir):
-    """Row counts after each clean-up, as one row (scalar subquery, no collect)."""
+    """Row counts after each clean-up, as one row, without a row-level join:
+    the known-items join yields, per asin, (its reviews) x (its metadata
+    rows), so the count is the sum of that product over per-asin counts
+    (two partial aggregates and a join of compact tables)."""
     items = clean_items(_raw_items(spark, sf_dir))
-    known = known_items(I.reviews(spark, sf_dir), items)
+    per_item = items.groupBy("asin").agg(F.count(F.lit(1)).alias("copies"))
+    per_review = I.reviews(spark, sf_dir).groupBy("asin").agg(F.count(F.lit(1)).alias("reviews"))
     metadata_count = items.select(F.count(F.lit(1))).scalar()
-    return known.agg(F.count(F.lit(1)).alias("review_count")).select(
-        metadata_count.alias("metadata_count"), "review_count")
+    joined = per_review.join(per_item, "asin")
+    return joined.agg(F.coalesce(F.sum(F.col("reviews") * F.col("copies")), F.lit(0).cast("bigint"))
+                      .alias("review_count")).select(metadata_count.alias("metadata_count"), "review_count")
 
 
 # -- scans -----------------------------------------------------------------------
