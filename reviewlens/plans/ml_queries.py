@@ -150,3 +150,14 @@ def review_sentiment(spark, sf_dir):
     _, _, path = trained(spark, sf_dir)
     scored = model_sentiment(I.reviews(spark, sf_dir), load_model(path), texts=_docs(spark, sf_dir))
     return scored.select("rid", "asin", "unix_time", "doc_id", "sentiment", "score")
+
+
+@query
+def category_sentiment_model(spark, sf_dir):
+    """The application's report path end to end: category shares with every
+    review scored by the trained classifier."""
+    from reviewlens.operators.fact import build_fact
+    from reviewlens.operators.reports import category_sentiment
+    _, _, path = trained(spark, sf_dir)
+    scored = model_sentiment(I.reviews(spark, sf_dir), load_model(path), texts=_docs(spark, sf_dir))
+    return category_sentiment(build_fact(I.items(spark, sf_dir), scored))

@@ -10,7 +10,8 @@ from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-ROWS_ONLY = {"model_leaderboard", "best_model", "model_roundtrip", "review_sentiment"}
+ROWS_ONLY = {"model_leaderboard", "best_model", "model_roundtrip", "review_sentiment",
+             "category_sentiment_model"}
 
 
 def test_entry_smoke(spark):
