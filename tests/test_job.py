@@ -40,3 +40,15 @@ def test_demand_sums_to_joined_rows(spark):
     positives = fact.groupBy().sum("pos").first()[0]
     assert round(sum(r.review_count * r.sentiment_rank / 100 for r in shares)) == positives
     assert all(0 <= r.sentiment_rank <= 100 for r in shares)
+
+
+def test_job_command_line_options(spark, capsys):
+    import json
+    from reviewlens.plans.job import main
+    main(["--sf-dir", "/root/testdata/sf0.001", "--provider", "labels", "--year-mode", "week",
+          "--dedupe-items"])
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert out["counts"]["metadata_count"] == 200
+    # the label provider keeps only labelled reviews
+    assert 0 < out["counts"]["clean_review_count"] < 6000
+    assert set(out["timings"]) == {"fact", "reports_stage1", "reports_stage2"}
