@@ -83,11 +83,13 @@ def top_brands_by_reviews(report: DataFrame, n: int = TOP_BRANDS) -> DataFrame:
     return ranked(report, [("review_count", False), ("sentiment_rank", True)], ["brand"], n)
 
 
-def _only_brands(fact: DataFrame, brands: DataFrame) -> DataFrame:
-    # ``brands`` is a top-n list (n rows at most): broadcasting it is bounded.
+def _only_brands(fact: DataFrame, brands: DataFrame, bounded: bool = True) -> DataFrame:
     # A semi join instead of a literal IN list: quotes in names are harmless
-    # and an empty list simply yields no rows.
-    return fact.join(F.broadcast(brands.select("brand")), "brand", "left_semi")
+    # and an empty list simply yields no rows.  Our callers pass a top-n list
+    # (n rows at most), so broadcasting it is bounded; a caller's own frame
+    # (``bounded=False``) is left to AQE, which broadcasts it only if small.
+    keep = brands.select("brand")
+    return fact.join(F.broadcast(keep) if bounded else keep, "brand", "left_semi")
 
 
 def brand_sentiment_by_year(fact: DataFrame, brand_report: DataFrame,
@@ -163,9 +165,9 @@ def brand_demand(fact: DataFrame, brand_report: DataFrame, top: int = TOP_BRANDS
 
 
 def brand_demand_for(demand: DataFrame, brand: str | DataFrame) -> DataFrame:
-    """Slice of one brand: a name, or a (small) frame with a ``brand`` column."""
+    """Slice of one brand: a name, or a frame with a ``brand`` column."""
     if isinstance(brand, DataFrame):
-        return _only_brands(demand, brand)
+        return _only_brands(demand, brand, bounded=False)
     return demand.where(F.col("brand") == F.lit(brand))
 
 
