@@ -3,10 +3,10 @@
 1. Every text is reduced to its SHA-256; (id, digest) is written once, so the
    texts are read and hashed one time.
 2. A frequent-items sketch of the Misra-Gries family (``approx_top_k``) finds
-   the digests that may be frequent.  It is built per input partition, merged
-   in ``MERGE_GROUPS`` groups and then once more, so no task reads more than
-   that many sketches.  A digest held by over a ``1/TRACKED`` part of the rows
-   is always among the tracked ones.
+   the digests that may be frequent.  It is built per input partition and
+   merged in ``MERGE_GROUPS`` groups, whose most frequent items are summed.  A
+   digest held by over a ``1/TRACKED`` part of all rows holds that part of
+   some group's rows too, so it is always tracked there.
 3. The candidates are verified: their rows are counted exactly, with partial
    aggregation, into at most ``HEAVY`` winners (digest, largest id, count).
    These are broadcast, and rows of frequent digests are decided on the map
@@ -29,7 +29,7 @@ from .common import require, text_or_empty, written
 
 HEAVY = 1024          # most winners broadcast (about 60 bytes each)
 TRACKED = 4096        # items that a sketch tracks
-MERGE_GROUPS = 256    # sketches merged by the last step
+MERGE_GROUPS = 256    # groups of input partitions, a sketch each
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,9 +44,9 @@ def frequent_digests(rows: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED
     sketches = (rows.select(F.xxhash64("digest").alias("key"),
                             F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("part"))
                 .groupBy("part").agg(F.expr(f"approx_top_k_accumulate(key, {tracked})").alias("s")))
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
-    return (merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("c"))
-            .filter(F.col("c.count") > 1).select(F.col("c.item").alias("key")))
+    return (sketches.select(F.explode(F.expr(f"approx_top_k_estimate(s, {heavy})")).alias("c"))
+            .groupBy(F.col("c.item").alias("key")).agg(F.sum("c.count").alias("n"))
+            .filter("n > 1").orderBy(F.desc("n"), "key").limit(heavy).select("key"))
 
 
 def verified_winners(rows: DataFrame, candidates: DataFrame) -> DataFrame:
