@@ -6,11 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe as _bpe
 from . import exact_dedup as _exact
+from . import packing as _packing
 from . import simhash as _simhash
 from .common import read_table
 
 
+def vocabulary_path() -> str:
+    """Where the installed public tokenizer files lie."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (_bpe.digest_texts(read_table(spark, sf_dir, "documents"), vocabulary_path())
+            .withColumnRenamed("id", "doc_id"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _simhash.simhash_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -20,6 +37,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
