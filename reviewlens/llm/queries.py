@@ -10,6 +10,7 @@ from . import bpe as _bpe
 from . import exact_dedup as _exact
 from . import packing as _packing
 from . import simhash as _simhash
+from . import toxicity as _toxicity
 from .common import read_table
 
 
@@ -24,6 +25,11 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("id", "doc_id"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return _toxicity.score(docs, _toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -38,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op6_toxicity": op6_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_exact_dedup": op10_exact_dedup,
