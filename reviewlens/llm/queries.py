@@ -9,11 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe as _bpe
 from . import exact_dedup as _exact
 from . import packing as _packing
+from . import pii as _pii
 from . import simhash as _simhash
 from . import toxicity as _toxicity
 from .common import read_table
 
 
+PII_KEY = "example key"     # a caller brings a secret of their own
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii.replace_pii(read_table(spark, sf_dir, "documents"), PII_KEY, mark="n_replaced")
+
+
 def vocabulary_path() -> str:
     """Where the installed public tokenizer files lie."""
     import public_tokenizers
@@ -43,6 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op6_toxicity": op6_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
