@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe as _bpe
 from . import exact_dedup as _exact
 from . import packing as _packing
 from . import pii as _pii
 from . import simhash as _simhash
+from . import topk as _topk
 from . import toxicity as _toxicity
 from .common import read_table
 
@@ -22,6 +24,10 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii.replace_pii(read_table(spark, sf_dir, "documents"), PII_KEY, mark="n_replaced")
 
 
+def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def vocabulary_path() -> str:
     """Where the installed public tokenizer files lie."""
     import public_tokenizers
@@ -52,6 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
+    "op2_pivot_topk": op2_pivot_topk,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op6_toxicity": op6_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -60,6 +67,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_pivot_topk": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings
+                   WHERE embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                          CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+                   FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
