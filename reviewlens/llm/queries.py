@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe as _bpe
 from . import exact_dedup as _exact
+from . import line_dedup as _lines
 from . import packing as _packing
 from . import pii as _pii
 from . import simhash as _simhash
@@ -39,6 +40,12 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("id", "doc_id"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _lines.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return _toxicity.score(docs, _toxicity.train(docs, read_table(spark, sf_dir, "labels")))
@@ -60,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_pivot_topk": op2_pivot_topk,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_dedup": op9_simhash_dedup,
@@ -77,6 +85,27 @@ ORACLE_SQL: dict[str, str] = {
                    FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op5_line_dedup": """
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no
+                   FROM documents),
+             u AS (SELECT line, min((doc_id, no)) AS place, length(line) AS n FROM l GROUP BY line),
+             h AS (SELECT *, unnest([n, greatest(0, n - 1)]) AS m FROM u),
+             k AS (SELECT DISTINCT line, place, n, unnest([m || 'f' || left(line, greatest(0, (m - 1) // 2)),
+                                                           m || 'l' || right(line, greatest(0, (m - 1) // 2))]) AS k
+                   FROM h),
+             p AS (SELECT DISTINCT a.line AS a, a.n AS n, b.line AS b, b.n AS o FROM k a JOIN k b
+                   ON a.k = b.k AND b.place < a.place AND abs(a.n - b.n) <= 1),
+             e AS (SELECT DISTINCT a FROM p WHERE len(list_filter(range(greatest(n, o)), lambda i:
+                       CASE WHEN n = o THEN left(a, i) = left(b, i) AND substring(a, i + 2) = substring(b, i + 2)
+                            WHEN n > o THEN left(a, i) || substring(a, i + 2) = b
+                            ELSE left(b, i) || substring(b, i + 2) = a END)) > 0),
+             s AS (SELECT l.doc_id, l.no, l.line,
+                          (l.doc_id, l.no) = u.place AND l.line NOT IN (SELECT a FROM e) AS kept
+                   FROM l JOIN u ON l.line = u.line)
+        SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (kept) AS INTEGER) AS n_kept,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (kept), '')) AS text_sha256
+        FROM s GROUP BY doc_id""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
