@@ -13,9 +13,11 @@ from . import line_dedup as _lines
 from . import packing as _packing
 from . import pii as _pii
 from . import simhash as _simhash
+from . import token_counts as _counts
 from . import topk as _topk
 from . import toxicity as _toxicity
-from .common import read_table
+from ..session import shared_path
+from .common import read_table, written
 
 
 PII_KEY = "example key"     # a caller brings a secret of their own
@@ -51,6 +53,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.score(docs, _toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted; then, by their labels, those of low quality deleted and the others
+    revised to a tokenizer version that counts the end token; the second batch is replayed."""
+    counted = written(_counts.count_tokens(read_table(spark, sf_dir, "documents"), "byte_bpe_50k",
+                                           vocabulary_path()), "token-counts")
+    judged = (counted.join(read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q")),
+                           "doc_id").filter("q is not null")
+              .withColumn("op", F.when(F.col("q") == 0, "delete").otherwise("revise"))
+              .withColumns({"tokenizer": F.lit("byte_bpe_50k+end"), "tokens": F.col("tokens") + 1}))
+    store = _counts.Rollup(spark, shared_path(spark, "token-rollup"))
+    store.commit("inserts", counted.withColumns({"op": F.lit("insert"), "seq": F.lit(1)}))
+    store.commit("judged", judged.withColumn("seq", F.lit(2)))
+    store.commit("judged", judged.withColumn("seq", F.lit(3)))
+    return store.totals()
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack_documents(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -69,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_token_rollup": op7_token_rollup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_exact_dedup": op10_exact_dedup,
