@@ -15,6 +15,7 @@ from . import pii as _pii
 from . import simhash as _simhash
 from . import token_counts as _counts
 from . import topk as _topk
+from . import warc as _warc
 from . import toxicity as _toxicity
 from ..session import shared_path
 from .common import read_table, written
@@ -31,6 +32,44 @@ def op2_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def capture_records(pages: DataFrame) -> DataFrame:
+    """Five captures of each page: two full responses, of which the second has other content,
+    and revisits under a variant of the URL, after each of them and before both."""
+    md = F.md5("html")
+    http_date = lambda tag: F.concat(F.lit(tag), F.col("page_id").cast("string"))
+
+    def capture(n: int, kind: str, url, after: int, headers: dict, digest):
+        pairs = [x for k, v in headers.items() for x in (F.lit(k), v)]
+        held = F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")
+        return F.struct((F.col("page_id") * 5 + n).alias("record_id"), F.lit(kind).alias("type"), url.alias("url"),
+                        (F.col("page_id") + after).alias("time"),
+                        F.lit(200 if kind == "response" else 304).alias("status"),
+                        held.alias("headers"), digest.alias("digest"))
+
+    url = F.col("url")
+    none = F.lit(None).cast("string")
+    made = F.array(
+        capture(0, "response", url, 0, {
+            "Content-Type": F.lit("text/html"), "ETag": F.concat(F.lit('"'), md, F.lit('"')),
+            "Last-Modified": http_date("T"), "Cache-Control": F.lit("max-age=1"),
+            "Content-Length": F.length("html").cast("string")}, md),
+        capture(1, "revisit", F.concat(F.regexp_replace(url, "^https?://", "HTTPS://WWW."), F.lit("#a")), 1000, {
+            "etag": F.concat(F.lit('W/"'), md, F.lit('"')), "Cache-Control": F.lit("max-age=2"),
+            "Content-Length": F.lit("0"), "Date": http_date("D")}, none),
+        capture(2, "response", url, 2000, {
+            "ETag": F.concat(F.lit('"2'), md, F.lit('"')), "Last-Modified": http_date("U")}, F.md5(md)),
+        capture(3, "revisit", url, 3000, {
+            "Last-Modified": F.when(url.startswith("https"), http_date("U")).otherwise(http_date("T"))}, none),
+        capture(4, "revisit", url, -1, {}, md))
+    return pages.select(F.explode(made).alias("c")).select("c.*")
+
+
+def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _warc.resolve_revisits(capture_records(read_table(spark, sf_dir, "pages")))
+    fields = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(fields, "\n"))
+
+
 def vocabulary_path() -> str:
     """Where the installed public tokenizer files lie."""
     import public_tokenizers
@@ -84,6 +123,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_pivot_topk": op2_pivot_topk,
+    "op3_revisit_resolution": op3_revisit_resolution,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
@@ -104,6 +144,53 @@ ORACLE_SQL: dict[str, str] = {
                    FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op3_revisit_resolution": """
+        WITH p AS (SELECT page_id, url, md5(html) AS md, length(html) AS n FROM pages),
+             c AS (SELECT page_id * 5 AS id, 0 AS v, url, page_id AS t, md AS digest, '"' || md || '"' AS etag,
+                          'T' || page_id AS lm,
+                          ['cache-control: max-age=1', 'content-length: ' || n, 'content-type: text/html',
+                           'etag: "' || md || '"', 'last-modified: T' || page_id] AS h FROM p
+                   UNION ALL
+                   SELECT page_id * 5 + 1, 1, regexp_replace(url, '^https?://', 'HTTPS://WWW.') || '#a',
+                          page_id + 1000, NULL, 'W/"' || md || '"', NULL,
+                          ['cache-control: max-age=2', 'date: D' || page_id, 'etag: W/"' || md || '"'] FROM p
+                   UNION ALL
+                   SELECT page_id * 5 + 2, 0, url, page_id + 2000, md5(md), '"2' || md || '"', 'U' || page_id,
+                          ['etag: "2' || md || '"', 'last-modified: U' || page_id] FROM p
+                   UNION ALL
+                   SELECT page_id * 5 + 3, 1, url, page_id + 3000, NULL, NULL,
+                          CASE WHEN url LIKE 'https%' THEN 'U' ELSE 'T' END || page_id,
+                          ['last-modified: ' || CASE WHEN url LIKE 'https%' THEN 'U' ELSE 'T' END || page_id] FROM p
+                   UNION ALL
+                   SELECT page_id * 5 + 4, 1, url, page_id - 1, md, NULL, NULL, [] FROM p),
+             r AS (SELECT *, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '')
+                             AS rest FROM c),
+             u AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^(?:[^/?@]*@)?([^/?]*)', 1)),
+                                                           ':(80|443)?$', ''), '^www\\.', '') AS host,
+                          regexp_extract(rest, '^[^/?]*(/[^?]*)?', 1) AS path,
+                          list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\\?(.*)$', 1), '&'),
+                              lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN ('utm_source',
+                                  'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'gclid', 'fbclid', 'ref')))
+                              AS kept FROM r),
+             k AS (SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END ||
+                          CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canon FROM u),
+             j AS (SELECT a.id, a.canon, a.t, a.etag, a.lm, a.digest, a.h,
+                          (SELECT max((b.t, b.id)) FROM k b WHERE b.v = 0 AND b.canon = a.canon
+                                                              AND (b.t, b.id) < (a.t, a.id)) AS hit
+                   FROM k a WHERE a.v = 1),
+             m AS (SELECT j.*, s.id AS response_id, s.digest AS sd, s.h AS sh,
+                          CASE WHEN s.id IS NULL THEN 'no_response'
+                               WHEN j.etag IS NOT NULL THEN
+                                    CASE WHEN regexp_replace(j.etag, '^W/', '') = s.etag THEN 'resolved' ELSE 'mismatch' END
+                               WHEN j.lm IS NOT NULL THEN CASE WHEN j.lm = s.lm THEN 'resolved' ELSE 'mismatch' END
+                               WHEN j.digest = s.digest THEN 'resolved' ELSE 'unvalidated' END AS outcome
+                   FROM j LEFT JOIN k s ON s.v = 0 AND (s.t, s.id) = j.hit)
+        SELECT id AS record_id, canon AS url, t AS time, response_id, outcome,
+               CASE WHEN outcome = 'resolved' THEN sd END AS digest,
+               CASE WHEN outcome = 'resolved' THEN array_to_string(list_sort(list_concat(
+                    list_filter(sh, lambda x: len(list_filter(h, lambda y:
+                        string_split(y, ':')[1] = string_split(x, ':')[1])) = 0), h)), chr(10)) END AS headers
+        FROM m""",
     "op5_line_dedup": """
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no
