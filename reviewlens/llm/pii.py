@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import require, written
 
 SAME_LENGTH = 8
+BROADCAST_ROWS = 10_000     # documents with exceptions, each with a few short strings
 
 # What is looked for (Java patterns), in order of precedence.
 TITLES = "Mr Mrs Ms Miss Herr Frau Señor Señora Monsieur Madame Mme Г-н Г-жа".split()
@@ -51,24 +52,31 @@ GIVEN = {
     "female_cyrillic": "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана".split(),
 }
 _NAMES = "|".join(n for names in GIVEN.values() for n in names)
-_NOT_IN_WORD = r"(?<![\p{L}\p{N}_])"
 _NAME_WORD = r"\p{Lu}\p{Ll}+"
+SECRET_WORDS = "oken TOKEN ecret SECRET assword PASSWORD api_key API_KEY".split()
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?<=(?:[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Pp]assword|PASSWORD|[Aa]pi_key|API_KEY)"
-              r"[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9_-]{16,128}",
+    "secret": rf"(?=[A-Za-z0-9_-])(?<=(?:{'|'.join(SECRET_WORDS)})[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)"
+              r"[A-Za-z0-9_-]{16,128}",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}"
           r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![\p{N}]|\.[0-9])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[0-9]{0,3})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
              r"(?![\p{L}\p{N}])",
-    "name": _NOT_IN_WORD + rf"(?:(?:{'|'.join(TITLES)})\.? {_NAME_WORD}(?: {_NAME_WORD})?"
+    "name": rf"(?<![\p{{L}}\p{{N}}_])(?:(?:{'|'.join(TITLES)})\.? {_NAME_WORD}(?: {_NAME_WORD})?"
             rf"|(?:{_NAMES}) {_NAME_WORD})(?![\p{{L}}\p{{N}}])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-HINT = "[0-9@]|" + "|".join(["[Tt]oken", "TOKEN", "[Ss]ecret", "SECRET", "[Pp]assword", "PASSWORD",
-                             "[Aa]pi_key", "API_KEY", *TITLES, _NAMES])
+
+
+def pattern(*kinds: str) -> str:
+    """The kinds that begin with a digit and names, which one look at a character mostly rules
+    out, behind the more costly ``kinds``."""
+    dear = [f"(?:{PATTERNS[k]})" for k in kinds]
+    digits = "|".join(PATTERNS[k] for k in ("ip", "card", "ssn", "phone"))
+    return "|".join([*dear, f"(?=[0-9+(])(?:{digits})", f"(?=\\p{{Lu}})(?:{PATTERNS['name']})"])
+
+
 # Letters that stand for each other, by script.
 SCRIPTS = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñý",
            "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
@@ -78,19 +86,28 @@ def _literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` standing for ``value``, which is then evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _stream(seed: str, length: str) -> str:
     """SQL: enough hex digits, eight for each of ``length`` characters."""
     return (f"array_join(transform(sequence(0, cast(({length}) div 8 as int)), "
             f"b -> sha2(concat({seed}, '/', b), 256)), '')")
 
 
+def _number(at: str = "i") -> str:
+    """SQL: the number at a character's place of the stream ``s``."""
+    return f"cast(conv(substring(s, 8 * {at} + 1, 8), 16, 10) as bigint)"
+
+
 def _substituted(text: str, seed: str) -> str:
     """SQL: each character of lower-case ``text`` replaced within its script."""
-    value = "cast(conv(substring(s, 8 * i + 1, 8), 16, 10) as bigint)"
-    cases = " ".join(f"when instr({_literal(a)}, c) > 0 then substring({_literal(a)}, "
-                     f"cast({value} % {len(a)} as int) + 1, 1)" for a in SCRIPTS)
-    return (f"array_join(transform(array({_stream(seed, f'length({text})')}), "
-            f"s -> array_join(transform(split({text}, ''), (c, i) -> case {cases} else c end), '')), '')")
+    new = _let("a", f"get(filter({SCRIPTS_SQL}, a -> instr(a, c) > 0), 0)",
+               f"if(a is null, c, substring(a, cast({_number()} % length(a) as int) + 1, 1))")
+    return _let("s", _stream(seed, f"length({text})"),
+                f"array_join(transform(split({text}, ''), (c, i) -> {new}), '')")
 
 
 def _luhn_sum(digits: str) -> str:
@@ -101,25 +118,29 @@ def _luhn_sum(digits: str) -> str:
             f"then if({digit} > 4, {digit} * 2 - 9, {digit} * 2) else {digit} end)")
 
 
-def _given(name: str, key: str) -> str:
-    """SQL: a given name's image under a keyed permutation of its list; other words as they are."""
-    cases = []
+SCRIPTS_SQL = f"array({', '.join(map(_literal, SCRIPTS))})"
+TITLES_SQL = f"array({', '.join(map(_literal, TITLES))})"
+
+
+def _given_map(key: str) -> str:
+    """SQL: a map that moves every given name to another one of its list, a keyed permutation."""
+    pairs = {}
     for kind, names in GIVEN.items():
         shuffled = sorted(names, key=lambda n: hashlib.sha256(f"{key}/{kind}/{n}".encode()).digest())
-        # the next one of the shuffled circle: a permutation that moves every name
-        cases += [f"when {_literal(a)} then {_literal(b)}"
-                  for a, b in zip(shuffled, shuffled[1:] + shuffled[:1], strict=True)]
-    return f"case {name} {' '.join(cases)} end"
+        pairs |= zip(shuffled, shuffled[1:] + shuffled[:1], strict=True)
+    return (f"map_from_arrays(array({', '.join(map(_literal, pairs))}), "
+            f"array({', '.join(map(_literal, pairs.values()))}))")
 
 
 class Surrogates:
-    """The SQL expressions for one secret key."""
+    """The SQL expressions for one secret key.
+
+    A canonical form is 'kind:value', so kinds never meet.
+    """
 
     def __init__(self, key: str):
-        self.key = key
         self.mac = _literal(hashlib.sha256(b"surrogates/" + key.encode()).hexdigest())
-
-    # the canonical forms are 'kind:value', so kinds never meet
+        self.given = _given_map(key)
 
     @staticmethod
     def kind(m: str) -> str:
@@ -130,45 +151,44 @@ class Surrogates:
                 f"when {m} rlike '^[+(0-9][-0-9 .()]+$' then 'phone' "
                 f"when instr({m}, ' ') > 0 then 'name' else 'secret' end")
 
+    def word(self, w: str, i: str) -> str:
+        """SQL: what stands for a title or given name; NULL for a surname."""
+        return (f"if({i} = 0 and array_contains({TITLES_SQL}, rtrim('.', {w})), {w}, "
+                f"element_at({self.given}, {w}))")
+
     def entities(self, m: str) -> str:
-        """SQL: the canonical forms in a match, an array (a name's surname words are one each)."""
+        """SQL: the canonical forms in a match, an array (one for each surname of a name)."""
         digits = f"regexp_replace({m}, '[^0-9]', '')"
-        words = (f"filter(split({m}, ' '), (w, i) -> not (i = 0 and rtrim('.', w) in "
-                 f"({', '.join(map(_literal, TITLES))})) and {_given('w', self.key)} is null)")
-        return (f"transform(array({self.kind(m)}), k -> case k "
-                f"when 'email' then array(concat('email:', lower({m}))) "
-                f"when 'ip' then array(concat('ip:', {m})) "
-                f"when 'ssn' then array(concat('ssn:', {digits})) "
-                f"when 'card' then array(concat('card:', {digits})) "
-                f"when 'phone' then array(concat('phone:', right({digits}, 10))) "
-                f"when 'name' then transform({words}, w -> concat('name:', lower(w))) "
-                f"else array(concat('secret:', lower({m}))) end)[0]")
+        return _let("k", self.kind(m), (
+            f"case when k = 'name' then transform(filter(split({m}, ' '), (w, i) -> {self.word('w', 'i')} is null), "
+            f"w -> concat('name:', lower(w))) else array(concat(k, ':', case when k in ('ssn', 'card') then {digits} "
+            f"when k = 'phone' then right({digits}, 10) else lower({m}) end)) end"))
 
     def surrogate(self, canon: str, attempt: str) -> str:
         """SQL: the surrogate 'kind:value' of a canonical form, the same at every place."""
-        kind, value = f"substring_index({canon}, ':', 1)", f"substring({canon}, instr({canon}, ':') + 1)"
-        seed = f"concat({self.mac}, '/', {canon}, '/', {attempt})"
-        grown = f"concat({value}, repeat(if({value} rlike '^[0-9]', '0', 'a'), " \
-                f"greatest(0, {attempt} - {SAME_LENGTH - 1})))"
-        domain = f"substring_index({value}, '@', -1)"
-        local = f"concat(substring_index({value}, '@', 1), repeat('a', greatest(0, {attempt} - {SAME_LENGTH - 1})))"
-        host = f"left({domain}, length({domain}) - length(substring_index({domain}, '.', -1)))"
-        at_host = f"concat({self.mac}, '/host/', {domain})"
-        octet = "cast(conv(substring(s, 8 * i + 1, 8), 16, 10) as bigint)"
-        ip = (f"array_join(transform(array({_stream(seed, '4')}), s -> array_join(transform(split({value}, '[.]'), "
-              f"(o, i) -> cast(case when {attempt} >= {SAME_LENGTH} then {octet} % 256 when length(o) = 1 then {octet} % 10 "
-              f"when length(o) = 2 then 10 + {octet} % 90 else 100 + {octet} % 156 end as string)), '.')), '')")
-        drawn = f"concat(left({value}, 1), {_substituted(f'substring({grown}, 2)', seed)})"
-        last = f"cast((10 - {_luhn_sum('concat(left(d, length(d) - 1), 0)')} % 10) % 10 as string)"
-        card = (f"array_join(transform(array({drawn}), d -> if({_luhn_sum(value)} % 10 = 0, "
-                f"concat(left(d, length(d) - 1), {last}), d)), '')")
-        hex_like = f"{kind} = 'secret' and {value} rlike '^[0-9a-f]+$'"
-        return (f"concat({kind}, ':', case when {hex_like} then left({_stream(seed, f'length({grown})')}, "
-                f"length({grown})) else case {kind} "
-                f"when 'email' then concat({_substituted(local, seed)}, '@', {_substituted(host, at_host)}, "
-                f"substring_index({domain}, '.', -1)) "
-                f"when 'ip' then {ip} when 'card' then {card} "
-                f"else {_substituted(grown, seed)} end end)")
+        more = f"greatest(0, {attempt} - {SAME_LENGTH - 1})"
+        host = "left(d, length(d) - length(substring_index(d, '.', -1)))"
+        host_seed = f"concat({self.mac}, '/host/', d)"
+        local = f"concat(substring_index(v, '@', 1), repeat('a', {more}))"
+        email = _let("d", "substring_index(v, '@', -1)", (
+            f"concat({_let('l', local, _substituted('l', 'z'))}, '@', {_let('h', host, _substituted('h', host_seed))}, "
+            f"substring_index(d, '.', -1))"))
+        octet = (f"cast(case when {attempt} >= {SAME_LENGTH} then {_number()} % 256 "
+                 f"when length(o) = 1 then {_number()} % 10 when length(o) = 2 then 10 + {_number()} % 90 "
+                 f"else 100 + {_number()} % 156 end as string)")
+        ip = _let("s", _stream("z", "4"), f"array_join(transform(split(v, '[.]'), (o, i) -> {octet}), '.')")
+        drawn = f"concat(left(v, 1), {_let('t', 'substring(g, 2)', _substituted('t', 'z'))})"
+        body = _let("e", "concat(left(d, length(d) - 1), '0')",
+                    f"concat(left(d, length(d) - 1), cast((10 - {_luhn_sum('e')} % 10) % 10 as string))")
+        card = _let("d", drawn, f"if({_luhn_sum('v')} % 10 = 0, {body}, d)")
+        grown = f"concat(v, repeat(if(v rlike '^[0-9]', '0', 'a'), {more}))"
+        cases = (f"case when k = 'secret' and v rlike '^[0-9a-f]+$' then left({_stream('z', 'length(g)')}, length(g)) "
+                 f"when k = 'email' then {email} when k = 'ip' then {ip} when k = 'card' then {card} "
+                 f"else {_substituted('g', 'z')} end")
+        return _let("k", f"substring_index({canon}, ':', 1)", _let(
+            "v", f"substring({canon}, length(k) + 2)", _let(
+                "z", f"concat({self.mac}, '/', {canon}, '/', {attempt})", _let(
+                    "g", grown, f"concat(k, ':', {cases})"))))
 
     @staticmethod
     def _formatted(m: str, value: str, digits_only: bool) -> str:
@@ -184,26 +204,32 @@ class Surrogates:
 
     def replacement(self, m: str, attempts: str) -> str:
         """SQL: the text in place of a match; ``attempts`` maps canonical forms that were drawn again."""
-        def drawn(canon: str) -> str:
-            again = f"coalesce(element_at({attempts}, {canon}), 0)"
-            return (f"array_join(transform(array({self.surrogate(canon, again)}), "
-                    f"x -> substring(x, instr(x, ':') + 1)), '')")
-        canon = f"{self.entities(m)}[0]"
+        def drawn(canon: str, body: str) -> str:
+            return _let("n", canon, _let("q", f"coalesce(element_at({attempts}, n), 0)", _let(
+                "x", self.surrogate("n", "q"), _let("y", "substring(x, instr(x, ':') + 1)", body))))
         digits = f"regexp_replace({m}, '[^0-9]', '')"
-        kept = f"left({digits}, greatest(0, length({digits}) - 10))"
-        surname = ("array_join(transform(array(" + drawn("concat('name:', lower(w))")
-                   + f"), v -> {self._formatted('w', 'v', False)}), '')")
-        words = (f"array_join(transform(split({m}, ' '), (w, i) -> case when i = 0 and rtrim('.', w) in "
-                 f"({', '.join(map(_literal, TITLES))}) then w else coalesce({_given('w', self.key)}, {surname}) end), ' ')")
-        return (f"transform(array({self.kind(m)}), k -> case when k = 'name' then {words} else "
-                f"array_join(transform(array({drawn(canon)}), v -> case "
-                f"when k = 'phone' then {self._formatted(m, f'concat({kept}, v)', True)} "
-                f"when k in ('card', 'ssn') then {self._formatted(m, 'v', True)} "
-                f"when k = 'ip' then v else {self._formatted(m, 'v', False)} end), '') end)[0]")
+        country = f"left({digits}, greatest(0, length({digits}) - 10))"
+        phone = _let("u", f"concat({country}, y)", self._formatted(m, "u", True))
+        surname = drawn("concat('name:', lower(w))", self._formatted("w", "y", False))
+        name = (f"array_join(transform(split({m}, ' '), (w, j) -> coalesce({self.word('w', 'j')}, {surname})), ' ')")
+        other = drawn(f"{self.entities(m)}[0]", (
+            f"case when p = 'phone' then {phone} when p in ('card', 'ssn') then {self._formatted(m, 'y', True)} "
+            f"when p = 'ip' then y else {self._formatted(m, 'y', False)} end"))
+        return _let("p", self.kind(m), f"if(p = 'name', {name}, {other})")
+
+
+def _by_pattern(text: str, make) -> Column:
+    """``make(pattern)`` with the dear kinds only in texts that hold their signs."""
+    at = F.contains(F.col(text), F.lit("@"))
+    secret = F.lit(False)
+    for word in SECRET_WORDS:
+        secret = secret | F.contains(F.col(text), F.lit(word))
+    return (F.when(at & secret, make(pattern("email", "secret"))).when(at, make(pattern("email")))
+            .when(secret, make(pattern("secret"))).otherwise(make(pattern())))
 
 
 def _matches(text: str) -> Column:
-    return F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
+    return _by_pattern(text, lambda p: F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)))
 
 
 def redrawn(entities: DataFrame, how: Surrogates) -> DataFrame:
@@ -241,12 +267,15 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", mark: str | N
     # the exceptions of a document are at most its own entities
     per_text = (held.join(again, "entity").groupBy("text_key")
                 .agg(F.map_from_entries(F.collect_list(F.struct("entity", "attempt"))).alias("_attempts")))
+    per_text = written(per_text, "pii-exceptions")
+    if per_text.count() <= BROADCAST_ROWS:
+        per_text = F.broadcast(per_text)        # else the texts are shuffled to their exceptions
     rows = docs.withColumn("_text_key", F.xxhash64(text_col))
     rows = rows.join(per_text, F.col("_text_key") == F.col("text_key"), "left")
     rows = rows.withColumn("_found", _matches(text_col)).withColumn(
         "_attempts", F.coalesce("_attempts", F.expr("cast(map() as map<string, int>)")))
     swapped = F.expr(f"transform(_found, m -> {how.replacement('m', '_attempts')})")
-    parts = F.split(F.col(text_col), ANY, -1)
+    parts = _by_pattern(text_col, lambda p: F.split(F.col(text_col), p, -1))
     text = F.array_join(F.zip_with(parts, swapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     out = [F.when(F.size("_found") > 0, text).otherwise(F.col(text_col)).alias(c) if c == text_col
            else F.col(f"`{c}`") for c in docs.columns]
