@@ -1,6 +1 @@
-"""Native column expressions (no Python UDFs): they stay inside whole-stage codegen."""
-
-from reviewlens.functions.scalars import (  # noqa: F401
-    calendar_year, date_to_epoch, epoch_day, month_of_year, price_to_float,
-    rank_to_long, week_year,
-)
+"""Native column expressions, without Python UDFs."""

@@ -41,7 +41,8 @@ def review_stats(scored: DataFrame) -> DataFrame:
 
 
 def item_weights(items: DataFrame, parity: bool = True) -> DataFrame:
-    """(asin, title, brand, main_cat) -> weight each review of the asin gets."""
+    """(asin, title, brand, main_cat) -> weight each review of the asin gets, and ``k``, how
+    often the known-items join yields it."""
     # Group first: the map-side partial count collapses the copies of an
     # asin before any shuffle (an asin listed a million times moves as one
     # row per map task).  The window then sees one row per distinct
@@ -49,11 +50,12 @@ def item_weights(items: DataFrame, parity: bool = True) -> DataFrame:
     grouped = (items.select("asin", "title", "brand", "main_cat")
                .groupBy("asin", "title", "brand", "main_cat")
                .agg(F.count(F.lit(1)).alias("copies")))
-    if not parity:
-        return grouped.withColumnRenamed("copies", "weight")
     k = F.sum("copies").over(Window.partitionBy("asin"))
+    if not parity:
+        return grouped.select("asin", "title", "brand", "main_cat", F.col("copies").alias("weight"),
+                              F.lit(1).cast("bigint").alias("k"))
     return grouped.select("asin", "title", "brand", "main_cat",
-                          (F.col("copies") * k).alias("weight"))
+                          (F.col("copies") * k).alias("weight"), k.alias("k"))
 
 
 def build_fact(items: DataFrame, scored: DataFrame, parity: bool = True) -> DataFrame:
@@ -66,21 +68,18 @@ def build_fact(items: DataFrame, scored: DataFrame, parity: bool = True) -> Data
     return join_fact(review_stats(scored), item_weights(items, parity))
 
 
-def join_fact(stats: DataFrame, weights: DataFrame, keep_unknown: bool = False) -> DataFrame:
+def join_fact(stats: DataFrame, weights: DataFrame, with_reviews: bool = False) -> DataFrame:
     """``review_stats`` x ``item_weights`` on asin, counts multiplied by weight.
 
-    ``keep_unknown=True`` makes it a left join that also keeps the reviews of
-    asins missing from the metadata (their ``n`` / ``pos`` are NULL: filter
-    ``n IS NOT NULL`` for the reports) and adds ``reviews``, the unweighted
-    review count carried by exactly one row per stats row, so
-    ``sum(reviews)`` counts the clean reviews without another pass.
+    ``with_reviews=True`` adds ``reviews``, n * k on exactly one row per stats
+    row, so ``sum(reviews)`` is the number of rows of the known-items join
+    without another pass.
     """
     weighted = [(F.col("n") * F.col("weight")).alias("n"),
                 (F.col("pos") * F.col("weight")).alias("pos")]
-    if not keep_unknown:
+    if not with_reviews:
         return stats.join(weights, "asin").select(*FACT_KEYS, *weighted)
     by_asin = Window.partitionBy("asin").orderBy("title", "brand", "main_cat")
     flagged = weights.withColumn("_first", F.row_number().over(by_asin) == 1)
-    joined = stats.join(flagged, "asin", "left")
-    carried = F.when(F.col("weight").isNull() | F.col("_first"), F.col("n")).otherwise(F.lit(0))
-    return joined.select(*FACT_KEYS, *weighted, carried.cast("bigint").alias("reviews"))
+    carried = F.when(F.col("_first"), F.col("n") * F.col("k")).otherwise(F.lit(0))
+    return stats.join(flagged, "asin").select(*FACT_KEYS, *weighted, carried.cast("bigint").alias("reviews"))

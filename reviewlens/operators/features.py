@@ -1,7 +1,7 @@
 """Text features: MLlib stages for the classifier, DataFrame views for checks.
 
 The classifier's featuriser: lower-cased whitespace tokens, English stop words
-removed, word unigrams + bigrams and character trigrams hashed into count
+removed; word unigrams + bigrams and character trigrams of what is left hashed into count
 vectors, L2-normalised, then scaled by the largest absolute value per feature
 (keeps sparse vectors sparse, unlike min-max scaling).
 
@@ -18,8 +18,6 @@ from pyspark.ml.feature import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.functions.stopwords import ENGLISH_STOP_WORDS
-from reviewlens.operators.partitioning import spread
 
 TOKEN_PATTERN = r"\s+"
 CHAR_GRAM = 3
@@ -64,7 +62,8 @@ def featurizer_stages(text_col: str = "text", num_features: int = NUM_FEATURES)
         tokenizer("_text", "_words"),
         stop_words_remover("_words", "_clean"),
         bigrams("_clean", "_bigrams"),
-        char_gram_stage("_text", "_chars"),
+        SQLTransformer(statement="SELECT *, array_join(_clean, ' ') AS _clean_text FROM __THIS__"),
+        char_gram_stage("_clean_text", "_chars"),
         HashingTF(inputCol="_clean", outputCol="_tf_words", numFeatures=num_features),
         HashingTF(inputCol="_bigrams", outputCol="_tf_bigrams", numFeatures=num_features),
         HashingTF(inputCol="_chars", outputCol="_tf_chars", numFeatures=num_features),
@@ -74,11 +73,22 @@ def featurizer_stages(text_col: str = "text", num_features: int = NUM_FEATURES)
     ]
 
 
+def english_stop_words() -> list[str]:
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
+def clean_words(text: Column) -> Column:
+    """The tokens of a text without the stop words, in order."""
+    stop = F.array(*[F.lit(w) for w in english_stop_words()])
+    return F.filter(F.split(F.lower(text), TOKEN_PATTERN),
+                    lambda w: (F.length(w) > 0) & ~F.array_contains(stop, w))
+
+
 # -- DataFrame views of the same steps ------------------------------------------
 
 def tokenized(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``words`` (tokens) and ``clean`` (stop words removed)."""
-    words = tokenizer(text_col, "words").transform(spread(docs))
+    words = tokenizer(text_col, "words").transform(docs)
     return stop_words_remover("words", "clean").transform(words)
 
 
@@ -95,8 +105,8 @@ def terms(docs: DataFrame, text_col: str = "text", key: str | None = None,
     if distinct_per_doc:
         words = F.array_distinct(words)
     cols = ([key] if key else []) + [F.explode(words).alias("term")]
-    kept = spread(docs).select(*cols).where(F.length("term") > 0)
-    stop = docs.sparkSession.createDataFrame([(w,) for w in ENGLISH_STOP_WORDS], "term string")
+    kept = docs.select(*cols).where(F.length("term") > 0)
+    stop = docs.sparkSession.createDataFrame([(w,) for w in english_stop_words()], "term string")
     return kept.join(F.broadcast(stop), "term", "left_anti")
 
 
@@ -112,7 +122,9 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def char_gram_counts(docs: DataFrame, text_col: str = "text", n: int = CHAR_GRAM) -> DataFrame:
-    grams = spread(docs).select(F.explode(char_grams(F.col(text_col), n)).alias("gram"))
+    """gram -> occurrences over all documents, in the text without its stop words."""
+    clean = F.array_join(clean_words(F.col(text_col)), " ")
+    grams = docs.select(F.explode(char_grams(clean, n)).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -47,21 +47,33 @@ def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
         F.sum(F.when(y == 0, 1).otherwise(0)).cast("bigint").alias("neg"))
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """One row: positives, negatives, auc_roc = P(score+ > score-) + P(tie)/2."""
-    ranked = prefix_sums(_by_score(df, label, score), "score", ["neg"])
-    agg = ranked.agg(
+def score_metrics(df: DataFrame, label: str = "label", score: str = "score", digits: int = 9) -> DataFrame:
+    """One row: positives, negatives, unscored, auc_roc, auc_pr from one pass over the distinct scores.
+
+    auc_roc = P(score+ > score-) + P(tie)/2; auc_pr = sum over distinct scores
+    of precision at that score or higher * added recall, rounded to ``digits``
+    (a double sum).  Rows without a score are left out and counted; NaN is the
+    highest score.
+    """
+    by_score = _by_score(df, label, score)
+    ranked = prefix_sums(by_score, "score", ["pos", "neg"])
+    all_pos = by_score.where(F.col("score").isNotNull()).agg(F.sum("pos")).scalar()
+    all_neg = by_score.where(F.col("score").isNotNull()).agg(F.sum("neg")).scalar()
+    unscored = df.where(F.col(score).isNull()).agg(F.count(F.lit(1))).scalar()
+    tp, fp = all_pos - F.col("pos_before"), all_neg - F.col("neg_before")
+    agg = ranked.withColumn("_tp", tp).withColumn("_fp", fp).agg(
         F.sum(F.col("pos") * (2 * F.col("neg_before") + F.col("neg"))).alias("u2"),
+        F.sum(F.col("pos") * F.col("_tp") / (F.col("_tp") + F.col("_fp"))).alias("s"),
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
-    return agg.select("positives", "negatives",
-                      _ratio(F.col("u2"), 2 * F.col("positives") * F.col("negatives")).alias("auc_roc"))
+    return agg.select(
+        "positives", "negatives", unscored.alias("unscored"),
+        _ratio(F.col("u2"), 2 * F.col("positives") * F.col("negatives")).alias("auc_roc"),
+        F.round(_ratio(F.col("s"), F.col("positives")), digits).alias("auc_pr"))
+
+
+def roc_auc(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    return score_metrics(df, label, score).select("positives", "negatives", "unscored", "auc_roc")
 
 
 def pr_auc(df: DataFrame, label: str = "label", score: str = "score", digits: int = 9) -> DataFrame:
-    """One row: positives, auc_pr = sum over distinct scores (high to low) of
-    precision(score) * added recall; rounded to ``digits`` (a double sum)."""
-    ranked = prefix_sums(_by_score(df, label, score), "score", ["pos", "neg"], descending=True)
-    tp = F.col("pos_before") + F.col("pos")
-    fp = F.col("neg_before") + F.col("neg")
-    agg = ranked.agg(F.sum(F.col("pos") * tp / (tp + fp)).alias("s"), F.sum("pos").alias("positives"))
-    return agg.select("positives", F.round(_ratio(F.col("s"), F.col("positives")), digits).alias("auc_pr"))
+    return score_metrics(df, label, score, digits).select("positives", "unscored", "auc_pr")

@@ -1,55 +1,50 @@
 """Prefix sums in a global order without a single-task window.
 
 A window ordered over a whole table runs in one task.  Instead the rows are
-cut into ``buckets`` value ranges at approximate quantiles, each range is
-summed in its own task, and the few range totals give each range its offset.
-Only the ``buckets - 1`` cut points pass through the driver.
+cut into value ranges at approximate quantiles, each range is summed in its own
+task, and the range totals (one small row each) are summed up in order to give
+each range its offset.  The cuts are a one-row aggregate within the plan:
+building it runs no job, and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-MAX_BUCKETS = 1024
-
-
 def prefix_sums(df: DataFrame, order_col: str, cols: list[str], buckets: int | None = None,
-                descending: bool = False, relative_error: float = 1e-4) -> DataFrame:
+                accuracy: int = 10_000) -> DataFrame:
     """Add ``<c>_before``: the sum of integral ``c`` over rows strictly earlier
-    in the order of ``order_col`` (NULLs excluded).  ``order_col`` values
-    should be distinct (aggregate by it first), which keeps the ranges
-    balanced."""
+    in the ascending order of ``order_col`` (NULLs excluded, NaN after every
+    number).  ``order_col`` values should be distinct (aggregate by it first),
+    which keeps the ranges balanced.  There are as many ranges as shuffle
+    partitions unless ``buckets`` says otherwise."""
     if buckets is None:
-        # As many ranges as shuffle partitions, at most MAX_BUCKETS: the offset
-        # step is quadratic in the number of ranges (on one tiny row).
-        buckets = min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1),
-                      MAX_BUCKETS)
+        buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     v = F.col(order_col).cast("double")
-    data = df.where(v.isNotNull()).withColumn("_v", -v if descending else v)
-    cuts: list[float] = []
-    if buckets > 1:
-        qs = [i / buckets for i in range(1, buckets)]
-        cuts = sorted(set(data.approxQuantile("_v", qs, relative_error)))
-    if cuts:
-        splits = [float("-inf"), *cuts, float("inf")]
-        data = Bucketizer(splits=splits, inputCol="_v", outputCol="_b").transform(data)
+    data = df.where(v.isNotNull()).withColumn("_v", v)
+    qs = [i / buckets for i in range(1, buckets)]
+    if qs:
+        cuts = data.where(~F.isnan("_v")).select(
+            F.coalesce(F.percentile_approx("_v", qs, accuracy), F.array().cast("array<double>"))).scalar()
+        # a value's range is the number of cuts below it, found in two steps:
+        # among every ``step``-th cut, then among the ``step`` cuts there
+        step = max(1, math.isqrt(len(qs)))
+        data = data.withColumn("_cuts", cuts).withColumn("_coarse", F.size(F.filter(
+            F.filter("_cuts", lambda c, i: i % step == 0), lambda c: c < F.col("_v"))))
+        start = F.greatest(F.lit(0), (F.col("_coarse") - 1) * step)
+        data = data.withColumn("_b", start + F.size(F.filter(
+            F.slice("_cuts", start + 1, F.lit(step)), lambda c: c < F.col("_v")))).drop("_cuts", "_coarse")
     else:
-        data = data.withColumn("_b", F.lit(0.0))
+        data = data.withColumn("_b", F.lit(0))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = data.groupBy("_b").agg(*[F.sum(c).cast("bigint").alias(f"_t_{c}") for c in cols])
-    # Range offsets from one array of the (at most ``buckets``) range totals,
-    # sorted by range: offset of range i = sum of the totals before it.
-    ranges = totals.agg(F.array_sort(F.collect_list(F.struct("_b", *[f"_t_{c}" for c in cols])))
-                        .alias("r"))
-
-    def before(c: str, i):
-        return F.aggregate(F.slice("r", F.lit(1), i), F.lit(0).cast("bigint"),
-                           lambda acc, x: acc + x[f"_t_{c}"])
-
-    offsets = ranges.select(F.explode(F.transform("r", lambda x, i: F.struct(
-        x["_b"].alias("_b"), *[before(c, i).alias(f"_o_{c}") for c in cols]))).alias("o")).select("o.*")
+    # one row per range: a running sum over them is small whatever the table
+    offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}")
+                                    for c in cols])
     within = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     out = data.join(F.broadcast(offsets), "_b")
     for c in cols:

@@ -1,10 +1,9 @@
 """Parallelism for CPU-heavy steps.
 
-Text featurisation and scoring cost far more per byte than scanning.  A scan
-of one large file with one row group is a single task; round-robin
-repartitioning it before the heavy step spreads the work over every core.
-Inputs that already have at least as many partitions as the cluster has
-cores (every input at scale) are returned untouched: no extra shuffle.
+Text featurisation and scoring cost far more per byte than scanning.  By
+default the file splits of the input decide how many tasks do that work; a
+caller whose input is one unsplittable file names a number of ``partitions``,
+which costs one round-robin shuffle.
 """
 
 from __future__ import annotations
@@ -12,8 +11,5 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        return df.repartition(n)
-    return df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    return df.repartition(partitions) if partitions else df

@@ -182,5 +182,7 @@ def keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     task).
     """
     others = [c for c in df.columns if c not in keys]
-    last = F.max_by(F.struct(*others), F.col(seq)).alias("_last")
+    # a NULL ``seq`` sorts first, so a key that has nothing else keeps its row
+    order = F.struct(F.col(seq).isNotNull(), F.col(seq))
+    last = F.max_by(F.struct(*others), order).alias("_last")
     return df.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*df.columns)

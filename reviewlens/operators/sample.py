@@ -17,28 +17,13 @@ from reviewlens.sources.files import read_text_lines
 
 
 def first_lines(lines: DataFrame, n: int = SAMPLE_LINES) -> DataFrame:
-    """``lines`` from ``read_text_lines``; the first n in file order, then the
-    non-empty ones.  The cut is a bounded top-n (TakeOrderedAndProject)."""
-    head = lines.orderBy("file_name", "block_start", "seq").limit(n)
+    """``lines`` from ``read_text_lines``; the first n in the order of file
+    paths, then the non-empty ones.  The cut is a bounded top-n
+    (TakeOrderedAndProject)."""
+    head = lines.orderBy("file_path", "block_start", "seq").limit(n)
     return head.where(F.col("value").isNotNull() & (F.length("value") > 0))
 
 
-def leading_files(spark: SparkSession, source: str, n: int) -> list[str]:
-    """The files (in name order) that hold the first ``n`` lines of ``source``.
-
-    Only file metadata and bounded reads (``limit``) are used, so a sample of
-    a 100 TB folder reads the first file or two, not the folder.
-    """
-    files = sorted(spark.read.text(source).inputFiles())
-    chosen, seen = [], 0
-    for f in files:
-        chosen.append(f)
-        seen += spark.read.text(f).limit(n - seen).count()
-        if seen >= n:
-            break
-    return chosen
-
-
 def reserialize(lines: DataFrame, schema: T.StructType,
                 defaults: dict[str, object] | None = None) -> DataFrame:
     """Parse each line to ``schema`` (FAILFAST) and write it back as JSON with
@@ -54,16 +39,13 @@ def reserialize(lines: DataFrame, schema: T.StructType,
     return lines.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def dev_sample(spark: SparkSession, source: str, target: str | None = None,
+def dev_sample(spark: SparkSession, source: str | list[str], target: str | None = None,
                n: int = SAMPLE_LINES, clean: bool = False,
                schema: T.StructType | None = None,
                defaults: dict[str, object] | None = None) -> DataFrame:
-    """Sample ``source`` (a file or folder of JSON lines); write to ``target``
+    """Sample ``source`` (files or folders of JSON lines); write to ``target``
     as text when given.  Returns the sample's lines (``value``)."""
-    files = leading_files(spark, source, n)
-    if not files:
-        return spark.createDataFrame([], "value string")
-    sample = first_lines(read_text_lines(spark, files), n).select("value")
+    sample = first_lines(read_text_lines(spark, source), n).select("value")
     if clean:
         if schema is None:
             raise ValueError("clean=True needs the record schema")

@@ -27,28 +27,30 @@ def label_sentiment(reviews: DataFrame, labels: DataFrame, key: str = "doc_id",
 
 
 def model_sentiment(reviews: DataFrame, model: PipelineModel, text_col: str = "review_text",
-                    distinct_key: str | None = "doc_id", texts: DataFrame | None = None) -> DataFrame:
+                    distinct_key: str | None = None, texts: DataFrame | None = None,
+                    partitions: int | None = None) -> DataFrame:
     """Score with a fitted pipeline (JVM-side, batch; no per-row Python).
 
+    * by default every review row is scored in place;
     * ``texts`` given (``distinct_key`` + ``text``): the text store is scored
-      once per text and the 0/1 result joined onto the reviews by key; the
-      text never travels with the review rows.
-    * otherwise, with ``distinct_key``: each distinct text among the reviews
-      is scored once and joined back (copies cost one prediction).
-    * ``distinct_key=None``: every review row is scored in place.
+      once per key and the 0/1 result joined onto the reviews; the text never
+      travels with the review rows.  A review whose key is not in the store
+      stays, with a NULL ``sentiment``; a key that the store has twice counts once;
+    * ``distinct_key`` alone: each distinct text among the reviews is scored
+      once and joined back (copies cost one prediction).
 
     The model must read column ``text`` and write ``prediction``.
+    ``partitions`` spreads an unsplittable text store before scoring.
     """
-    if texts is not None and distinct_key is not None:
-        scored = model.transform(spread(texts.select(distinct_key, "text")))
-        return reviews.join(scored.select(distinct_key, *_outputs(scored)), distinct_key)
-    if distinct_key is None:
+    if texts is None and distinct_key is None:
         scored = model.transform(reviews.withColumn("text", F.col(text_col)))
         return scored.select(*reviews.columns, *_outputs(scored))
-    texts = (reviews.select(distinct_key, F.col(text_col).alias("text"))
-             .dropDuplicates([distinct_key]))
-    scored = model.transform(texts)
-    return reviews.join(scored.select(distinct_key, *_outputs(scored)), distinct_key)
+    if texts is None:
+        texts = reviews.select(distinct_key, F.col(text_col).alias("text"))
+    elif distinct_key is None:
+        raise ValueError("texts needs a distinct_key")
+    scored = model.transform(spread(texts.select(distinct_key, "text").dropDuplicates([distinct_key]), partitions))
+    return reviews.join(scored.select(distinct_key, *_outputs(scored)), distinct_key, "left")
 
 
 def _outputs(scored: DataFrame) -> list:

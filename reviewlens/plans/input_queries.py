@@ -64,31 +64,32 @@ def rank_clean(spark, sf_dir):
 @query
 def metadata_clean(spark, sf_dir):
     return clean_items(_raw_items(spark, sf_dir)).select(
-        "asin", "title", "brand", "main_cat", "description", "price", "unixTime", "rank")
+        "asin", "title", "brand", "main_cat", F.array_join("category", "|").alias("category"), "description",
+        F.array_join("image", "|").alias("image"), "price", "unixTime", "rank")
 
 
 # -- reviews -------------------------------------------------------------------
 
-REVIEW_COLUMNS = ("rid", "asin", "unix_time", "doc_id")
+REVIEW_COLUMNS = ("rid", "asin", "unix_time", "doc_id", "sha2(review_text, 256) AS review_text_sha256")
 
 
 @query
 def reviews_known_items(spark, sf_dir):
     """Reviews joined to the raw item list (an asin listed twice doubles its
-    reviews).  The text is carried; the check projects the review identity."""
+    reviews), with the digest of the text that each carries."""
     items = clean_items(_raw_items(spark, sf_dir))
-    return known_items(I.reviews(spark, sf_dir), items).select(*REVIEW_COLUMNS)
+    return known_items(I.reviews(spark, sf_dir), items).selectExpr(*REVIEW_COLUMNS)
 
 
 @query
 def reviews_known_items_semi(spark, sf_dir):
     items = clean_items(_raw_items(spark, sf_dir))
-    return known_items(I.reviews(spark, sf_dir), items, semi=True).select(*REVIEW_COLUMNS)
+    return known_items(I.reviews(spark, sf_dir), items, semi=True).selectExpr(*REVIEW_COLUMNS)
 
 
 @query
 def reviews_clean(spark, sf_dir):
-    return I.reviews(spark, sf_dir, blank_text_every=BLANK_REVIEW_TEXT_EVERY).select(*REVIEW_COLUMNS)
+    return I.reviews(spark, sf_dir, blank_text_every=BLANK_REVIEW_TEXT_EVERY).selectExpr(*REVIEW_COLUMNS)
 
 
 @query
@@ -154,7 +155,8 @@ def training_tsv_scan(spark, sf_dir):
 def sample_first_lines(spark, sf_dir):
     """First 1,000 lines of the metadata file, empty ones skipped, unchanged;
     compared through their parsed fields."""
-    lines = dev_sample(spark, _metadata_file(spark, sf_dir, ordered=True), n=SAMPLE_LINES)
+    lines = dev_sample(spark, _metadata_file(spark, sf_dir, ordered=True),
+                       shared_path(spark, "metadata-sample"), n=SAMPLE_LINES)
     rec = F.from_json("value", METADATA_SCHEMA)
     return lines.select(*[rec[c].alias(c) for c in
                           ("asin", "title", "brand", "main_cat", "price", "date", "rank")])
@@ -172,7 +174,7 @@ def sample_reserialized(spark, sf_dir):
                                .sortWithinPartitions("l_orderkey", "l_linenumber")))
     path = shared_path(spark, "reviews-json")
     lines.write.text(path)
-    sample = dev_sample(spark, path, n=SAMPLE_LINES, clean=True,
+    sample = dev_sample(spark, path, shared_path(spark, "review-sample"), n=SAMPLE_LINES, clean=True,
                         schema=REVIEW_SAMPLE_SCHEMA, defaults={"unixReviewTime": 0})
     rec = F.from_json("value", REVIEW_SAMPLE_SCHEMA)
     return sample.select(rec["reviewerID"].alias("reviewerID"), rec["asin"].alias("asin"),
@@ -185,12 +187,11 @@ def sample_reserialized(spark, sf_dir):
 
 @query
 def report_replace(spark, sf_dir):
-    """Write the category report twice to one table (the second replaces the
-    first) and read it back."""
+    """Write another report and then the category report to one table, and read it back."""
     report = R.category_sentiment(I.fact(spark, sf_dir))
     path = shared_path(spark, "category_sentiment")
-    replace_table(report, path, partitions=1)
-    replace_table(report, path, partitions=1)
+    replace_table(report.withColumn("review_count", -F.col("review_count")), path, REPORT_KEYS["category_sentiment"])
+    replace_table(report, path, REPORT_KEYS["category_sentiment"])
     return read_table(spark, path)
 
 
@@ -198,7 +199,7 @@ def report_replace(spark, sf_dir):
 def report_readback(spark, sf_dir):
     """Top brands computed from the brand table read back (chained input)."""
     path = shared_path(spark, "brand_sentiment")
-    replace_table(I.brand_report(spark, sf_dir), path, partitions=1)
+    replace_table(I.brand_report(spark, sf_dir), path, REPORT_KEYS["brand_sentiment"])
     return R.top_brands_by_sentiment(read_table(spark, path))
 
 
@@ -244,3 +245,41 @@ def category_sentiment_duplicated_items(spark, sf_dir):
 def category_sentiment_duplicated_items_semi(spark, sf_dir):
     """Same with the known-items join as a semi join: counted 2 times."""
     return R.category_sentiment(_duplicated_items_fact(spark, sf_dir, parity=False))
+
+
+# -- the job ------------------------------------------------------------------------
+
+@query
+def report_job_from_json(spark, sf_dir):
+    """The job's path on the application's files: JSON lines with malformed lines and duplicated
+    items -> read -> clean -> fact -> category report.  Texts of odd length count as positive."""
+    from reviewlens.operators.cleanup import clean_reviews
+    metadata, path = _metadata_file(spark, sf_dir), shared_path(spark, "reviews-json")
+    review_json_lines(_raw_reviews(spark, sf_dir)).write.text(path)
+    scored = clean_reviews(read_reviews(spark, path)).withColumn("sentiment", F.length("review_text") % 2)
+    return R.category_sentiment(build_fact(clean_items(read_metadata(spark, metadata)), scored))
+
+
+@query
+def job_counts(spark, sf_dir):
+    """The job's own row counts, on metadata with duplicated and missing items."""
+    from reviewlens.plans.job import run_reports
+    items = clean_items(_raw_items(spark, sf_dir))
+    counts = run_reports(spark, items, I.scored(spark, sf_dir))["counts"]
+    return spark.createDataFrame([(counts["metadata_count"], counts["review_count"])],
+                                 "metadata_count bigint, review_count bigint")
+
+
+def _job_table(name):
+    def run(spark, sf_dir):
+        from reviewlens.plans.job import run_reports
+        scored = I.scored(spark, sf_dir).withColumn("unix_time", F.when(
+            F.col("doc_id") % MISSING_TIME_EVERY != 0, F.col("unix_time")))
+        return run_reports(spark, I.items(spark, sf_dir), scored)["reports"][name]
+    run.__name__ = f"{name}_table"
+    run.__doc__ = f"The job's {name} table read back, when some reviews have no time."
+    return query(run)
+
+
+for _name in ("brand_sentiment_by_year", "category_demand", "brand_demand"):
+    _job_table(_name)

@@ -1,14 +1,18 @@
 """The report job: clean -> score -> one fact -> six reports -> tables.
 
-    python -m reviewlens.plans.job --sf-dir /root/testdata/sf0.1 [--out PATH]
-        [--provider observed|labels|model] [--year-mode calendar|week] [--dedupe-items]
+On the application's files, scored by a stored model:
+    python -m reviewlens.plans.job --metadata META.json --reviews REVIEWS.json --model PATH --out PATH
+On the test tables:
+    python -m reviewlens.plans.job --sf-dir /root/testdata/sf0.1 [--provider observed|labels|model]
+Further options: --year-mode calendar|week, --dedupe-items, --show, --jdbc-url URL, --cluster.
 
 Plan shape: the reviews are scanned once and pre-aggregated per (asin, time
 bucket), joined once to the item weights, and the compact fact is written to
 the shared folder (cutting lineage: a lost executor re-reads it instead of
 re-running the scan and join); the six reports aggregate that table and the
 row counts come from it.
-Reports replace their tables as whole, written by the executors.
+Reports replace their tables as whole, written by the executors, once their
+keys have been checked; rows with a NULL key are left out and counted.
 """
 
 from __future__ import annotations
@@ -22,10 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.operators import reports as R
+from reviewlens.operators.cleanup import clean_items, clean_reviews
 from reviewlens.operators.fact import item_weights, join_fact, review_stats
-from reviewlens.schemas import BRAND_MIN_REVIEWS, PRODUCT_MIN_REVIEWS, REPORT_KEYS
+from reviewlens.operators.model import load_model
+from reviewlens.operators.sentiment import model_sentiment
+from reviewlens.schemas import BRAND_MIN_REVIEWS, PRODUCT_MIN_REVIEWS, REPORT_KEYS, REPORT_SCHEMAS
 from reviewlens.session import build_session, shared_path
-from reviewlens.sinks.tables import key_check, read_table, replace_table
+from reviewlens.sources.files import read_metadata, read_reviews
+from reviewlens.sinks.tables import key_check, read_table, replace_table, replace_table_jdbc
 
 REPORT_NAMES = tuple(REPORT_KEYS)
 
@@ -33,9 +41,10 @@ REPORT_NAMES = tuple(REPORT_KEYS)
 def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
                 out_dir: str | None = None, parity: bool = True, year_mode: str = "calendar",
                 brand_min_reviews: int = BRAND_MIN_REVIEWS,
-                product_min_reviews: int = PRODUCT_MIN_REVIEWS) -> dict:
+                product_min_reviews: int = PRODUCT_MIN_REVIEWS,
+                jdbc_url: str | None = None, jdbc_properties: dict[str, str] | None = None) -> dict:
     """Build all reports; returns {"reports": {name: DataFrame read back},
-    "counts": {...}, "out_dir": path}.  ``items`` are clean items, ``scored``
+    "counts": {...}, "null_keys": {name: rows left out}, "out_dir": path}.  ``items`` are clean items, ``scored``
     clean reviews with an int ``sentiment``."""
     out_dir = out_dir or shared_path(spark, "reports")
     timings: dict[str, float] = {}
@@ -48,27 +57,31 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
         clock = now
 
     # The one pass over the reviews: per (asin, time bucket) counts joined
-    # to the item weights, written once.  The table also keeps the reviews
-    # of unknown asins (unweighted, for the clean-review count); the reports
-    # read its known-item rows.
+    # to the item weights, written once.
     fact_path = f"{out_dir}/_fact"
-    replace_table(join_fact(review_stats(scored), item_weights(items, parity=parity),
-                            keep_unknown=True), fact_path)
+    replace_table(join_fact(review_stats(scored), item_weights(items, parity=parity), with_reviews=True), fact_path)
     table_rows = read_table(spark, fact_path)
-    fact = table_rows.where(F.col("n").isNotNull()).drop("reviews")
+    fact = table_rows.drop("reviews")
     lap("fact")
-    # Row counts after clean-up from the written table and the small item
-    # table (no extra pass over the reviews): one small row.
+    # Row counts after clean-up and the known-items join, from the written
+    # table and the small item table (no extra pass over the reviews).
     counts_row = table_rows.agg(
-        F.coalesce(F.sum("reviews"), F.lit(0).cast("bigint")).alias("clean_review_count")).select(
-        items.select(F.count(F.lit(1))).scalar().alias("metadata_count"), "clean_review_count").first()
+        F.coalesce(F.sum("reviews"), F.lit(0).cast("bigint")).alias("review_count")).select(
+        items.select(F.count(F.lit(1))).scalar().alias("metadata_count"), "review_count").first()
 
     written: dict[str, DataFrame] = {}
 
+    left_out: dict[str, int] = {}
+
     def publish(name: str, df: DataFrame) -> DataFrame:
         path = f"{out_dir}/{name}"
-        replace_table(df, path, partitions=1)
+        got, want = [(f.name, f.dataType) for f in df.schema], [(f.name, f.dataType) for f in REPORT_SCHEMAS[name]]
+        if got != want:
+            raise TypeError(f"{name} has {got}, declared is {want}")
+        left_out[name] = replace_table(df, path, REPORT_KEYS[name])
         written[name] = read_table(spark, path)
+        if jdbc_url:
+            replace_table_jdbc(written[name], jdbc_url, name, jdbc_properties)
         return written[name]
 
     # Stage 1: reports of the fact alone, plus the HAVING-filtered product
@@ -105,7 +118,7 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
     # How much the pre-aggregation shrank the data (row counts of written
     # parquet tables come from file metadata).
     counts = {**counts_row.asDict(), "fact_rows": fact.count()}
-    return {"reports": written, "counts": counts, "timings": timings, "out_dir": out_dir}
+    return {"reports": written, "counts": counts, "null_keys": left_out, "timings": timings, "out_dir": out_dir}
 
 
 def check_keys(reports: dict[str, DataFrame]) -> DataFrame:
@@ -118,40 +131,61 @@ def check_keys(reports: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def main(argv: list[str] | None = None) -> None:
-    from reviewlens.plans import inputs as I
+def report_lists(reports: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The ranking lists that the console shows besides the six reports."""
+    brands, products = reports["brand_sentiment"], reports["product_sentiment"]
+    out = {"categories by sentiment": reports["category_sentiment"].orderBy(F.desc("sentiment_rank"), "main_cat")}
+    out |= {f"brands, {which}": R.brand_ranking(brands, which) for which in R.BRAND_RANKINGS}
+    out |= {f"products, {which}": R.product_ranking(products, which) for which in R.PRODUCT_RANKINGS}
+    return out
+
 
+def inputs_from_files(spark: SparkSession, metadata: str, reviews: str, model_path: str):
+    """(clean items, scored reviews) of the application's JSON files and a stored model."""
+    items = clean_items(read_metadata(spark, metadata))
+    return items, model_sentiment(clean_reviews(read_reviews(spark, reviews)), load_model(model_path))
+
+
+def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawTextHelpFormatter)
-    ap.add_argument("--sf-dir", required=True)
+    ap.add_argument("--metadata", help="product metadata, JSON lines")
+    ap.add_argument("--reviews", help="reviews, JSON lines")
+    ap.add_argument("--model", help="a stored sentiment model")
+    ap.add_argument("--sf-dir", help="the test tables instead of files")
     ap.add_argument("--out")
+    ap.add_argument("--jdbc-url", help="replace the report tables of this database, too")
     ap.add_argument("--master")
     ap.add_argument("--provider", default="observed", choices=("observed", "labels", "model"))
     ap.add_argument("--year-mode", default="calendar", choices=tuple(R.YEAR_MODES))
     ap.add_argument("--dedupe-items", action="store_true")
-    ap.add_argument("--show", action="store_true", help="print each report (job only)")
+    ap.add_argument("--show", action="store_true", help="print each report and ranking list (job only)")
     ap.add_argument("--cluster", action="store_true",
                     help="apply the large-cluster session profile (session.CLUSTER_PROFILE)")
     args = ap.parse_args(argv)
+    files = (args.metadata, args.reviews, args.model)
+    if bool(args.sf_dir) == any(files) or any(files) and not all(files):
+        ap.error("give --metadata, --reviews and --model, or --sf-dir")
 
     spark = build_session(args.master, cluster=args.cluster)
     start = time.monotonic()
-    if args.provider == "model":
-        from reviewlens.operators.sentiment import model_sentiment
-        from reviewlens.plans.ml_queries import trained
-        from reviewlens.sources.tables import table
-        model = trained(spark, args.sf_dir)[0]
-        docs = table(spark, args.sf_dir, "documents").select("doc_id", "text")
-        scored = model_sentiment(I.reviews(spark, args.sf_dir), model, texts=docs)
+    if not args.sf_dir:
+        items, scored = inputs_from_files(spark, *files)
     else:
-        scored = I.scored(spark, args.sf_dir, args.provider)
-    result = run_reports(spark, I.items(spark, args.sf_dir), scored, args.out,
-                         parity=not args.dedupe_items, year_mode=args.year_mode)
+        from reviewlens.plans import inputs as I
+        items = I.items(spark, args.sf_dir)
+        if args.provider == "model":
+            from reviewlens.plans.ml_queries import scored_reviews
+            scored = scored_reviews(spark, args.sf_dir)
+        else:
+            scored = I.scored(spark, args.sf_dir, args.provider)
+    result = run_reports(spark, items, scored, args.out, parity=not args.dedupe_items,
+                         year_mode=args.year_mode, jdbc_url=args.jdbc_url)
     if args.show:
-        for name, df in result["reports"].items():
+        for name, df in {**result["reports"], **report_lists(result["reports"])}.items():
             print(name)
             df.show(truncate=False)
         check_keys(result["reports"]).show()
-    print(json.dumps({"counts": result["counts"], "timings": result["timings"],
+    print(json.dumps({"counts": result["counts"], "null_keys": result["null_keys"], "timings": result["timings"],
                       "out_dir": result["out_dir"],
                       "minutes": (time.monotonic() - start) / 60}))
 

@@ -10,15 +10,15 @@ from reviewlens.operators import features as FT
 from reviewlens.operators.metrics import binary_metrics as _binary_metrics
 from reviewlens.operators.metrics import pr_auc as _pr_auc
 from reviewlens.operators.metrics import roc_auc as _roc_auc
-from reviewlens.operators.model import best_row, load_model, save_model, train_sentiment
+from reviewlens.operators.model import best_row, load_model, save_model, split_training, train_sentiment
+from reviewlens.operators.model import final_metrics as _final_metrics
+from reviewlens.operators.partitioning import spread
 from reviewlens.operators.sentiment import model_sentiment
 from reviewlens.plans import inputs as I
 from reviewlens.plans.queries import query
 from reviewlens.session import shared_path
 from reviewlens.sources.tables import table
 
-TEST_EVERY = 5   # labelled documents with doc_id % 5 = 0 are held out
-
 
 def _docs(spark, sf_dir):
     """Documents with missing text read as empty text."""
@@ -95,61 +95,98 @@ def pr_auc(spark, sf_dir):
 
 # -- model -------------------------------------------------------------------------
 
-_TRAINED: dict[tuple[int, str], tuple] = {}
+_TRAINED: dict[tuple[str, str], tuple] = {}
 _TRAINING = threading.Lock()
 
 
+def training_data(spark, sf_dir):
+    """Labelled documents: (doc_id, text, label)."""
+    return (table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+            .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").alias("label")))
+
+
 def training_split(spark, sf_dir):
-    """Labelled documents: (doc_id, text, label) train and held-out parts."""
-    data = (table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-            .select("doc_id", "text", F.col("quality").alias("label")))
-    held = F.pmod(F.col("doc_id"), F.lit(TEST_EVERY)) == 0
-    return data.where(~held), data.where(held)
+    return split_training(training_data(spark, sf_dir))
 
 
 def trained(spark, sf_dir):
-    """Search once per session and scale factor; the model is saved to and
+    """Search once per application and scale factor; the model is saved to and
     reloaded from the shared folder."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     with _TRAINING:
         if key not in _TRAINED:
-            train, test = training_split(spark, sf_dir)
-            model, board = train_sentiment(train, test)
+            # the test tables come as one file each: spread them over the cores
+            model, board = train_sentiment(training_data(spark, sf_dir),
+                                           partitions=spark.sparkContext.defaultParallelism)
             path = shared_path(spark, "sentiment-model")
-            if model is not None:
-                save_model(model, path)
+            save_model(model, path)
             _TRAINED[key] = (model, board, path)
         return _TRAINED[key]
 
 
+def scored_reviews(spark, sf_dir):
+    """Every clean review scored by the saved model: each document text is
+    scored once and the result joined to its reviews."""
+    _, _, path = trained(spark, sf_dir)
+    return model_sentiment(I.reviews(spark, sf_dir), load_model(path), distinct_key="doc_id",
+                           texts=_docs(spark, sf_dir), partitions=spark.sparkContext.defaultParallelism)
+
+
+def _rate_ok(*names):
+    ok = F.lit(True)
+    for n in names:
+        ok = ok & (F.col(n).isNull() | F.col(n).between(0.0, 1.0))    # NULL: a rate without cases
+    return ok
+
+
 @query
 def model_leaderboard(spark, sf_dir):
-    return trained(spark, sf_dir)[1]
+    """One row per candidate; its rates, which depend on the fit, as whether they are rates."""
+    return trained(spark, sf_dir)[1].select(
+        "iteration", "trainer", F.col("error").isNull().alias("fitted"),
+        _rate_ok("accuracy", "auc", "auprc", "f1").alias("rates_ok"))
 
 
 @query
 def best_model(spark, sf_dir):
-    return best_row(trained(spark, sf_dir)[1])
+    """Whether the winner has the leaderboard's best accuracy."""
+    board = trained(spark, sf_dir)[1]
+    top = board.agg(F.max("accuracy")).scalar()
+    return best_row(board).select((F.col("accuracy") == top).alias("is_best"),
+                                  _rate_ok("accuracy", "auc").alias("rates_ok"))
+
+
+@query
+def final_metrics(spark, sf_dir):
+    """The chosen model on the validation part: every row counted once, rates in range, and
+    better than always guessing the larger class."""
+    model, _, _ = trained(spark, sf_dir)
+    _, validation = training_split(spark, sf_dir)
+    m = _final_metrics(model, validation)
+    total = validation.select(F.count(F.lit(1))).scalar()
+    return m.select((F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn") == total).alias("all_counted"),
+                    _rate_ok("accuracy", "precision_pos", "recall_pos", "precision_neg", "recall_neg", "auc",
+                             "auprc", "majority_baseline").alias("rates_ok"),
+                    (F.col("accuracy") >= F.col("majority_baseline")).alias("beats_baseline"))
 
 
 @query
 def model_roundtrip(spark, sf_dir):
-    """Held-out predictions of the fitted model and of its saved copy."""
+    """Whether the fitted model and its saved copy predict the same, for every document."""
     model, _, path = trained(spark, sf_dir)
-    _, test = training_split(spark, sf_dir)
-    before = model.transform(test).select("doc_id", F.col("prediction").cast("int").alias("before"))
-    after = load_model(path).transform(test).select(
-        "doc_id", F.col("prediction").cast("int").alias("after"))
-    return before.join(after, "doc_id").withColumn("same", F.col("before") == F.col("after"))
+    docs = spread(_docs(spark, sf_dir), spark.sparkContext.defaultParallelism)
+    before = model.transform(docs).select("doc_id", F.col("prediction").alias("before"))
+    after = load_model(path).transform(docs).select("doc_id", F.col("prediction").alias("after"))
+    return before.join(after, "doc_id").select("doc_id", (F.col("before") == F.col("after")).alias("same"))
 
 
 @query
 def review_sentiment(spark, sf_dir):
-    """Every clean review scored by the saved model: each document text is
-    scored once and the result joined to its reviews."""
-    _, _, path = trained(spark, sf_dir)
-    scored = model_sentiment(I.reviews(spark, sf_dir), load_model(path), texts=_docs(spark, sf_dir))
-    return scored.select("rid", "asin", "unix_time", "doc_id", "sentiment", "score")
+    """Every clean review scored by the saved model."""
+    scored = scored_reviews(spark, sf_dir)
+    return scored.select("rid", "asin", "unix_time", "doc_id",
+                         F.col("sentiment").isin(0, 1).alias("sentiment_ok"),
+                         F.col("score").isNotNull().alias("score_ok"))
 
 
 @query
@@ -158,6 +195,5 @@ def category_sentiment_model(spark, sf_dir):
     review scored by the trained classifier."""
     from reviewlens.operators.fact import build_fact
     from reviewlens.operators.reports import category_sentiment
-    _, _, path = trained(spark, sf_dir)
-    scored = model_sentiment(I.reviews(spark, sf_dir), load_model(path), texts=_docs(spark, sf_dir))
-    return category_sentiment(build_fact(I.items(spark, sf_dir), scored))
+    report = category_sentiment(build_fact(I.items(spark, sf_dir), scored_reviews(spark, sf_dir)))
+    return report.select("main_cat", "review_count", F.col("sentiment_rank").between(0.0, 100.0).alias("share_ok"))

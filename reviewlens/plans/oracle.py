@@ -189,19 +189,19 @@ ORACLE_SQL["price_clean"] = f"WITH {RAW_ITEMS}\nSELECT asin, price AS price_text
 ORACLE_SQL["date_clean"] = f"WITH {RAW_ITEMS}\nSELECT asin, date AS date_text, {DATE} AS unixTime FROM raw"
 ORACLE_SQL["rank_clean"] = f"WITH {RAW_ITEMS}\nSELECT asin, rank AS rank_text, {RANK} AS rank FROM raw"
 ORACLE_SQL["metadata_clean"] = f"""WITH {RAW_ITEMS}
-SELECT asin, title, brand, main_cat, description, {PRICE} AS price, {DATE} AS unixTime, {RANK} AS rank
+SELECT asin, title, brand, main_cat, cat0 || '|' || cat1 AS category, description, '' AS image, {PRICE} AS price, {DATE} AS unixTime, {RANK} AS rank
 FROM raw WHERE {ITEM_FILTER}"""
 
 CLEAN_RAW = f"clean AS (SELECT * FROM raw WHERE {ITEM_FILTER})"
 ORACLE_SQL["reviews_known_items"] = f"""WITH {RAW_ITEMS},\n{CLEAN_RAW},\n{REVIEWS}
-SELECT r.rid, r.asin, r.unix_time, r.doc_id FROM reviews r
+SELECT r.rid, r.asin, r.unix_time, r.doc_id, sha256(r.review_text) AS review_text_sha256 FROM reviews r
 JOIN (SELECT asin AS id FROM clean) ids ON r.asin = ids.id"""
 ORACLE_SQL["reviews_known_items_semi"] = f"""WITH {RAW_ITEMS},\n{CLEAN_RAW},\n{REVIEWS}
-SELECT r.rid, r.asin, r.unix_time, r.doc_id FROM reviews r WHERE r.asin IN (SELECT asin FROM clean)"""
+SELECT r.rid, r.asin, r.unix_time, r.doc_id, sha256(r.review_text) AS review_text_sha256 FROM reviews r WHERE r.asin IN (SELECT asin FROM clean)"""
 ORACLE_SQL["reviews_clean"] = "WITH " + REVIEWS.replace(
     "AND dc.text IS NOT NULL)",
     "AND dc.text IS NOT NULL AND (l.l_orderkey * 7 + l.l_linenumber) % 13 <> 0)") + """
-SELECT rid, asin, unix_time, doc_id FROM reviews"""
+SELECT rid, asin, unix_time, doc_id, sha256(review_text) AS review_text_sha256 FROM reviews"""
 ORACLE_SQL["load_counts"] = f"""WITH {RAW_ITEMS},\n{CLEAN_RAW},\n{REVIEWS}
 SELECT (SELECT COUNT(*) FROM clean) AS metadata_count,
        (SELECT COUNT(*) FROM reviews r JOIN (SELECT asin AS id FROM clean) ids ON r.asin = ids.id)
@@ -312,10 +312,10 @@ ORACLE_SQL["term_counts"] = f"""WITH {TOKENS},\n{CLEAN}
 SELECT term, COUNT(*) AS count FROM (SELECT unnest(c) AS term FROM cln) GROUP BY term"""
 ORACLE_SQL["document_frequency"] = f"""WITH {TOKENS},\n{CLEAN}
 SELECT term, COUNT(*) AS doc_count FROM (SELECT unnest(list_distinct(c)) AS term FROM cln) GROUP BY term"""
-ORACLE_SQL["char_trigrams"] = """
+ORACLE_SQL["char_trigrams"] = f"""WITH {TOKENS},\n{CLEAN}
 SELECT gram, COUNT(*) AS count FROM (
-  SELECT unnest(list_transform(range(1, length(lower(t)) - 1), lambda i: substring(lower(t), i, 3))) AS gram
-  FROM (SELECT COALESCE(text, '') AS t FROM documents) WHERE length(lower(t)) >= 3)
+  SELECT unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram
+  FROM (SELECT array_to_string(c, ' ') AS t FROM cln) WHERE length(t) >= 3)
 GROUP BY gram"""
 ORACLE_SQL["max_abs_scaled_counts"] = f"""WITH {TOKENS},\n{CLEAN},
 tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(c) AS term FROM cln) GROUP BY doc_id, term)
@@ -355,6 +355,7 @@ ORACLE_SQL["roc_auc"] = f"""WITH {LABELLED},\n{BY_SCORE},
 r AS (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
                 AS neg_before FROM s)
 SELECT CAST(SUM(pos) AS BIGINT) AS positives, CAST(SUM(neg) AS BIGINT) AS negatives,
+       (SELECT count(*) FROM x WHERE score IS NULL) AS unscored,
        {_rate('SUM(pos * (2 * neg_before + neg))', '2 * SUM(pos) * SUM(neg)')} AS auc_roc
 FROM r"""
 
@@ -363,13 +364,15 @@ r AS (SELECT *,
   COALESCE(SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos_before,
   COALESCE(SUM(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_before
   FROM s)
-SELECT CAST(SUM(pos) AS BIGINT) AS positives,
+SELECT CAST(SUM(pos) AS BIGINT) AS positives, (SELECT count(*) FROM x WHERE score IS NULL) AS unscored,
        round(SUM(pos * (pos_before + pos) / (pos_before + pos + neg_before + neg)) / NULLIF(SUM(pos), 0), 9)
          AS auc_pr
 FROM r"""
 
-ORACLE_SQL["category_sentiment_sql"] = ORACLE_SQL["category_sentiment_ranked"]
-ORACLE_SQL["category_demand_sql"] = ORACLE_SQL["category_demand"]
+ORACLE_SQL["category_sentiment_ranked_sql"] = ORACLE_SQL["category_sentiment_ranked"]
+for _name in ("category_sentiment", "brand_sentiment", "brand_sentiment_by_year", "product_sentiment",
+              "category_demand", "brand_demand"):
+    ORACLE_SQL[f"{_name}_sql"] = ORACLE_SQL[_name]
 
 _DUP_ITEMS = f"""{RAW_ITEMS},
 dup_items AS (SELECT asin, title, brand, main_cat FROM raw WHERE {ITEM_FILTER}),
@@ -383,3 +386,50 @@ ORACLE_SQL["category_sentiment_duplicated_items_semi"] = f"""WITH {_DUP_ITEMS},
 known AS (SELECT s.* FROM scored s WHERE s.asin IN (SELECT asin FROM dup_items))
 SELECT i.main_cat, {SHARE} AS sentiment_rank, COUNT(1) AS review_count
 FROM known k JOIN dup_items i ON i.asin = k.asin GROUP BY i.main_cat"""
+
+
+# -- model queries: checked by contract, as no SQL knows the fitted predictions ---------------
+
+_TRAINERS = ("LogisticRegression(regParam=0.01)", "LogisticRegression(regParam=0.1)", "LinearSVC(regParam=0.01)",
+             "NaiveBayes(smoothing=1.0)", "NaiveBayes(smoothing=0.1)")
+ORACLE_SQL["model_leaderboard"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{name}', TRUE, TRUE)" for i, name in enumerate(_TRAINERS)) + ") v(iteration, trainer, fitted, rates_ok)"
+ORACLE_SQL["best_model"] = "SELECT TRUE AS is_best, TRUE AS rates_ok"
+ORACLE_SQL["final_metrics"] = "SELECT TRUE AS all_counted, TRUE AS rates_ok, TRUE AS beats_baseline"
+ORACLE_SQL["model_roundtrip"] = "SELECT doc_id, TRUE AS same FROM documents"
+ORACLE_SQL["review_sentiment"] = f"""WITH {REVIEWS}
+SELECT rid, asin, unix_time, doc_id, TRUE AS sentiment_ok, TRUE AS score_ok FROM reviews"""
+ORACLE_SQL["category_sentiment_model"] = over(
+    "category_report", "SELECT main_cat, review_count, TRUE AS share_ok FROM category_report")
+
+# -- the job ------------------------------------------------------------------------------
+
+ORACLE_SQL["job_counts"] = ORACLE_SQL["load_counts"]
+ORACLE_SQL["report_job_from_json"] = f"""WITH {RAW_ITEMS},
+dup_items AS (SELECT asin, title, brand, main_cat FROM raw WHERE {ITEM_FILTER} AND _key % 250 <> 125),
+{REVIEWS},
+known AS (SELECT s.*, length(review_text) % 2 AS sentiment FROM reviews s
+          JOIN (SELECT asin AS id FROM dup_items) ids ON s.asin = ids.id)
+SELECT i.main_cat, {SHARE} AS sentiment_rank, COUNT(1) AS review_count
+FROM known k JOIN dup_items i ON i.asin = k.asin GROUP BY i.main_cat"""
+
+# Reviews without a time: they count in no year and no month.
+TIMED = FACT.replace("FROM known k JOIN items i ON i.asin = k.asin)",
+                     "FROM known k JOIN items i ON i.asin = k.asin WHERE k.doc_id % 17 <> 0)")
+ORACLE_SQL["brand_sentiment_by_year_table"] = with_fact(f"""
+all_fact AS (SELECT i.brand, k.sentiment FROM known k JOIN items i ON i.asin = k.asin),
+report AS (SELECT brand, {SHARE} AS sentiment_rank, COUNT(1) AS review_count FROM all_fact GROUP BY brand
+           HAVING COUNT(1) >= 2000),
+top AS (SELECT brand FROM report ORDER BY sentiment_rank DESC, review_count ASC, brand LIMIT 10)
+SELECT brand, {CALENDAR_YEAR} AS year, {SHARE} AS sentiment_rank FROM fact
+WHERE brand IN (SELECT brand FROM top) GROUP BY brand, {CALENDAR_YEAR}""", fact=TIMED)
+ORACLE_SQL["category_demand_table"] = with_fact(f"""
+out AS (SELECT main_cat, {MONTH} AS month, COUNT(1) AS demand FROM fact GROUP BY main_cat, {MONTH})
+SELECT * FROM out""", fact=TIMED)
+ORACLE_SQL["brand_demand_table"] = with_fact(f"""
+all_fact AS (SELECT i.brand, k.sentiment FROM known k JOIN items i ON i.asin = k.asin),
+report AS (SELECT brand, {SHARE} AS sentiment_rank, COUNT(1) AS review_count FROM all_fact GROUP BY brand
+           HAVING COUNT(1) >= 2000),
+top AS (SELECT brand FROM report ORDER BY review_count DESC, sentiment_rank ASC, brand LIMIT 10)
+SELECT brand, {MONTH} AS month, COUNT(1) AS demand FROM fact
+WHERE brand IN (SELECT brand FROM top) GROUP BY brand, {MONTH}""", fact=TIMED)

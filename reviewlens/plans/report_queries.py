@@ -156,18 +156,29 @@ def last_write_wins(spark, sf_dir):
 
 # -- SQL façade --------------------------------------------------------------------
 
+def _views(spark, sf_dir):
+    """Views of one scale factor, under a prefix of its own."""
+    from reviewlens.plans.sql import register_views
+    prefix = "sf_" + "".join(c if c.isalnum() else "_" for c in sf_dir.rstrip("/").rsplit("/", 1)[-1]) + "_"
+    register_views(spark, I.items(spark, sf_dir), I.scored(spark, sf_dir), prefix)
+    return prefix
+
+
 @query
-def category_sentiment_sql(spark, sf_dir):
+def category_sentiment_ranked_sql(spark, sf_dir):
     """The ranked category report written as SQL over the registered views."""
-    from reviewlens.plans.sql import register_views
-    register_views(spark, I.fact(spark, sf_dir))
-    return spark.sql("SELECT * FROM Category_Sentiment "
+    return spark.sql(f"SELECT * FROM {_views(spark, sf_dir)}Category_Sentiment "
                      "ORDER BY sentiment_rank DESC, review_count DESC, main_cat")
 
 
-@query
-def category_demand_sql(spark, sf_dir):
-    """Category demand computed by SQL text over the ``fact`` view."""
-    from reviewlens.plans.sql import REPORT_SQL, register_views
-    register_views(spark, I.fact(spark, sf_dir))
-    return spark.sql(REPORT_SQL["category_demand"])
+def _row_level(name):
+    def run(spark, sf_dir):
+        from reviewlens.plans.sql import report_sql
+        return spark.sql(report_sql(name, _views(spark, sf_dir)))
+    run.__name__, run.__doc__ = f"{name}_sql", f"The {name} report as row-level SQL over the items and scored reviews."
+    return query(run)
+
+
+for _name in ("category_sentiment", "brand_sentiment", "brand_sentiment_by_year", "product_sentiment",
+              "category_demand", "brand_demand"):
+    _row_level(_name)

@@ -1,5 +1 @@
-"""Sinks: replace a report table (parquet or JDBC), read it back, check keys."""
-
-from reviewlens.sinks.tables import (  # noqa: F401
-    key_check, read_table, replace_table, replace_table_jdbc,
-)
+"""Report tables."""

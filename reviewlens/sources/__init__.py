@@ -1,9 +1 @@
-"""Readers: declared-schema JSON lines and TSV, text-line samples, and the
-mapping of the driver's parquet tables onto the application's inputs."""
-
-from reviewlens.sources.files import (  # noqa: F401
-    read_metadata, read_reviews, read_text_lines, read_training,
-)
-from reviewlens.sources.tables import (  # noqa: F401
-    items_from_parts, raw_metadata_from_parts, raw_reviews_from_tables, table,
-)
+"""Readers with declared schemas, and the tables as the application's inputs."""

@@ -76,6 +76,28 @@ def test_parquet_replace_and_key_check(spark):
     assert (check.rows, check.null_keys, check.duplicate_keys) == (3, 1, 1)
 
 
+def test_a_failing_replacement_leaves_the_old_table(spark):
+    path = shared_path(spark, "table")
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, path)
+    assert replace_table(spark.createDataFrame([("a", 1), (None, 2)], "k string, v int"), path, ["k"]) == 1
+    with pytest.raises(ValueError, match="repeat a key"):
+        replace_table(spark.createDataFrame([("c", 3), ("c", 4)], "k string, v int"), path, ["k"])
+    with pytest.raises(Exception):
+        replace_table(spark.range(3).selectExpr("raise_error('boom') AS k"), path, ["k"])
+    assert [tuple(r) for r in read_table(spark, path).collect()] == [("a", 1)]
+
+
+def test_sample_of_two_folders_with_equal_file_names_and_blanks(spark):
+    base = shared_path(spark, "sample with blank")
+    for folder, n in (("a", 3), ("b", 50)):
+        spark.createDataFrame([(f"{folder}{i}",) for i in range(n)], "value string").coalesce(1).write.text(f"{base}/{folder}")
+    got = sorted(r.value for r in dev_sample(spark, [f"{base}/b", f"{base}/a"], n=5).collect())
+    assert got == ["a0", "a1", "a2", "b0", "b1"]
+    out = f"{base}/out"
+    assert dev_sample(spark, [f"{base}/b", f"{base}/a"], out, n=5).count() == 5 == spark.read.text(out).count()
+
+
 def test_jdbc_replace_on_embedded_derby(spark):
     """In-process Derby database: visible only to this JVM (local mode)."""
     url = "jdbc:derby:memory:reviewlens_test;create=true"

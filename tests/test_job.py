@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 import __spark_entry__ as E
 from conftest import SF_CHECK
 from reviewlens.plans import inputs as I
@@ -25,8 +27,9 @@ def test_job_matches_queries(spark):
     assert _rows(reports["category_demand"]) == _rows(q["category_demand"](spark, SF_CHECK))
     assert _rows(reports["brand_demand"]) == _rows(q["brand_demand"](spark, SF_CHECK))
     counts = result["counts"]
-    assert (counts["metadata_count"], counts["clean_review_count"]) == (2000, 60000)
-    assert counts["fact_rows"] <= counts["clean_review_count"]
+    assert (counts["metadata_count"], counts["review_count"]) == (2000, 60000)
+    assert set(result["null_keys"].values()) == {0}
+    assert counts["fact_rows"] <= counts["review_count"]
     for row in check_keys(reports).collect():
         assert row.null_keys == 0 and row.duplicate_keys == 0, row.report
 
@@ -50,5 +53,34 @@ def test_job_command_line_options(spark, capsys):
     out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert out["counts"]["metadata_count"] == 200
     # the label provider keeps only labelled reviews
-    assert 0 < out["counts"]["clean_review_count"] < 6000
+    assert 0 < out["counts"]["review_count"] < 6000
     assert set(out["timings"]) == {"fact", "reports_stage1", "reports_stage2"}
+
+
+def test_job_on_files_with_a_stored_model(spark, capsys):
+    import json
+    from pyspark.ml.classification import NaiveBayes
+    from reviewlens.operators.model import save_model, train_sentiment
+    from reviewlens.plans.job import main
+    from reviewlens.session import shared_path
+    base = shared_path(spark, "job")
+    data = spark.createDataFrame([("good fine", 1), ("bad poor", 0)] * 20, "text string, label int")
+    model, _ = train_sentiment(data, data, candidates={"NB": lambda: NaiveBayes()}, num_features=1 << 8)
+    save_model(model, f"{base}/model")
+    items = [{"asin": "a", "title": "t", "brand": "b", "main_cat": "E"}] * 2 + [{"asin": "c", "title": "u", "brand": "b",
+                                                                                 "main_cat": "F"}]
+    reviews = [{"reviewerID": "r", "asin": a, "reviewText": t, "unixReviewTime": u} for a, t, u in
+               (("a", "good", 0), ("a", "bad", None), ("c", "fine", 86400), ("z", "good", 0), ("a", None, 0))]
+    for name, rows in (("items", items), ("reviews", reviews)):
+        spark.createDataFrame([(json.dumps(r),) for r in rows] + [("{",)], "value string").write.text(f"{base}/{name}")
+    main(["--metadata", f"{base}/items", "--reviews", f"{base}/reviews", "--model", f"{base}/model", "--out", f"{base}/out",
+          "--show"])
+    printed = capsys.readouterr().out
+    out = json.loads(printed.strip().splitlines()[-1])
+    # reviews of a count twice each (a is listed twice), that of c once
+    assert (out["counts"]["metadata_count"], out["counts"]["review_count"]) == (3, 5)
+    assert out["null_keys"]["category_demand"] == 1 and "brands, most_popular" in printed
+    from reviewlens.sinks.tables import read_table
+    assert sorted(map(tuple, read_table(spark, f"{base}/out/category_sentiment").collect())) == [("E", 50.0, 8), ("F", 100.0, 1)]
+    with pytest.raises(SystemExit):
+        main(["--metadata", "x"])

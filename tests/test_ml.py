@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from reviewlens.functions.stopwords import ENGLISH_STOP_WORDS
 from reviewlens.operators import features as FT
-from reviewlens.operators.metrics import binary_metrics, pr_auc, roc_auc
-from reviewlens.operators.model import best_row, load_model, save_model, train_sentiment
+from reviewlens.operators.metrics import binary_metrics, pr_auc, roc_auc, score_metrics
+from reviewlens.operators.model import (
+    NOT_STARTED, best_row, final_metrics, load_model, save_model, split_training, train_sentiment,
+)
 from reviewlens.operators.ordered import prefix_sums
 from reviewlens.session import shared_path
 
@@ -35,14 +37,35 @@ def test_prefix_sums_match_running_total(spark):
     rnd = random.Random(11)
     rows = [(float(v), rnd.randint(0, 5)) for v in rnd.sample(range(10000), 500)]
     df = spark.createDataFrame(rows, "s double, c bigint")
-    for buckets in (1, 3, 16):
-        for desc in (False, True):
-            got = {r.s: r.c_before for r in prefix_sums(df, "s", ["c"], buckets, desc).collect()}
-            order = sorted(rows, key=lambda r: -r[0] if desc else r[0])
-            total = 0
-            for s, c in order:
-                assert got[s] == total, (buckets, desc)
-                total += c
+    for buckets in (1, 3, 16, 700):
+        got = {r.s: r.c_before for r in prefix_sums(df, "s", ["c"], buckets).collect()}
+        total = 0
+        for s, c in sorted(rows):
+            assert got[s] == total, buckets
+            total += c
+
+
+def test_nan_is_the_highest_score_and_null_is_counted(spark):
+    rows = [(1, 0.5), (0, 0.1), (1, float("nan")), (0, None), (0, 0.7)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    got = score_metrics(df).first()
+    assert (got.positives, got.negatives, got.unscored) == (2, 2, 1)
+    assert got.auc_roc == 0.75 and got.auc_pr == pytest.approx((1 + 2 / 3) / 2)
+    assert score_metrics(df.limit(0)).first().auc_roc is None
+
+
+def test_building_metrics_runs_no_job(spark):
+    _, df = _scores(spark)
+    df = df.join(spark.range(2).withColumnRenamed("id", "label"), "label").groupBy("label", "score").count()
+    group = "build-only"
+    spark.sparkContext.setJobGroup(group, "building a plan")
+    try:
+        roc_auc(df)
+        pr_auc(df)
+        FT.char_gram_counts(spark.createDataFrame([("a b",)], "text string").distinct())
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def _scores(spark):
@@ -125,8 +148,12 @@ def test_single_class_labels_do_not_break_the_search(spark):
     data = spark.createDataFrame(rows, "doc_id int, text string, label int")
     from pyspark.ml.classification import LogisticRegression, NaiveBayes
     cands = {"LR": lambda: LogisticRegression(maxIter=5), "NB": lambda: NaiveBayes()}
-    model, board = train_sentiment(data.where("doc_id % 5 <> 0"), data.where("doc_id % 5 = 0"),
+    try:
+        _, board = train_sentiment(data.where("doc_id % 5 <> 0"), data.where("doc_id % 5 = 0"),
                                    candidates=cands, num_features=1 << 8)
+    except RuntimeError as none_fitted:
+        assert "no candidate was fitted" in str(none_fitted)
+        return
     got = board.collect()
     assert len(got) == 2
     for r in got:   # either a result or a recorded error, never an exception
@@ -150,3 +177,35 @@ def test_fixed_seed_gives_the_same_leaderboard(spark):
         boards.append(sorted(tuple(r[c] for c in ("trainer", "accuracy", "auc", "auprc", "f1", "error"))
                              for r in board.collect()))
     assert boards[0] == boards[1]
+
+
+def test_budget_split_and_final_metrics(spark):
+    rnd = random.Random(2)
+    rows = [(" ".join(rnd.choice(["good", "fine"] if i % 2 else ["bad", "poor"]) for _ in range(6)) + f" n{i}", i % 2)
+            for i in range(120)]
+    data = spark.createDataFrame(rows, "text string, label int")
+    train, validation = split_training(data)
+    assert train.count() + validation.count() == 120 and 5 < validation.count() < 60
+    from pyspark.ml.classification import LogisticRegression, NaiveBayes
+    cands = {"LR": lambda: LogisticRegression(maxIter=5), "NB": lambda: NaiveBayes()}
+    with pytest.raises(RuntimeError, match=NOT_STARTED):
+        train_sentiment(data, candidates=cands, num_features=1 << 8, budget_s=0)
+    model, board = train_sentiment(data, candidates=cands, num_features=1 << 8, partitions=2)
+    assert board.count() == 2
+    m = final_metrics(model, validation).first()
+    assert m.tp + m.fp + m.tn + m.fn == validation.count()
+    assert m.accuracy >= m.majority_baseline >= 0.5 and m.precision_neg is not None
+
+
+def test_reviews_without_a_stored_text_stay(spark):
+    from reviewlens.operators.sentiment import model_sentiment
+    rows = [("good fine", 1), ("bad poor", 0)] * 20
+    data = spark.createDataFrame(rows, "text string, label int")
+    from pyspark.ml.classification import NaiveBayes
+    model, _ = train_sentiment(data, data, candidates={"NB": lambda: NaiveBayes()}, num_features=1 << 8)
+    reviews = spark.createDataFrame([("r", "a", "good", 1), ("r", "a", None, 2), ("r", "a", "bad", 3)],
+                                    "rid string, asin string, review_text string, unix_time bigint")
+    assert sorted((r.unix_time, r.sentiment) for r in model_sentiment(reviews.dropna(), model).collect()) == [(1, 1), (3, 0)]
+    texts = spark.createDataFrame([(1, "good"), (1, "good")], "unix_time bigint, text string")
+    found = model_sentiment(reviews, model, distinct_key="unix_time", texts=texts).collect()
+    assert sorted((r.unix_time, r.sentiment) for r in found) == [(1, 1), (2, None), (3, None)]

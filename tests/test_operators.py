@@ -163,13 +163,17 @@ def test_partition_count_invariance(spark):
     assert total == build_fact(items, scored).agg(F.sum("n")).first()[0]
 
 
-def test_spread_only_when_too_few_partitions(spark):
+def test_spread_only_on_request(spark):
     from reviewlens.operators.partitioning import spread
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(100).coalesce(1)
-    assert spread(one).rdd.getNumPartitions() == cores
-    many = spark.range(100).repartition(cores * 2)
-    assert spread(many) is many
+    df = spark.range(100).coalesce(1)
+    assert spread(df) is df
+    assert spread(df, 3).rdd.getNumPartitions() == 3
+
+
+def test_keep_last_keeps_a_row_without_seq(spark):
+    df = spark.createDataFrame([("a", None, "x"), ("b", None, "y"), ("b", 1, "z"), ("b", 2, "w")],
+                               "k string, seq int, v string")
+    assert sorted(map(tuple, R.keep_last(df, ["k"], "seq").collect())) == [("a", None, "x"), ("b", 2, "w")]
 
 
 def test_hot_asin_with_a_third_of_reviews(spark):
@@ -187,13 +191,14 @@ def test_hot_asin_with_a_third_of_reviews(spark):
     assert fact.where("asin = '0'").count() <= 501   # one row per time bucket, not per review
 
 
-def test_fact_keeping_unknown_reviews_counts_each_review_once(spark):
+def test_fact_counts_the_rows_of_the_known_items_join(spark):
+    from reviewlens.operators.cleanup import known_items
     from reviewlens.operators.fact import item_weights, join_fact, review_stats
     items = items_df(spark, [("a", "t1", "b", "E"), ("a", "t2", "b", "E"), ("a", "t1", "b", "E"),
                              ("c", "t", "b", "F")])
     scored = scored_df(spark, [("a", 0, 1), ("a", 0, 0), ("c", 86400 * 40, 1), ("zzz", 0, 1)])
-    full = join_fact(review_stats(scored), item_weights(items), keep_unknown=True)
-    assert full.agg(F.sum("reviews")).first()[0] == 4
-    known = full.where("n IS NOT NULL").drop("reviews")
-    plain = join_fact(review_stats(scored), item_weights(items))
-    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, plain.collect()))
+    for parity in (True, False):
+        full = join_fact(review_stats(scored), item_weights(items, parity), with_reviews=True)
+        assert full.agg(F.sum("reviews")).first()[0] == known_items(scored, items, semi=not parity).count()
+        plain = join_fact(review_stats(scored), item_weights(items, parity))
+        assert sorted(map(tuple, full.drop("reviews").collect())) == sorted(map(tuple, plain.collect()))

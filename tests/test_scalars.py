@@ -93,3 +93,14 @@ def test_calendar_year_month_and_null(spark):
     rows = df.select(calendar_year("t"), month_of_year("t")).collect()
     assert tuple(rows[0]) == (2013, 12)
     assert tuple(rows[1]) == (None, None)
+
+
+def test_date_shapes(spark):
+    shapes = {" October 1, 2013 ": 0, "2013-10-01 10:30:00": 37800, "1 October 2013": 0, "10/1/2013 10:30": 37800,
+              "2013/10/01": 0, "2013-10-01T10:30:00": 37800, "Oct. 1, 2013": 0, "October 1, 2013 10:30 PM": 81000,
+              "2013-10-01T10:30:00+02:00": 30600, "1 Oct 2013": 0, "10/1/2013": 0, "Oct 1, 2013": 0}
+    df = spark.createDataFrame([(k,) for k in [*shapes, "n/a", None, ""]], "d string")
+    got = {r.d: r.t for r in df.select("d", date_to_epoch("d").alias("t")).collect()}
+    day = 1380585600
+    assert {k: got[k] - day for k in shapes} == shapes
+    assert got["n/a"] == got[None] == got[""] == -1
