@@ -84,3 +84,22 @@ def test_job_on_files_with_a_stored_model(spark, capsys):
     assert sorted(map(tuple, read_table(spark, f"{base}/out/category_sentiment").collect())) == [("E", 50.0, 8), ("F", 100.0, 1)]
     with pytest.raises(SystemExit):
         main(["--metadata", "x"])
+
+
+def test_training_program_and_sample_command(spark, capsys):
+    from reviewlens.operators.model import load_model
+    from reviewlens.plans import sample, train
+    from reviewlens.session import shared_path
+    base = shared_path(spark, "programs")
+    rows = [(f"{'good fine' if i % 2 else 'bad poor'} n{i}", ("true", "0")[1 - i % 2]) for i in range(80)] + [("no label", "x")]
+    spark.createDataFrame(rows, "text string, sentiment string").write.option("sep", "\t").csv(f"{base}/tsv")
+    train.main(["--training", f"{base}/tsv", "--model", f"{base}/model", "--partitions", "2"])
+    printed = capsys.readouterr().out
+    assert "majority_baseline" in printed and "NaiveBayes" in printed
+    scored = load_model(f"{base}/model").transform(spark.createDataFrame([("good fine",), ("bad poor",)], "text string"))
+    assert [r.prediction for r in scored.collect()] == [1.0, 0.0]
+    spark.createDataFrame([('{"reviewerID":"r","asin":"a","reviewText":"t"}',)] * 4, "value string").write.text(f"{base}/in")
+    sample.main(["--source", f"{base}/in", "--target", f"{base}/out", "--lines", "3", "--reviews"])
+    assert "3 lines" in capsys.readouterr().out
+    assert {r.value for r in spark.read.text(f"{base}/out").collect()} == {
+        '{"reviewerID":"r","asin":"a","reviewText":"t","summary":null,"unixReviewTime":0}'}
