@@ -4,6 +4,7 @@ import hashlib
 import numpy as np
 import pytest
 
+from llm_fixtures import docs, vocab  # noqa: F401
 from reviewlens.llm import bpe
 
 ODD = ["", "a", " ", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "\0<|endoftext|>", "\0\0", " \n\n  \t x", "a" * 23,

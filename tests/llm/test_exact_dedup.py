@@ -2,6 +2,7 @@
 import hashlib
 from collections import defaultdict
 
+from llm_fixtures import docs  # noqa: F401
 from reviewlens.llm import exact_dedup as E
 
 

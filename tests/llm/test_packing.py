@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from llm_fixtures import docs, vocab  # noqa: F401
 from reviewlens.llm import packing as P
 
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
+from llm_fixtures import docs  # noqa: F401
 from reviewlens.llm import simhash as S
 
 
