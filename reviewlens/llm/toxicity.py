@@ -72,13 +72,21 @@ def _bare(token: str) -> str:
 def word_table(texts: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, index of each word of all texts, number of words of each text)."""
     tokens: list[str] = []
+    held = []
     counts = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
         found = text.lower().split()
         counts[i] = len(found)
         tokens += found
-    coded = pa.array(tokens, pa.large_string()).dictionary_encode()
+        if len(tokens) > 100_000:               # Arrow holds them in a tenth of the memory
+            held.append(pa.array(tokens, pa.large_string()))
+            tokens = []
+    held.append(pa.array(tokens, pa.large_string()))
     del tokens
+    if not counts.sum():
+        return [], np.zeros(0, np.int64), counts
+    coded = pa.chunked_array(held).dictionary_encode().unify_dictionaries().combine_chunks()
+    del held
     bare = pa.array([_bare(t) for t in coded.dictionary.to_pylist()], pa.large_string()).dictionary_encode()
     which = bare.indices.to_numpy()[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
     words = bare.dictionary.to_pylist()
@@ -89,8 +97,13 @@ def word_table(texts: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]
     return words, which, counts
 
 
-def subwords(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: Sequence[str], chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
     """(buckets of all subwords, number of subwords of each word), word by word."""
+    parts = [_subwords(words[at:at + chunk]) for at in range(0, len(words), chunk)] or [_subwords([])]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _subwords(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w}>" for w in words]
     length = np.fromiter(map(len, marked), np.int64, len(marked))
     # a lone surrogate cannot be in a Spark string, so every character is one code point
@@ -112,7 +125,7 @@ def subwords(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
             buckets.append(((rolled[inside] * spread) >> shift).astype(np.int64))
     who, what = np.concatenate(owners), np.concatenate(buckets)
     order = np.argsort(who, kind="stable")
-    return what[order], np.bincount(who, minlength=len(words))
+    return what[order].astype(np.int32), np.bincount(who, minlength=len(words))
 
 
 def _segment_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -142,6 +155,22 @@ def _first_in_window(which: np.ndarray, in_window: np.ndarray, size: int = WINDO
     return first
 
 
+def _gathered_sums(table: np.ndarray, index: np.ndarray, weight: np.ndarray | float, counts: np.ndarray,
+                   chunk: int = 1 << 18) -> np.ndarray:
+    """Sums of ``table[index] * weight`` over consecutive groups of ``counts`` entries, in slices."""
+    out = np.zeros((len(counts), table.shape[1]), table.dtype)
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        start = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, start + chunk, side="right")))
+        part = slice(start, int(ends[to - 1]))
+        scale = weight if np.isscalar(weight) else weight[part]
+        out[at:to] = _segment_sums(table[index[part]] * scale, counts[at:to])
+        at = to
+    return out
+
+
 @dataclass
 class ToxicityModel:
     slope: np.ndarray        # per bucket: embedding times (toxic minus clean) layer
@@ -195,15 +224,22 @@ class _Trainer:
         """``word[i]`` is in ``window[i]``, a pair at most once, in the order of the windows."""
         self.window, self.word = window, word
         what, n = subwords(words)
-        owner = np.repeat(np.arange(len(words)), n)
-        weight = np.repeat((1 / n).astype(np.float32), n)
-        held = np.bincount(what, weights=np.bincount(self.word, minlength=len(words))[owner], minlength=BUCKETS)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), n)
+        windows_of = np.bincount(self.word, minlength=len(words)).astype(np.float32)
+        held = np.bincount(what, weights=windows_of[owner], minlength=BUCKETS)
         use = held[what] >= MIN_WINDOWS
-        owner, weight = owner[use], weight[use][:, None]
-        self.used, what = np.unique(what[use], return_inverse=True)
-        self.what, self.weight = what.astype(np.int32), weight
-        order = np.argsort(what, kind="stable")
-        self.back_owner, self.back_weight = owner[order].astype(np.int32), weight[order]
+        what, owner = what[use], owner[use]
+        del use
+        self.used = np.flatnonzero(np.bincount(what, minlength=BUCKETS))
+        place = np.zeros(BUCKETS, np.int32)
+        place[self.used] = np.arange(len(self.used))
+        self.what = what = place[what]
+        weight = (1 / n).astype(np.float32)
+        self.weight = weight[owner][:, None]
+        order = np.argsort(what, kind="stable").astype(np.int32)
+        self.back_owner = owner[order]
+        self.back_weight = weight[self.back_owner][:, None]
+        del order
         self.per_bucket = np.bincount(what, minlength=len(self.used))
         self.per_word = np.bincount(owner, minlength=len(words))
         order = np.argsort(self.word, kind="stable")
@@ -218,8 +254,8 @@ class _Trainer:
         self.steps = 0
 
     def forward(self) -> tuple[np.ndarray, np.ndarray]:
-        word_vec = _segment_sums(self.emb[self.what] * self.weight, self.per_word)
-        vec = _segment_sums(word_vec[self.word], self.words_of_window) / WINDOW
+        word_vec = _gathered_sums(self.emb, self.what, self.weight, self.per_word)
+        vec = _gathered_sums(word_vec, self.word, np.float32(1 / WINDOW), self.words_of_window)
         logit = vec @ self.layer + self.bias
         p = np.exp(logit - logit.max(1, keepdims=True))
         return vec, p / p.sum(1, keepdims=True)
@@ -229,8 +265,8 @@ class _Trainer:
         vec, p = self.forward()
         d = (p - np.stack([1 - toxic, toxic], 1)) * (weight / weight.sum())[:, None]
         d_vec = d @ self.layer.T / WINDOW
-        d_word = _segment_sums(d_vec[self.back_window], self.windows_of_word)
-        grads = (_segment_sums(d_word[self.back_owner] * self.back_weight, self.per_bucket) + DECAY * self.emb,
+        d_word = _gathered_sums(d_vec.astype(np.float32), self.back_window, np.float32(1), self.windows_of_word)
+        grads = (_gathered_sums(d_word, self.back_owner, self.back_weight, self.per_bucket) + DECAY * self.emb,
                  vec.T @ d + DECAY * self.layer, d.sum(0))
         for value, grad, (m, v) in zip((self.emb, self.layer, self.bias), grads, self.moments, strict=True):
             m += 0.1 * (grad - m)
