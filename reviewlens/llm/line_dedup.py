@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from .common import require, text_or_empty, written
 
 WINDOW = 64
+BROADCAST_ROWS = 1_000_000    # lines that may have a neighbour, 8 bytes each
 
 
 def _key(*parts: Column) -> Column:
@@ -66,10 +67,22 @@ def _digest() -> Column:
     return F.unhex(F.sha2("line", 256))
 
 
-def first_places(found: DataFrame) -> DataFrame:
-    """(digest, place, n): each distinct line's earliest place and number of places."""
-    return (found.select(_digest().alias("digest"), "place")
-            .groupBy("digest").agg(F.min("place").alias("place"), F.count("*").alias("n")))
+def _halves() -> Column:
+    """Keys that two lines share if one edit apart: a half, with the shorter one's length."""
+    n = F.length("line")
+
+    def of(shorter: Column) -> list[Column]:
+        h = F.greatest(F.lit(0), F.floor((shorter - 1) / 2).cast("int"))
+        return [F.xxhash64(shorter, F.lit("first"), F.substring("line", F.lit(1), h)),
+                F.xxhash64(shorter, F.lit("last"), F.right("line", h))]
+
+    return F.array(*of(n), *of(F.greatest(F.lit(0), n - 1)))
+
+
+def first_places(digested: DataFrame) -> DataFrame:
+    """(digest, place, n, halves): each distinct line's earliest place and number of places."""
+    return digested.groupBy("digest").agg(F.min("place").alias("place"), F.count("*").alias("n"),
+                                          F.first("halves").alias("halves"))
 
 
 def _sharing(keyed: DataFrame, *row: str) -> DataFrame:
@@ -79,17 +92,10 @@ def _sharing(keyed: DataFrame, *row: str) -> DataFrame:
     return keyed.join(shared, "k", "left_semi").select(*row).distinct()
 
 
-def with_half_neighbour(found: DataFrame) -> DataFrame:
-    """(line_hash): lines that share a half with another line that may be one edit away."""
-    n = F.length("line")
-
-    def halves(shorter: Column) -> list[Column]:
-        h = F.greatest(F.lit(0), F.floor((shorter - 1) / 2).cast("int"))
-        return [F.xxhash64(shorter, F.lit("first"), F.substring("line", F.lit(1), h)),
-                F.xxhash64(shorter, F.lit("last"), F.right("line", h))]
-
-    keys = F.array(*halves(n), *halves(F.greatest(F.lit(0), n - 1)))
-    return _sharing(found.select(F.xxhash64("line").alias("line_hash"), F.explode(keys).alias("k")), "line_hash")
+def with_half_neighbour(firsts: DataFrame) -> DataFrame:
+    """(line_hash): hashes of the digests of lines that share a half with another line."""
+    return _sharing(firsts.select(F.xxhash64("digest").alias("line_hash"), F.explode("halves").alias("k")),
+                    "line_hash")
 
 
 def windows(distinct: DataFrame) -> DataFrame:
@@ -99,7 +105,7 @@ def windows(distinct: DataFrame) -> DataFrame:
     cut = distinct.select("digest", "place", "line",
                           F.explode(F.sequence(F.lit(0), F.floor(n / WINDOW).cast("int"))).alias("w"))
     cut = cut.select(
-        "digest", "place", "w", F.xxhash64("line").alias("line_hash"),
+        "digest", "place", "w", F.xxhash64("digest").alias("line_hash"),
         F.expr(f"substring(line, w * {WINDOW} + 1, {WINDOW})").alias("body"),
         F.expr(f"xxhash64(left(line, w * {WINDOW}))").alias("before"),
         F.expr(f"xxhash64(substring(line, (w + 1) * {WINDOW} + 1))").alias("behind"),
@@ -125,7 +131,9 @@ def neighbourhood(cut: DataFrame) -> DataFrame:
     at = F.when(F.length("body") > 0, F.sequence(F.lit(0), F.length("body") - 1)).otherwise(
         F.array().cast("array<int>"))
     context = [F.col("w"), F.col("before"), F.col("behind")]
-    cuts = F.array_distinct(F.transform(at, lambda i: row("cut", *context, without(i))))
+    # of a run of one character any deletion is the same: the first stands for all
+    starts = F.filter(at, lambda i: (i == 0) | (F.substring("body", i, F.lit(1)) != F.substring("body", i + 1, F.lit(1))))
+    cuts = F.transform(starts, lambda i: row("cut", *context, without(i)))
     ats = F.transform(at, lambda i: row("at", *context, without(i), i))
     return (cut.select("digest", "place", F.explode(F.concat(itself, cuts, ats)).alias("x"))
             .select("digest", "place", F.col("x.key").alias("key"), F.col("x.kind").alias("kind")))
@@ -154,16 +162,20 @@ def earlier_neighbours(distinct: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(place, keep): the places of the lines that go, and that of the line they repeat."""
     found = lines(docs, id_col, text_col)
-    firsts = written(first_places(found), "lines-firsts")
-    able = with_half_neighbour(found)
-    texts = found.join(able, F.xxhash64("line") == F.col("line_hash"), "left_semi")
-    distinct = written(texts.select(_digest().alias("digest"), "line", "place").groupBy("digest")
+    digested = written(found.select("place", _digest().alias("digest"), _halves().alias("halves")), "lines-digests")
+    firsts = written(first_places(digested), "lines-firsts")
+    able = written(with_half_neighbour(firsts), "lines-able")
+    if able.count() <= BROADCAST_ROWS:
+        able = F.broadcast(able)                # else the lines are shuffled to it
+    texts = (found.select(_digest().alias("digest"), "line", "place")
+             .join(able, F.xxhash64("digest") == F.col("line_hash"), "left_semi"))
+    distinct = written(texts.groupBy("digest")
                        .agg(F.min("place").alias("place"), F.first("line").alias("line")), "lines-distinct")
     near = written(earlier_neighbours(distinct), "lines-near")
     # lines that stand at several places or have a neighbour; all others stay
     marked = (firsts.join(near, "digest", "left").filter((F.col("n") > 1) | F.col("neighbour").isNotNull())
               .select("digest", F.col("place").alias("first"), F.col("neighbour.place").alias("near")))
-    return (found.select(_digest().alias("digest"), "place").join(marked, "digest")
+    return (digested.select("digest", "place").join(marked, "digest")
             .filter(F.col("near").isNotNull() | (F.col("place") != F.col("first")))
             .select("place", F.coalesce("near", "first").alias("keep")))
 
