@@ -17,7 +17,8 @@ kept out of that and fits the scale and offset of the scores.
 Fitting uses a bounded sample of labelled rows (``SAMPLE`` of each class, the
 smallest by a hash of the id) on the driver.  Scoring reads every whole text of
 every row in tasks: since the layer is linear, a distinct word of a batch is
-reduced to one number once.
+reduced to one number once.  Every subword of the sample is trained; one seen in
+few windows weighs less by its count (``RARE``), so that noise stays small.
 
 Defined cases: a NULL text counts as empty; a text without words scores the
 share of toxic rows among the labelled; labels other than 0 and 1 and labels of
@@ -52,7 +53,7 @@ STEPS = 22            # of each round
 RATE = 0.1
 DECAY = 1e-6
 LONE = 0.2            # weight of a word of the clean texts as a window by itself
-MIN_WINDOWS = 30      # subwords of fewer training windows are not trained
+RARE = 10            # a subword of n training windows weighs n / (n + RARE) of a frequent one
 THRESHOLD = 0.3
 HELD_OUT = 2          # crc32(id) mod 4 of the rows that are never learned from
 SEED = 11
@@ -227,10 +228,9 @@ class _Trainer:
         owner = np.repeat(np.arange(len(words), dtype=np.int32), n)
         windows_of = np.bincount(self.word, minlength=len(words)).astype(np.float32)
         held = np.bincount(what, weights=windows_of[owner], minlength=BUCKETS)
-        use = held[what] >= MIN_WINDOWS
-        what, owner = what[use], owner[use]
-        del use
         self.used = np.flatnonzero(np.bincount(what, minlength=BUCKETS))
+        self.trust = (held[self.used] / (held[self.used] + RARE)).astype(np.float32)[:, None]
+        del held
         place = np.zeros(BUCKETS, np.int32)
         place[self.used] = np.arange(len(self.used))
         self.what = what = place[what]
@@ -254,7 +254,7 @@ class _Trainer:
         self.steps = 0
 
     def forward(self) -> tuple[np.ndarray, np.ndarray]:
-        word_vec = _gathered_sums(self.emb, self.what, self.weight, self.per_word)
+        word_vec = _gathered_sums(self.emb * self.trust, self.what, self.weight, self.per_word)
         vec = _gathered_sums(word_vec, self.word, np.float32(1 / WINDOW), self.words_of_window)
         logit = vec @ self.layer + self.bias
         p = np.exp(logit - logit.max(1, keepdims=True))
@@ -266,7 +266,8 @@ class _Trainer:
         d = (p - np.stack([1 - toxic, toxic], 1)) * (weight / weight.sum())[:, None]
         d_vec = d @ self.layer.T / WINDOW
         d_word = _gathered_sums(d_vec.astype(np.float32), self.back_window, np.float32(1), self.windows_of_word)
-        grads = (_gathered_sums(d_word, self.back_owner, self.back_weight, self.per_bucket) + DECAY * self.emb,
+        d_emb = _gathered_sums(d_word, self.back_owner, self.back_weight, self.per_bucket) * self.trust
+        grads = (d_emb + DECAY * self.emb,
                  vec.T @ d + DECAY * self.layer, d.sum(0))
         for value, grad, (m, v) in zip((self.emb, self.layer, self.bias), grads, self.moments, strict=True):
             m += 0.1 * (grad - m)
@@ -312,7 +313,7 @@ def fit(texts: Sequence[str], toxic: Sequence[int], prior: float) -> ToxicityMod
             trainer.step(np.append(label, np.zeros(len(lone))).astype(np.float32),
                          np.append(use, np.full(len(lone), LONE * ratio[y == 0][0])).astype(np.float32))
     slope = np.zeros(BUCKETS, np.float32)
-    slope[trainer.used] = trainer.emb @ (trainer.layer[:, 1] - trainer.layer[:, 0])
+    slope[trainer.used] = (trainer.emb * trainer.trust) @ (trainer.layer[:, 1] - trainer.layer[:, 0])
     model = ToxicityModel(slope, float(trainer.bias[1] - trainer.bias[0]), prior)
     return model.calibrated([t for t, a in zip(texts, aside, strict=True) if a], y[aside], ratio[aside])
 

@@ -50,6 +50,17 @@ def test_scores_do_not_depend_on_the_batch(corpus, model):
     assert (alone[50:53] == model.prior).all()
 
 
+def test_an_insult_of_few_windows_is_learned():
+    clean = [f"the {w} on the table {w}s and more of it" for w in ("cup", "pen", "book", "plate", "lamp", "card")]
+    # eight toxic texts of one window each, six of them trained on: each insult stands in three
+    toxic = [f"the {w} on the table is {bad}" for bad in ("zqworv", "kyxuft") for w in ("cup", "pen", "book", "lamp")]
+    model = T.fit(clean * 10 + toxic, [0] * 60 + [1] * 8, 0.1)
+    for bad in ("zqworv", "kyxuft"):
+        assert (model.slope[T.subwords([bad])[0]] != 0).all()
+    found = model.scores(["the plate on the table is zqworv", "the card on the table is kyxuft", clean[3]])
+    assert found[:2].min() > 3 * found[2]
+
+
 def test_subwords_of_a_word():
     what, n = T.subwords(["ab", "", "abcdef"])
     # <ab>: 2 trigrams, 1 4-gram; <>: none; <abcdef>: 6 + 5 + 4 + 3; and each word itself
