@@ -58,6 +58,19 @@ def encoding(vocab_path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(vocab_path, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=bpe.added)
 
 
+def token_ids(vocab_path: str, text: str) -> np.ndarray:
+    """The ids of a whole text.
+
+    The faster library's pattern gives up on a run of a million white-space
+    characters; such a text is encoded by ``ByteBpe``, to the same ids.
+    """
+    coder = encoding(vocab_path)
+    try:
+        return coder.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return vocabulary(vocab_path).encode([text])[0].astype(np.uint32)
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens."""
     head = n % capacity
@@ -71,12 +84,10 @@ def pieces(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding(vocab_path)
         for batch in batches:
             made, ids = [], []
             for row, text in enumerate(batch.column(1)):
-                tokens = np.append(coder.encode_to_numpy(text.as_py(), allowed_special="all"),
-                                   np.uint32(end_id)).astype("<u4")
+                tokens = np.append(token_ids(vocab_path, text.as_py()), np.uint32(end_id)).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(tokens), capacity)):
                     part = tokens[start:start + length]
                     made.append((row, k, start, length, zlib.crc32(part.tobytes())))

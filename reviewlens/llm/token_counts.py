@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import require, text_or_empty
-from .packing import encoding
+from .packing import token_ids
 
 GROUP = ("source", "lang", "tokenizer")
 OPS = ("insert", "revise", "delete")
@@ -53,9 +53,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, vocab_path: str, id_col: str =
                        text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding(vocab_path)
         for batch in batches:
-            n = [len(coder.encode_to_numpy(t.as_py(), allowed_special="all")) for t in batch.column(3)]
+            n = [len(token_ids(vocab_path, t.as_py())) for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array([tokenizer] * len(n), pa.string()), pa.array(n, pa.int64())],
                 ["doc_id", "source", "lang", "tokenizer", "tokens"])

@@ -8,6 +8,7 @@ import pytest
 
 from llm_fixtures import docs, vocab  # noqa: F401
 from reviewlens.llm import packing as P
+from reviewlens.llm.token_counts import count_tokens
 
 
 def best_fit(sizes, capacity):
@@ -73,5 +74,19 @@ def test_sequences_hold_the_ids(docs, vocab):
     assert all(len(r["ids"]) <= 16 for r in made)
 
 
+def test_a_million_blanks(docs, vocab):
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(vocab)
+    texts = ["a" + " " * 1_000_001 + "b <|endoftext|>", "\n" * 1_000_001, " " * 999_000 + "\t" * 2_000 + "é"]
+    for t in texts:
+        with pytest.raises(ValueError):
+            P.encoding(vocab).encode(t, allowed_special="all")
+        assert P.token_ids(vocab, t).tolist() == library.encode(t, add_special_tokens=False).ids
+    want = len(library.encode(texts[0], add_special_tokens=False).ids)
+    rows = docs([(1, texts[0])]).selectExpr("*", "'s' source", "'l' lang")
+    assert sum(r["length"] for r in P.pack_documents(rows, vocab).collect()) == want + 1
+    assert count_tokens(rows, "v", vocab).first()["tokens"] == want
+
+
 def test_empty_table(docs, vocab):
     assert P.pack_documents(docs([]), vocab).count() == 0
