@@ -38,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import require, text_or_empty, written
@@ -75,20 +75,25 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(text_or_empty(text_col), 256))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 words: int = WORDS) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long."""
+                 words: int = WORDS, with_digest: bool = False) -> DataFrame:
+    """(id, fp[, digest]): the fingerprint as a signed long, and the text's SHA-256."""
     require(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"),
+                       *[_digest(text_col).alias("digest")] * with_digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))],
-                                             ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]],
+                                             ["id", "fp", *batch.schema.names[2:]])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, fp bigint")
+    return rows.mapInArrow(run, f"id {kind}, fp bigint" + ", digest binary" * with_digest)
 
 
 # --- variants ---------------------------------------------------------------
@@ -244,17 +249,23 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  words: int = WORDS, half: int = HALF) -> DataFrame:
-    """One row per document: id, fingerprint (hex), component_id, kept (its id names the component)."""
-    rows = written(fingerprints(docs, id_col, text_col, words), "simhash-fingerprints")
+def _named(docs: DataFrame, id_col: str, text_col: str, words: int, half: int,
+           with_digest: bool = False) -> DataFrame:
+    """(fp, id[, digest], component_id), one row per document."""
+    rows = written(fingerprints(docs, id_col, text_col, words, with_digest), "simhash-fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
     nodes = written(components(links(distinct, half)), "simhash-components")
     rooted = (distinct.join(nodes, distinct["fp"] == nodes["node"], "left")
               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     named = (rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
              .select("fp", "component_id"))
-    return rows.join(named, "fp").select(
+    return rows.join(named, "fp")
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  words: int = WORDS, half: int = HALF) -> DataFrame:
+    """One row per document: id, fingerprint (hex), component_id, kept (its id names the component)."""
+    return _named(docs, id_col, text_col, words, half).select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -262,8 +273,14 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      words: int = WORDS, half: int = HALF) -> DataFrame:
-    """One document of each component (the smallest id) with all its columns."""
-    dropped = (simhash_dedup(docs, id_col, text_col, words, half).filter(~F.col("kept"))
-               .select(F.col(id_col).alias("_dropped_id")))
+    """One document of each component (the smallest id) with all its columns.
+
+    A row is decided by its id and its text, as ids may be NULL or repeated.
+    """
+    dropped = (_named(docs, id_col, text_col, words, half, with_digest=True)
+               .filter(~F.col("id").eqNullSafe(F.col("component_id")))
+               .select(F.col("id").alias("_dropped_id"), F.col("digest").alias("_dropped_digest")))
     d = docs.alias("d")
-    return d.join(dropped, F.col(f"d.{id_col}").eqNullSafe(F.col("_dropped_id")), "left_anti")
+    same = (F.col(f"d.{id_col}").eqNullSafe(F.col("_dropped_id"))
+            & (_digest(f"d.{text_col}") == F.col("_dropped_digest")))
+    return d.join(dropped, same, "left_anti")

@@ -86,6 +86,14 @@ def test_one_of_each_component_stays(docs):
     assert sorted(r[0] for r in kept.collect()) == [2, 7, 9]
 
 
+def test_rows_with_null_and_repeated_ids_are_decided_by_their_text(docs):
+    rows = [(3, "a b c d"), (5, "A b c d"), (5, "one text that no other row is near to"), (None, "a B c d"),
+            (None, "another text with no id but alone"), (None, "third words without any id here"),
+            (8, "one text that No other row is near to")]
+    kept = sorted((tuple(r)[:2] for r in S.drop_near_copies(docs(rows, extra="fp")).collect()), key=str)
+    assert kept == sorted([rows[i] for i in (0, 2, 4, 5)], key=str)
+
+
 def clustered(seed, n=300):
     rng = np.random.default_rng(seed)
     fps = [int(x) for x in rng.integers(0, 2**63, n)]
