@@ -56,8 +56,9 @@ _NAME_WORD = r"\p{Lu}\p{Ll}+"
 SECRET_WORDS = "oken TOKEN ecret SECRET assword PASSWORD api_key API_KEY".split()
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": rf"(?=[A-Za-z0-9_-])(?<=(?:{'|'.join(SECRET_WORDS)})[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)"
-              r"[A-Za-z0-9_-]{16,128}",
+    # the whole run, of 16 characters at least; a full stop behind it is none of it
+    "secret": rf"(?=[A-Za-z0-9_/+-])(?<=(?:{'|'.join(SECRET_WORDS)})[\"']?[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)"
+              r"[A-Za-z0-9_./+=-]{15,}[A-Za-z0-9_/+=-]",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}"
           r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?![\p{N}]|\.[0-9])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[0-9]{0,3})(?![\p{L}\p{N}])",
@@ -92,14 +93,13 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _stream(seed: str, length: str) -> str:
-    """SQL: enough hex digits, eight for each of ``length`` characters."""
-    return (f"array_join(transform(sequence(0, cast(({length}) div 8 as int)), "
-            f"b -> sha2(concat({seed}, '/', b), 256)), '')")
+    """SQL: enough hex digits, eight for each of ``length`` characters, in an array of 64 each."""
+    return f"transform(sequence(0, cast(({length}) div 8 as int)), b -> sha2(concat({seed}, '/', b), 256))"
 
 
 def _number(at: str = "i") -> str:
     """SQL: the number at a character's place of the stream ``s``."""
-    return f"cast(conv(substring(s, 8 * {at} + 1, 8), 16, 10) as bigint)"
+    return f"cast(conv(substring(s[{at} div 8], 8 * ({at} % 8) + 1, 8), 16, 10) as bigint)"
 
 
 def _substituted(text: str, seed: str) -> str:
@@ -148,7 +148,8 @@ class Surrogates:
                 f"when {m} rlike '^[0-9]+([.][0-9]+){{3}}$' then 'ip' "
                 f"when {m} rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn' "
                 f"when {m} rlike '^([0-9]{{4}}[ -]?){{3}}[0-9]{{4,7}}$' then 'card' "
-                f"when {m} rlike '^[+(0-9][-0-9 .()]+$' then 'phone' "
+                f"when {m} rlike '^([+][0-9]{{1,3}}[ .-]?)?([(][0-9]{{3}}[)][ .-]?|[0-9]{{3}}[ .-])"
+                f"[0-9]{{3}}[ .-][0-9]{{4}}$' then 'phone' "
                 f"when instr({m}, ' ') > 0 then 'name' else 'secret' end")
 
     def word(self, w: str, i: str) -> str:
@@ -182,7 +183,8 @@ class Surrogates:
                     f"concat(left(d, length(d) - 1), cast((10 - {_luhn_sum('e')} % 10) % 10 as string))")
         card = _let("d", drawn, f"if({_luhn_sum('v')} % 10 = 0, {body}, d)")
         grown = f"concat(v, repeat(if(v rlike '^[0-9]', '0', 'a'), {more}))"
-        cases = (f"case when k = 'secret' and v rlike '^[0-9a-f]+$' then left({_stream('z', 'length(g)')}, length(g)) "
+        cases = (f"case when k = 'secret' and v rlike '^[0-9a-f]+$' and v rlike '[a-f]' "
+                 f"then left(array_join({_stream('z', 'length(g)')}, ''), length(g)) "
                  f"when k = 'email' then {email} when k = 'ip' then {ip} when k = 'card' then {card} "
                  f"else {_substituted('g', 'z')} end")
         return _let("k", f"substring_index({canon}, ':', 1)", _let(
@@ -198,9 +200,10 @@ class Surrogates:
             body = (f"array_join(transform(split({m}, ''), (c, i) -> "
                     f"if(c rlike '[0-9]', substring({value}, {before} + 1, 1), c)), '')")
             return f"concat({body}, substring({value}, length(regexp_replace({m}, '[^0-9]', '')) + 1))"
-        return (f"if({m} = upper({m}) and {m} <> lower({m}), upper({value}), "
-                f"array_join(transform(split({value}, ''), (c, i) -> "
-                f"if(substring({m}, i + 1, 1) <> lower(substring({m}, i + 1, 1)), upper(c), c)), ''))")
+        cased = (f"array_join(transform(split({value}, ''), (c, i) -> "
+                 f"if(get(o, i) <> lower(get(o, i)), upper(c), c)), '')")
+        cased = _let("o", f"split({m}, '')", cased)
+        return f"if({m} = upper({m}) and {m} <> lower({m}), upper({value}), {cased})"
 
     def replacement(self, m: str, attempts: str) -> str:
         """SQL: the text in place of a match; ``attempts`` maps canonical forms that were drawn again."""

@@ -67,6 +67,26 @@ def test_secret_stays_hexadecimal(replaced):
     assert a.upper() == b and a != "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
 
 
+def test_the_whole_secret_goes(docs):
+    long = "".join("0123456789abcdef"[(i * 7 + i // 16) % 16] for i in range(200))
+    base64 = "ab/cd+ef9Kq3Zt/0Lm+PwX7sRvYg=="
+    rows = [(0, f'token="{long}" end'), (1, f'{{"token": "{long}"}}'), (2, f"secret={base64}, x"),
+            (3, f"password: {'7' * 200}"), (4, "api_key = aaaabbbb.ccccdddd.eeeeffff. Next"), (5, "token=0123456789abcde."),
+            (6, "token=" + "x9" * 2_000)]
+    out = {r["doc_id"]: r["text"] for r in pii.replace_pii(docs(rows), "k").collect()}
+    made = re.fullmatch(r'token="([0-9a-f]{200})" end', out[0])[1]
+    assert out[1] == f'{{"token": "{made}"}}'
+    # no long piece of a secret is left
+    assert not any(long[i:i + 16] in made for i in range(185))
+    code = re.fullmatch(r"secret=(\w\w/\w\w\+\w{8}/\w{3}\+\w{9}==), x", out[2])[1]
+    assert sum(a == b for a, b in zip(code, base64, strict=True) if a.isalnum()) < 10
+    digits = re.fullmatch(r"password: (\d{200})", out[3])[1]
+    assert "7" * 16 not in digits
+    assert re.fullmatch(r"api_key = [a-z]{8}\.[a-z]{8}\.[a-z]{8}\. Next", out[4]) and "cccc" not in out[4]
+    assert out[5] == rows[5][1]
+    assert len(out[6]) == len(rows[6][1]) and "x9" * 8 not in out[6]
+
+
 def test_names_keep_gender_script_and_coreference(replaced):
     text = replaced[5][0]
     found = re.fullmatch(r"Mr\. (\w+) (\w+) met (\w+) (\w+) and Frau (\w+); (\w+) (\w+)", text)
