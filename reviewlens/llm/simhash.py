@@ -10,9 +10,11 @@ Links: two fingerprints at most ``2 * half`` bits apart share a variant, a
 value at most ``half`` bits from both.  Every distinct fingerprint emits all
 its variants, variants are shuffled, and equal ones meet.  A variant is
 shuffled in compact form: its bucket is a linear code over its bits
-(``syndrome``), so a bucket is sent the fingerprint once and regenerates those
-variants of it that belong there (8 bytes in place of 16 a variant).  Within a
-bucket all fingerprints that share a variant are pairwise linked (each is
+(``syndrome``) whose bits are parities, so the variants of a fingerprint fall
+into few buckets (37 of 256, 137 of 65,536); a bucket is sent the fingerprint
+once and regenerates those variants of it that belong there.  The buckets grow
+with the count, and one that is still sent too many is split by more bits of
+the code, so that no group holds the fingerprints of the corpus.  Within a bucket all fingerprints that share a variant are pairwise linked (each is
 within ``half`` of it), so a star from the smallest loses no link; the pairs
 of the star are deduplicated and verified by their bit distance.
 
@@ -31,6 +33,7 @@ empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -48,7 +51,9 @@ SEED = 42
 WORDS = 4                     # shingle length of the contract
 HALF = 2                      # half of the largest distance, 4 bits
 MIN_BUCKET_BITS = 8           # 256 buckets at least
-BUCKET_FINGERPRINTS = 1 << 24  # a bucket regenerates from so many (128 MB) at most
+MAX_BUCKET_BITS = 30
+BUCKET_FINGERPRINTS = 1 << 18  # fingerprints sent to a bucket on average, at most (2 MB)
+SPLIT_OVER = 4                 # a bucket that is sent so many times that is split
 CHUNK_VARIANTS = 1 << 21      # variants held at once by a task (16 MB an array)
 BLOCK = 8192                  # fingerprints of a shuffled block
 
@@ -98,29 +103,42 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 # --- variants ---------------------------------------------------------------
 
+@functools.cache
 def _masks(half: int) -> np.ndarray:
     """All XOR masks of at most ``half`` bits."""
     out = [sum(1 << b for b in bits) for k in range(half + 1) for bits in combinations(range(BITS), k)]
     return np.array(out, np.uint64)
 
 
-def _code(bucket_bits: int) -> np.ndarray:
-    """A column of ``bucket_bits`` bits for each of the 64 bits, spread evenly."""
-    return np.array([xxhash.xxh64_intdigest(b"column%d" % i, SEED) >> (BITS - bucket_bits)
+@functools.cache
+def _code(bucket_bits: int, more: int) -> np.ndarray:
+    """A column for each of the 64 bits.
+
+    Bucket bit ``j`` is the parity of the bits ``j``, ``j + bucket_bits``, ..., so
+    two flipped bits change at most two bucket bits; ``more`` lower bits are mixed.
+    """
+    return np.array([(1 << (i % bucket_bits + more)) | (xxhash.xxh64_intdigest(b"column%d" % i, SEED) >> BITS - more)
                      for i in range(BITS)], np.uint64)
 
 
-def syndrome(values: np.ndarray, bucket_bits: int) -> np.ndarray:
-    """The linear code of each value: syndrome(a ^ b) == syndrome(a) ^ syndrome(b)."""
+def syndrome(values: np.ndarray, bucket_bits: int, more: int = 0) -> np.ndarray:
+    """The linear code of each value: syndrome(a ^ b) == syndrome(a) ^ syndrome(b).
+
+    Without its lower ``more`` bits it is the code of ``bucket_bits`` bits.
+    """
     out = np.zeros(len(values), np.uint64)
-    for i, column in enumerate(_code(bucket_bits)):
+    for i, column in enumerate(_code(bucket_bits, more)):
         out ^= ((values >> np.uint64(i)) & np.uint64(1)) * column
     return out.astype(np.int64)
 
 
-def bucket_bits_for(count: int) -> int:
-    """More buckets once a bucket would be sent more fingerprints than it should hold."""
-    return min(16, MIN_BUCKET_BITS + max(0, math.ceil(math.log2(max(1, count) / BUCKET_FINGERPRINTS))))
+def bucket_bits_for(count: int, half: int = HALF) -> int:
+    """So many bits that an even share of the fingerprints sent to all buckets is small enough."""
+    bits = MIN_BUCKET_BITS
+    while bits < MAX_BUCKET_BITS and \
+            count * sum(math.comb(bits, k) for k in range(half + 1)) > BUCKET_FINGERPRINTS << bits:
+        bits += 1
+    return bits
 
 
 def _find(parent: dict[int, int], x: int) -> int:
@@ -136,19 +154,34 @@ def _distance_ok(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return np.bitwise_count(a ^ b) <= most
 
 
-def links_in_bucket(fps: np.ndarray, bucket: int, bucket_bits: int, half: int) -> np.ndarray:
+@functools.cache
+def _masks_of_bucket(bucket_bits: int, half: int) -> int:
+    """The most variants of one fingerprint that fall into one bucket."""
+    return int(np.unique(syndrome(_masks(half), bucket_bits), return_counts=True)[1].max())
+
+
+@functools.lru_cache(maxsize=64)
+def _coded_masks(bucket_bits: int, more: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """All masks in the order of their codes, and the codes."""
+    code = syndrome(_masks(half), bucket_bits, more)
+    order = np.argsort(code, kind="stable")
+    return _masks(half)[order], code[order]
+
+
+def links_in_bucket(fps: np.ndarray, bucket: int, bucket_bits: int, half: int, split: int = 0) -> np.ndarray:
     """Verified links (a < b) that connect all fingerprints sharing a variant of this bucket.
 
-    The variants are regenerated in ``parts`` slices by more bits of a code, so
+    A bucket of a split one has the ``split`` more bits of its code behind its own.  The variants are regenerated in ``parts`` slices by more bits of a code, so
     memory stays bounded however many fingerprints the bucket was sent.
     """
     fps = np.unique(fps)
     masks = _masks(half)
-    slices = max(0, math.ceil(math.log2(max(1, len(fps) * len(masks) / 2**bucket_bits / CHUNK_VARIANTS))))
-    wide = bucket_bits + slices
-    of_fp, of_mask = syndrome(fps, wide), syndrome(masks, wide)
-    order = np.argsort(of_mask, kind="stable")
-    masks, of_mask = masks[order], of_mask[order]
+    slices = max(0, math.ceil(math.log2(max(1, len(fps) * len(masks) / 2**(bucket_bits + split) / CHUNK_VARIANTS))))
+    # a fingerprint's variants of one bucket are at most so many
+    slices = max(slices, math.ceil(math.log2(max(1, len(fps) * _masks_of_bucket(bucket_bits, half) / 2**split
+                                                 / CHUNK_VARIANTS))))
+    masks, of_mask = _coded_masks(bucket_bits, split + slices, half)
+    of_fp = syndrome(fps, bucket_bits, split + slices)
     parent: dict[int, int] = {}
     links = []
     for part in range(1 << slices):
@@ -187,36 +220,74 @@ def links(fps: DataFrame, half: int = HALF) -> DataFrame:
     connects; a pair already connected within a bucket may be left out.
     """
     bits = bucket_bits_for(fps.count())
-    buckets = 1 << bits
     masks = _masks(half)
+    of_mask = syndrome(masks, bits)
+    reach = np.unique(of_mask)
+    split = split_buckets(fps, bits, half)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = syndrome(masks, bits)
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(values), BLOCK):
                 block = np.sort(values[at:at + BLOCK])
-                if buckets <= len(masks):       # nearly every bucket gets a variant of each
-                    for bucket in range(buckets):
-                        yield pa.RecordBatch.from_pydict(
-                            {"bucket": pa.array([bucket], pa.int32()),
-                             "fps": pa.array([block.tobytes()], pa.binary())})
-                    continue
-                pairs = np.unique(np.stack([(syndrome(block, bits)[:, None] ^ reach).ravel(),
-                                            np.repeat(np.arange(len(block)), len(masks))], 1), axis=0)
-                cut = np.flatnonzero(np.diff(pairs[:, 0])) + 1
-                for group in np.split(pairs, cut):
-                    yield pa.RecordBatch.from_pydict(
-                        {"bucket": pa.array([group[0, 0]], pa.int32()),
-                         "fps": pa.array([block[group[:, 1]].tobytes()], pa.binary())})
+                own = syndrome(block, bits)
+                bucket = (own[:, None] ^ reach).ravel()
+                order = np.argsort(bucket, kind="stable")
+                bucket, owner = bucket[order], order // len(reach)
+                keys, held = [], []
+                for who in np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1):
+                    to, sent = int(bucket[who[0]]), owner[who]
+                    more = split.get(to, 0)
+                    if not more:
+                        keys.append((to, 0))
+                        held.append(block[sent].tobytes())
+                        continue
+                    code, low = syndrome(masks, bits, more), (1 << more) - 1
+                    parts = [np.zeros((0, 2), np.int64)]
+                    for step in np.unique(own[sent] ^ to):      # the variants that lead here
+                        some = sent[own[sent] ^ to == step]
+                        part = (syndrome(block[some], bits, more)[:, None] ^ np.unique(code[of_mask == step])) & low
+                        parts.append(np.stack([part.ravel(), np.repeat(some, part.shape[1])], 1))
+                    pairs = np.unique(np.concatenate(parts), axis=0)
+                    for group in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1):
+                        keys.append((to, int(group[0, 0])))
+                        held.append(block[group[:, 1]].tobytes())
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([k for k, _ in keys], pa.int32()),
+                    "part": pa.array([p for _, p in keys], pa.int32()), "fps": pa.array(held, pa.binary())})
 
     def meet(table: pa.Table) -> pa.Table:
         values = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table.column("fps")])
-        found = links_in_bucket(values, table.column("bucket")[0].as_py(), bits, half).view(np.int64)
+        bucket, part = table.column("bucket")[0].as_py(), table.column("part")[0].as_py()
+        more = split.get(bucket, 0)
+        found = links_in_bucket(values, bucket << more | part, bits, half, more).view(np.int64)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    blocks = fps.select("fp").mapInArrow(emit, "bucket int, fps binary")
-    return blocks.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint").distinct()
+    blocks = fps.select("fp").mapInArrow(emit, "bucket int, part int, fps binary")
+    return blocks.groupBy("bucket", "part").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def split_buckets(fps: DataFrame, bits: int, half: int = HALF) -> dict[int, int]:
+    """The buckets that are sent too many fingerprints, each with the bits it is split by.
+
+    A row per bucket and one per bucket that it sends to; few buckets are left.
+    """
+    steps, variants = np.unique(syndrome(_masks(half), bits), return_counts=True)
+    steps = F.array(*(F.struct(F.lit(int(s)).alias("to"), F.lit(int(v)).alias("each"))
+                      for s, v in zip(steps, variants, strict=True)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            own, n = np.unique(syndrome(values, bits), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n, pa.int64())], ["own", "n"])
+
+    own = fps.select("fp").mapInArrow(count, "own bigint, n bigint").groupBy("own").agg(F.sum("n").alias("n"))
+    sent = (own.select(F.explode(steps).alias("step"), "own", "n")
+            .groupBy(F.col("own").bitwiseXOR(F.col("step.to")).alias("bucket"))
+            .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("step.each")).alias("variants"))
+            .filter(F.col("n") > SPLIT_OVER * BUCKET_FINGERPRINTS))
+    return {r["bucket"]: math.ceil(math.log2(r["variants"] / BUCKET_FINGERPRINTS)) for r in sent.collect()}
 
 
 # --- components -------------------------------------------------------------

@@ -135,6 +135,22 @@ def test_spark_links_with_few_and_with_many_buckets(spark, monkeypatch):
         assert roots_of(found, fps) == want
 
 
+def test_no_bucket_gets_the_whole_corpus(spark, monkeypatch):
+    # a third of them share all but 8 bits, which are in one parity of 8
+    fps = np.unique(np.concatenate([clustered(7), clustered(8, 900) & np.uint64(0x1010101010101010)]))
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp bigint").repartition(2)
+    reach = np.unique(S.syndrome(S._masks(2), 8))
+    sent = np.bincount((S.syndrome(fps, 8)[:, None] ^ reach).ravel(), minlength=256)
+    assert len(reach) == 37 and np.median(sent) < len(fps) / 4
+    monkeypatch.setattr(S, "BUCKET_FINGERPRINTS", 60)
+    assert set(S.split_buckets(df, 8)) == set(np.flatnonzero(sent > 240).tolist()) != set()
+    assert S.bucket_bits_for(len(fps)) > 8
+    monkeypatch.setattr(S, "bucket_bits_for", lambda n: 6)
+    monkeypatch.setattr(S, "split_buckets", lambda *_: {0: 3, 1: 7, 20: 1, 33: 5})
+    found = np.array([tuple(r) for r in S.links(df).collect()], np.int64).reshape(-1, 2).view(np.uint64)
+    assert roots_of(found, fps) == slow_components([int(f) for f in fps])
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (161, 160), (160, 161)]
     found = {r["node"]: r["root"] for r in S.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
