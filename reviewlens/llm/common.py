@@ -33,3 +33,20 @@ def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
+
+
+HEAVY = 1024          # a key held by over such a share of the rows is joined map-side
+
+
+def join_counted(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int,
+                 heavy: int = HEAVY) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key and, in ``count``, the rows that hold it.
+
+    The counts add up to ``total`` at most, so fewer than ``heavy`` keys hold over a
+    ``heavy``-th of the rows: these are broadcast, and no key of the ordinary join is hot.
+    """
+    hot = F.col(count) * heavy > total
+    big = F.broadcast(table.filter(hot))
+    met = rows.join(big, keys)
+    rest = rows.join(F.broadcast(table.filter(hot).select(*keys)), keys, "left_anti")
+    return met.unionByName(rest.join(table.filter(~hot), keys))

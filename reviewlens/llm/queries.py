@@ -17,6 +17,7 @@ from . import token_counts as _counts
 from . import topk as _topk
 from . import warc as _warc
 from . import toxicity as _toxicity
+from . import url_filter as _urls
 from ..session import shared_path
 from .common import read_table, written
 
@@ -120,6 +121,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _urls.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_pivot_topk": op2_pivot_topk,
@@ -131,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_url_filter": op11_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -217,4 +227,70 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_url_filter": """
+        WITH g AS (SELECT row_number() OVER () AS nr, page_id, coalesce(url, '') AS url FROM pages),
+             s AS (SELECT *, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+                   FROM g),
+             h AS (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                       'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+             r AS (SELECT *, CASE
+                       WHEN suffix('.' || host, '.example.org') AND prefix(path, '/en/1') THEN 'example.org/en/1'
+                       WHEN suffix('.' || host, '.example.org') AND prefix(path, '/es/') THEN 'example.org/es/'
+                       WHEN suffix('.' || host, '.com') AND prefix(path, '/fr/') THEN 'com/fr/'
+                       WHEN suffix('.' || host, '.com') AND prefix(path, '/de/') THEN 'com/de/'
+                       WHEN suffix('.' || host, '.org') AND prefix(path, '/') THEN 'org/' END AS rule FROM h),
+             a AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END
+                             AS action,
+                          -- crc32, bit by bit: -1 stands for a shift
+                          xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+                              range(octet_length(encode(url))), lambda i: list_concat(
+                                  [CAST('0x' || substr(hex(encode(url)), 2 * i + 1, 2) AS BIGINT)],
+                                  [-1, -1, -1, -1, -1, -1, -1, -1])))),
+                              lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+                                                ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 5 = 0 AS aside
+                   FROM r),
+             u AS (SELECT *, CASE WHEN action IS NULL THEN 'judge' WHEN aside THEN 'calibrate' ELSE action END AS used,
+                          repeat(chr(2), 4) || url || chr(3) AS marked FROM a),
+             w AS (SELECT nr, used, unnest(list_transform(range(1, length(marked) - 3),
+                                                          lambda i: substr(marked, i, 5))) AS gram FROM u),
+             f AS (SELECT gram, count(*) FILTER (used = 'allow') AS a, count(*) FILTER (used = 'block') AS b,
+                          count(*) FILTER (used IN ('judge', 'calibrate')) AS w FROM w GROUP BY gram),
+             e AS (SELECT gram, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b, sum(w)::BIGINT AS w
+                   FROM (SELECT unnest([substr(gram, 1), substr(gram, 2), substr(gram, 3), substr(gram, 4),
+                                        substr(gram, 5)]) AS gram, a, b, w FROM f) GROUP BY gram),
+             c AS (SELECT *, sum(a) OVER x AS na, count(*) FILTER (a > 0) OVER x AS ta,
+                          sum(b) OVER x AS nb, count(*) FILTER (b > 0) OVER x AS tb
+                   FROM e WINDOW x AS (PARTITION BY length(gram), left(gram, length(gram) - 1))),
+             v AS (SELECT 1.0::DOUBLE / (count(*) + 1) AS p FROM e WHERE length(gram) = 1 AND a + b > 0),
+             p1 AS (SELECT gram, CASE WHEN na > 0 THEN (a + ta * p)::DOUBLE / (na + ta) ELSE p END AS pa,
+                           CASE WHEN nb > 0 THEN (b + tb * p)::DOUBLE / (nb + tb) ELSE p END AS pb
+                    FROM c, v WHERE length(gram) = 1),
+             p2 AS (SELECT c.gram, CASE WHEN na > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa,
+                           CASE WHEN nb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb
+                    FROM c JOIN p1 ON length(c.gram) = 2 AND p1.gram = substr(c.gram, 2)),
+             p3 AS (SELECT c.gram, CASE WHEN na > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa,
+                           CASE WHEN nb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb
+                    FROM c JOIN p2 ON length(c.gram) = 3 AND p2.gram = substr(c.gram, 2)),
+             p4 AS (SELECT c.gram, CASE WHEN na > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa,
+                           CASE WHEN nb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb
+                    FROM c JOIN p3 ON length(c.gram) = 4 AND p3.gram = substr(c.gram, 2)),
+             p5 AS (SELECT c.gram, CASE WHEN na > 0 THEN (a + ta * pa) / (na + ta) ELSE pa END AS pa,
+                           CASE WHEN nb > 0 THEN (b + tb * pb) / (nb + tb) ELSE pb END AS pb
+                    FROM c JOIN p4 ON length(c.gram) = 5 AND p4.gram = substr(c.gram, 2)),
+             l AS (SELECT w.nr, sum(round((ln(pa) - ln(pb)) * 1048576)::BIGINT)::BIGINT AS units, count(*) AS n
+                   FROM w JOIN p5 USING (gram) WHERE used IN ('judge', 'calibrate') GROUP BY w.nr),
+             t AS (SELECT u.*, units, n, least(1024, greatest(-1024, floor(units::DOUBLE / (n * 16384))))::BIGINT AS step
+                   FROM u LEFT JOIN l USING (nr)),
+             k AS (SELECT step, count(*) FILTER (action = 'allow') AS a, count(*) FILTER (action = 'block') AS b
+                   FROM t WHERE used = 'calibrate' GROUP BY step),
+             z AS (SELECT sum(a) AS a, sum(b) AS b FROM k),
+             o AS (SELECT cut, sum(CASE WHEN k.step >= cut THEN k.a * z.b ELSE k.b * z.a END) AS good
+                   FROM range(-1024, 1026) AS q(cut), k, z WHERE z.a > 0 AND z.b > 0 GROUP BY cut),
+             d AS (SELECT coalesce((SELECT cut FROM o ORDER BY good DESC, abs(cut), cut LIMIT 1), 0) AS cut),
+             n AS (SELECT count(*) FILTER (used = 'allow') > 0 AND count(*) FILTER (used = 'block') > 0 AS able FROM u)
+        SELECT page_id, host, path, rule,
+               coalesce(action, CASE WHEN NOT able OR step >= cut THEN 'allow' ELSE 'block' END) AS verdict,
+               CASE WHEN able AND action IS NULL THEN units::DOUBLE / n / 1048576 END AS score
+        FROM t, d, n""",
 }
