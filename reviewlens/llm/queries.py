@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe as _bpe
 from . import exact_dedup as _exact
+from . import hard_negatives as _negatives
 from . import line_dedup as _lines
 from . import packing as _packing
 from . import pii as _pii
@@ -129,6 +130,11 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return _negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_pivot_topk": op2_pivot_topk,
@@ -141,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_url_filter": op11_url_filter,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -293,4 +300,23 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(action, CASE WHEN NOT able OR step >= cut THEN 'allow' ELSE 'block' END) AS verdict,
                CASE WHEN able AND action IS NULL THEN units::DOUBLE / n / 1048576 END AS score
         FROM t, d, n""",
+    "op13_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings
+                   WHERE label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS alike,
+                          CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+                   FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+             p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+                          row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n
+                   FROM s WHERE alike),
+             h AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+                          row_number() OVER (PARTITION BY p.anchor_id, positive_id
+                                             ORDER BY s.score DESC, s.vec_id) AS r
+                   FROM p JOIN s ON p.n <= 5 AND s.anchor_id = p.anchor_id AND NOT s.alike
+                        AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+        SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score
+        FROM h WHERE r <= 10""",
 }
