@@ -13,6 +13,7 @@ from . import hard_negatives as _negatives
 from . import line_dedup as _lines
 from . import packing as _packing
 from . import pii as _pii
+from . import prefix_trie as _trie
 from . import simhash as _simhash
 from . import token_counts as _counts
 from . import topk as _topk
@@ -130,6 +131,14 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations begin with up to three turns of the one whose id is the next lower multiple of 20."""
+    turns = _trie.turns_of(read_table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    return _trie.prefix_trie(*_trie.shared_starts(
+        turns, conv - conv % 20, (F.crc32(conv.cast("string")) % 4).cast("int"), most=3))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return _negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
@@ -147,6 +156,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_url_filter": op11_url_filter,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -300,6 +310,42 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(action, CASE WHEN NOT able OR step >= cut THEN 'allow' ELSE 'block' END) AS verdict,
                CASE WHEN able AND action IS NULL THEN units::DOUBLE / n / 1048576 END AS score
         FROM t, d, n""",
+    "op12_prefix_trie": """
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                                             coalesce(text, '')) AS pos
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             h AS (SELECT DISTINCT c, c - c % 20 AS base,
+                          -- crc32, bit by bit: -1 stands for a shift
+                          xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+                              range(length(c::VARCHAR)), lambda i: list_concat(
+                                  [CAST(ascii(substr(c::VARCHAR, i + 1, 1)) AS BIGINT)],
+                                  [-1, -1, -1, -1, -1, -1, -1, -1])))),
+                              lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+                                                ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h
+                   FROM t),
+             r AS (SELECT h.c, 0 AS own, t.pos, role, text FROM h JOIN t ON t.c = h.base AND t.pos <= h.h
+                   UNION ALL
+                   SELECT h.c, 1, t.pos, role, text FROM h JOIN t ON t.c = h.c AND t.pos > h.h),
+             q AS (SELECT c, row_number() OVER w AS depth, text,
+                          list(length(role) || ':' || role || text || chr(1)) OVER w AS prefix
+                   FROM r WINDOW w AS (PARTITION BY c ORDER BY own, pos)),
+             p AS (SELECT c, depth, sha256(array_to_string(prefix, '')) AS k, text FROM q
+                   UNION ALL SELECT c, 0, '', '' FROM h),
+             n AS (SELECT min(c) AS conv_id, depth, k, count(*) AS n_convs,
+                          (count(*) - 1) * len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) AS saved
+                   FROM p GROUP BY depth, k),
+             e AS (SELECT DISTINCT a.k AS parent, b.k AS child FROM p a JOIN p b ON a.c = b.c AND b.depth = a.depth + 1),
+             l AS (SELECT *, k NOT IN (SELECT parent FROM e) AS leaf FROM n),
+             s AS (SELECT a.k, sum(l.saved)::BIGINT AS saved_tokens, count(*) FILTER (l.leaf) AS n_leaves
+                   FROM l JOIN p b ON b.c = l.conv_id AND b.depth = l.depth
+                   JOIN p a ON a.c = b.c AND a.depth <= b.depth GROUP BY a.k),
+             d AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+                   FROM p JOIN (SELECT c, max(depth) AS depth FROM p GROUP BY c) USING (c, depth) GROUP BY k)
+        SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs,
+               (SELECT count(*) FROM e WHERE e.parent = n.k) AS n_children, n_leaves, saved_tokens,
+               sha256(coalesce(ids, '')) AS ends_sha256
+        FROM n JOIN s USING (k) LEFT JOIN d USING (k) LEFT JOIN e ON e.child = n.k LEFT JOIN n m ON m.k = e.parent""",
     "op13_hard_negatives": """
         WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
