@@ -29,6 +29,29 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def text_digest(name: str) -> Column:
+    """SHA-256 of a text column, NULL as the empty text."""
+    return F.unhex(F.sha2(text_or_empty(name), 256))
+
+
+DROPPED_BROADCAST = 200_000       # (id, digest) pairs, 40 bytes each
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows whose (id, digest) is in ``dropped``; all its columns, whatever their names.
+
+    The dropped pairs are counted: few are broadcast, so no text is shuffled.
+    """
+    gone = written(dropped.distinct(), "dropped")
+    if gone.count() <= DROPPED_BROADCAST:
+        gone = F.broadcast(gone)
+    # the document's columns are one struct, so that no name of theirs meets one of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    same = (F.col(f"doc.`{id_col}`").eqNullSafe(F.col("id"))
+            & (F.unhex(F.sha2(F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")), 256)) == F.col("digest")))
+    return rows.join(gone, same, "left_anti").select("doc.*")
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

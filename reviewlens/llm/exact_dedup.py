@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require, text_or_empty, written
+from .common import require, text_or_empty, without, written
 
 HEAVY = 1024          # most winners broadcast (about 60 bytes each)
 TRACKED = 4096        # items that a sketch tracks
@@ -75,10 +75,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    dropped = (exact_dedup(docs, id_col, text_col).filter(~F.col("kept"))
-               .select(F.col(id_col).alias("_dropped_id"), F.col("text_sha256").alias("_dropped_sha")))
-    d = docs.alias("d")
-    same = (F.col(f"d.{id_col}").eqNullSafe(F.col("_dropped_id"))
-            & (F.sha2(F.coalesce(F.col(f"d.{text_col}"), F.lit("")), 256) == F.col("_dropped_sha")))
-    return d.join(dropped, same, "left_anti")
+    """The documents that stay, with all their columns, whatever their names."""
+    dropped = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(
+        F.col(id_col).alias("id"), F.unhex("text_sha256").alias("digest"))
+    return without(docs, dropped, id_col, text_col)

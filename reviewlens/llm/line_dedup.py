@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from .common import require, text_or_empty, written
 
 WINDOW = 64
+RUN = 128                     # windows that are summed together
 BROADCAST_ROWS = 1_000_000    # lines that may have a neighbour, 8 bytes each
 
 
@@ -98,24 +99,80 @@ def with_half_neighbour(firsts: DataFrame) -> DataFrame:
                     "line_hash")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _xor(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+
+def _running_xor(values: Column) -> Column:
+    """The XOR of the first 0, 1, ..., n values; in runs of ``RUN``, so that a long line costs little more
+    than its length."""
+    def prefix(upto: Column, runs_before: Column) -> Column:
+        run = F.floor(upto / RUN).cast("int")
+        inside = _xor(F.slice(values, run * RUN + 1, upto - run * RUN))
+        return F.element_at(runs_before, run + 1).bitwiseXOR(inside)
+
+    last = F.floor(F.size(values) / RUN).cast("int")
+    each_run = F.transform(F.sequence(F.lit(0), last), lambda r: _xor(F.slice(values, r * RUN + 1, F.lit(RUN))))
+    before = _let(each_run, lambda x: F.transform(
+        F.sequence(F.lit(0), last), lambda r: _xor(F.slice(x, F.lit(1), r))))
+    return _let(before, lambda x: F.transform(F.sequence(F.lit(0), F.size(values)), lambda w: prefix(w, x)))
+
+
 def windows(distinct: DataFrame) -> DataFrame:
     """(digest, place, w, body, before, behind, behind_short): the windows around which a line
-    equals another one, itself whole or with one character less."""
-    n = F.length("line")
-    cut = distinct.select("digest", "place", "line",
-                          F.explode(F.sequence(F.lit(0), F.floor(n / WINDOW).cast("int"))).alias("w"))
-    cut = cut.select(
-        "digest", "place", "w", F.xxhash64("digest").alias("line_hash"),
-        F.expr(f"substring(line, w * {WINDOW} + 1, {WINDOW})").alias("body"),
-        F.expr(f"xxhash64(left(line, w * {WINDOW}))").alias("before"),
-        F.expr(f"xxhash64(substring(line, (w + 1) * {WINDOW} + 1))").alias("behind"),
-        F.expr(f"xxhash64(substring(line, (w + 1) * {WINDOW}))").alias("behind_short"))
+    equals another one, itself whole or with one character less.
+
+    What stands before and behind a window is the XOR of a hash of each other
+    window with its number: linear in the line's length.
+    """
+    every = f"(?s).{{1,{WINDOW}}}"
+
+    def hashed(pieces: Column, first: int) -> Column:
+        return F.transform(pieces, lambda c, k: F.xxhash64(k + first, c))
+
+    def row(pieces, before, short, w):
+        def upto(sums, n):
+            return F.element_at(sums, F.least(n, F.size(sums) - 1) + 1)
+        return F.struct(w.alias("w"), F.coalesce(F.get(pieces, w), F.lit("")).alias("body"),
+                        upto(before, w).alias("before"),
+                        F.element_at(before, -1).bitwiseXOR(upto(before, w + 1)).alias("behind"),
+                        F.element_at(short, -1).bitwiseXOR(upto(short, w)).alias("behind_short"))
+
+    # the line's windows, and those behind the first of a line that has one character less before them
+    pieces = F.regexp_extract_all("line", F.lit(every), F.lit(0))
+    shorter = F.regexp_extract_all(F.expr(f"substring(line, {WINDOW})"), F.lit(every), F.lit(0))
+    shorter = F.when(F.length("line") >= WINDOW, shorter).otherwise(F.array().cast("array<string>"))
+    count = F.floor(F.length("line") / WINDOW).cast("int")
+    rows = _let(pieces, lambda p: _let(_let(hashed(p, 0), _running_xor), lambda b: _let(
+        _let(hashed(shorter, 1), _running_xor), lambda s: F.transform(
+            F.sequence(F.lit(0), count), lambda w: row(p, b, s, w)))))
+    cut = distinct.select("digest", "place", F.explode(rows).alias("x")).select(
+        "digest", "place", "x.w", F.xxhash64("digest").alias("line_hash"), "x.body", "x.before", "x.behind",
+        "x.behind_short")
     cut = written(cut, "lines-windows")
     around = F.array(F.xxhash64("w", "before", "behind"), F.xxhash64("w", "before", "behind_short"))
     shared = _sharing(cut.select("digest", "w", "line_hash", F.explode(around).alias("k")), "digest", "w")
     return cut.join(shared, ["digest", "w"], "left_semi").drop("line_hash")
 
 
+def _one_edit(a: str, b: str) -> Column:
+    """Whether two texts are at most one edit apart, in n log n: the common beginning is found by
+    halving, and what follows the first difference is compared."""
+    bits = f"sequence(cast(log2(least(length({a}), length({b})) + 1) as int), 0, -1)"
+    step = "at + shiftleft(1, k)"
+    common = (f"aggregate({bits}, 0, (at, k) -> if({step} <= least(length({a}), length({b})) "
+              f"and left({a}, {step}) = left({b}, {step}), {step}, at))")
+    rest = (f"case length({b}) - length({a}) when 0 then substring({a}, p + 2) = substring({b}, p + 2) "
+            f"when 1 then substring({a}, p + 1) = substring({b}, p + 2) "
+            f"when -1 then substring({a}, p + 2) = substring({b}, p + 1) else false end")
+    return F.expr(f"transform(array({common}), p -> {rest})[0]")
+
+
 def neighbourhood(cut: DataFrame) -> DataFrame:
     """(digest, place, key, kind): 'same' is the line itself, 'cut' a deletion, 'at' a deletion
     together with its place."""
@@ -156,7 +213,7 @@ def earlier_neighbours(distinct: DataFrame) -> DataFrame:
     mine = distinct.select("digest", "line")
     other = distinct.select(F.col("digest").alias("other_digest"), F.col("line").alias("other"))
     return (found.join(mine, "digest").join(other, F.col("neighbour.digest") == F.col("other_digest"))
-            .filter(F.levenshtein("line", "other", 1) >= 0).select("digest", "neighbour"))
+            .filter(_one_edit("line", "other")).select("digest", "neighbour"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,15 +240,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that stay in ``text_col``, and n_lines and n_kept before it."""
     gone = (dropped_lines(docs, id_col, text_col)
-            .groupBy(F.col("place.id").alias("_id"), F.col("place.doc").alias("_doc"))
-            .agg(F.collect_set("place.line_no").alias("_gone")))       # at most the document's lines
-    d = docs.alias("d").withColumn("_of", F.xxhash64(text_or_empty(text_col)))
-    rows = d.join(gone, F.col(f"d.{id_col}").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_doc")), "left")
-    rows = rows.withColumn("_lines", F.split(text_or_empty(text_col), "\n", -1))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1),
-                          F.coalesce("_gone", F.array().cast("array<int>")))
-    text = F.when(F.col("_gone").isNull(), F.col(f"d.{text_col}")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+            .groupBy(F.col("place.id").alias("gone_id"), F.col("place.doc").alias("gone_doc"))
+            .agg(F.collect_set("place.line_no").alias("gone")))       # at most the document's lines
+    # the document's columns are one struct, so that no name of theirs meets one of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    rows = rows.withColumn("given", F.coalesce(F.col(f"d.`{text_col}`"), F.lit("")))
+    rows = rows.join(gone, F.col(f"d.`{id_col}`").eqNullSafe(F.col("gone_id"))
+                     & (F.xxhash64("given") == F.col("gone_doc")), "left")
+    rows = rows.withColumn("lines", F.split("given", "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1),
+                          F.coalesce("gone", F.array().cast("array<int>")))
+    text = F.when(F.col("gone").isNull(), F.col(f"d.`{text_col}`")).otherwise(
+        F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     return rows.select(
-        *[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns],
-        F.size("_lines").alias("n_lines"), F.size(stay).alias("n_kept"))
+        *[(text if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in docs.columns],
+        F.size("lines").alias("n_lines"), F.size(stay).alias("n_kept"))

@@ -256,7 +256,7 @@ def redrawn(entities: DataFrame, how: Surrogates) -> DataFrame:
 
 def mentions(docs: DataFrame, text_col: str, how: Surrogates) -> DataFrame:
     """(text_key, entity): the canonical forms in each distinct text."""
-    found = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    found = docs.select(F.xxhash64(f"`{text_col}`").alias("text_key"), F.col(f"`{text_col}`").alias("text"))
     found = found.select("text_key", F.explode(_matches("text")).alias("m"))
     return found.select("text_key", F.explode(F.expr(how.entities("m"))).alias("entity")).distinct()
 
@@ -273,15 +273,17 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", mark: str | N
     per_text = written(per_text, "pii-exceptions")
     if per_text.count() <= BROADCAST_ROWS:
         per_text = F.broadcast(per_text)        # else the texts are shuffled to their exceptions
-    rows = docs.withColumn("_text_key", F.xxhash64(text_col))
-    rows = rows.join(per_text, F.col("_text_key") == F.col("text_key"), "left")
-    rows = rows.withColumn("_found", _matches(text_col)).withColumn(
-        "_attempts", F.coalesce("_attempts", F.expr("cast(map() as map<string, int>)")))
-    swapped = F.expr(f"transform(_found, m -> {how.replacement('m', '_attempts')})")
-    parts = _by_pattern(text_col, lambda p: F.split(F.col(text_col), p, -1))
+    # the document's columns are one struct, so that no name of theirs meets one of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = rows.withColumn("given", F.col(f"doc.`{text_col}`")).withColumn("given_key", F.xxhash64("given"))
+    rows = rows.join(per_text, F.col("given_key") == F.col("text_key"), "left")
+    rows = rows.withColumn("found", _matches("given")).withColumn(
+        "attempts", F.coalesce("_attempts", F.expr("cast(map() as map<string, int>)")))
+    swapped = F.expr(f"transform(found, m -> {how.replacement('m', 'attempts')})")
+    parts = _by_pattern("given", lambda p: F.split(F.col("given"), p, -1))
     text = F.array_join(F.zip_with(parts, swapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = [F.when(F.size("_found") > 0, text).otherwise(F.col(text_col)).alias(c) if c == text_col
-           else F.col(f"`{c}`") for c in docs.columns]
+    out = [F.when(F.size("found") > 0, text).otherwise(F.col("given")).alias(c) if c == text_col
+           else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
     if mark:
-        out.append(F.greatest(F.lit(0), F.size(F.coalesce("_found", F.array()))).alias(mark))
+        out.append(F.greatest(F.lit(0), F.size(F.coalesce("found", F.array()))).alias(mark))
     return rows.select(*out)

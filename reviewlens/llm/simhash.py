@@ -44,52 +44,68 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, text_or_empty, written
+from .common import require, text_digest, text_or_empty, without, written
 
 BITS = 64
 SEED = 42
 WORDS = 4                     # shingle length of the contract
 HALF = 2                      # half of the largest distance, 4 bits
+MIN_PARTS = 8                 # of the link table of a round
 MIN_BUCKET_BITS = 8           # 256 buckets at least
 MAX_BUCKET_BITS = 30
 BUCKET_FINGERPRINTS = 1 << 18  # fingerprints sent to a bucket on average, at most (2 MB)
 SPLIT_OVER = 4                 # a bucket that is sent so many times that is split
 CHUNK_VARIANTS = 1 << 21      # variants held at once by a task (16 MB an array)
 BLOCK = 8192                  # fingerprints of a shuffled block
+SLICE = 1 << 16               # characters of a text that are hashed at once
+EDGES_A_PART = 1 << 18        # of the link table of a round
 
 # bit k of a byte value, least significant first
+_BLANKS = [bytes([c]) for c in b" \t\n\x0b\x0c\r"]
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
+def _tokens(text: str) -> Iterator[list[bytes]]:
+    """The words of a text, slice by slice."""
+    held: list[bytes] = []                         # of a word that goes on
+    for at in range(0, len(text), SLICE):
+        part = text[at:at + SLICE].encode("utf-8").lower()
+        cut = len(part) if at + SLICE >= len(text) else max(part.rfind(c) for c in _BLANKS) + 1
+        if cut:
+            yield b"".join([*held, part[:cut]]).split()
+            held = []
+        held.append(part[cut:])
+
+
 def fingerprint(text: str, words: int = WORDS) -> int:
-    tokens = text.encode("utf-8").lower().split()
-    if not tokens:
-        return 0
-    joined = b" ".join(tokens)
     digest, seed = xxhash.xxh64_intdigest, SEED
-    if len(tokens) <= words:
-        return digest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = zip(starts[:len(tokens) - words + 1].tolist(), ends[words - 1:].tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
-    n = len(hashes)
-    at = hashes.astype("<u8", copy=False).view(np.uint8).reshape(n, 8) + np.arange(0, 2048, 256)
-    counts = np.bincount(at.ravel(), minlength=2048).reshape(8, 256)
-    ones = (counts @ _BYTE_BITS).ravel()          # 64 counts, lowest bit first
+    ones, n, first = np.zeros(BITS, np.int64), 0, []
+    for tokens in _tokens(text):
+        tokens = first + tokens
+        if len(tokens) < words:
+            first = tokens
+            continue
+        joined = b" ".join(tokens)
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        spans = zip(starts[:len(tokens) - words + 1].tolist(), ends[words - 1:].tolist(), strict=True)
+        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
+        n += len(hashes)
+        at = hashes.astype("<u8", copy=False).view(np.uint8).reshape(len(hashes), 8) + np.arange(0, 2048, 256)
+        counts = np.bincount(at.ravel(), minlength=2048).reshape(8, 256)
+        ones += (counts @ _BYTE_BITS).ravel()          # 64 counts, lowest bit first
+        first = tokens[len(tokens) - words + 1:]
+    if not n:
+        return digest(b" ".join(first), seed) if first else 0
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def _digest(text_col: str) -> Column:
-    return F.unhex(F.sha2(text_or_empty(text_col), 256))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  words: int = WORDS, with_digest: bool = False) -> DataFrame:
     """(id, fp[, digest]): the fingerprint as a signed long, and the text's SHA-256."""
     require(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"),
-                       *[_digest(text_col).alias("digest")] * with_digest)
+                       *[text_digest(text_col).alias("digest")] * with_digest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,10 +314,13 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until the edge set stays the
     same; each step is a minimum per node (partial aggregation) and a join.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                    .filter("u <> v").distinct(), "star-edges")
-    seen = None
-    while True:
+    pairs = (edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+             .filter("u <> v").distinct())
+    # equal edge sets: the same count and the same sum of hashes
+    mark = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    edges = written(pairs, "star-edges")
+    seen, now = None, edges.agg(*mark).first()
+    while now != seen:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.filter("v > u").join(least, "u")
@@ -310,12 +329,9 @@ def components(edges: DataFrame) -> DataFrame:
         linked = large.join(least, "u")
         small = (linked.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        edges = written(small, "star-edges")
-        # equal edge sets: the same count and the same sum of hashes
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        # no more files than the links fill: each round reads what the last one wrote
+        edges = written(small.coalesce(max(MIN_PARTS, -(-now["n"] // EDGES_A_PART))), "star-edges")
+        seen, now = now, edges.agg(*mark).first()
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
@@ -344,14 +360,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      words: int = WORDS, half: int = HALF) -> DataFrame:
-    """One document of each component (the smallest id) with all its columns.
+    """One document of each component (the smallest id) with all its columns, whatever their names.
 
-    A row is decided by its id and its text, as ids may be NULL or repeated.
+    A row is decided by its id and its text, as ids may be NULL or repeated; rows
+    that repeat both are all kept or all dropped.
     """
-    dropped = (_named(docs, id_col, text_col, words, half, with_digest=True)
-               .filter(~F.col("id").eqNullSafe(F.col("component_id")))
-               .select(F.col("id").alias("_dropped_id"), F.col("digest").alias("_dropped_digest")))
-    d = docs.alias("d")
-    same = (F.col(f"d.{id_col}").eqNullSafe(F.col("_dropped_id"))
-            & (_digest(f"d.{text_col}") == F.col("_dropped_digest")))
-    return d.join(dropped, same, "left_anti")
+    named = _named(docs, id_col, text_col, words, half, with_digest=True)
+    dropped = named.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "digest")
+    return without(docs, dropped, id_col, text_col)

@@ -75,3 +75,21 @@ def test_hot_line_and_very_long_line(docs):
 
 def test_empty_table(docs):
     assert L.dedup_lines(docs([])).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    names = ["_id", "_doc", "_of", "_lines", "_gone", "gone", "gone_id", "gone_doc", "lines", "given", "place", "d"]
+    rows = [(1, "a line here\nb", *names), (2, "a line hers\nc", *names)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    out = sorted(L.dedup_lines(df).collect())
+    assert [r["text"] for r in out] == ["a line here\nb", ""] and [r["n_kept"] for r in out] == [2, 0]
+    assert all([r[n] for n in names] == names for r in out)
+
+
+def test_two_lines_of_a_million_characters(docs):
+    import time
+    long = "ab cd é" * 142_858
+    rows = [(1, long), (2, long[:500_001] + "#" + long[500_002:]), (3, long[:77] + long[78:]), (4, long[:9] + "##" + long[11:])]
+    start = time.time()
+    assert [r[3] for r in run(docs, rows)] == [1, 0, 0, 1]
+    assert time.time() - start < 60

@@ -129,3 +129,11 @@ def test_exceptions_by_join_give_the_same(docs, monkeypatch):
 
 def test_empty_table(docs):
     assert pii.replace_pii(docs([]), "k").count() == 0
+
+
+def test_columns_of_any_name(spark):
+    names = ["text_key", "_text_key", "_attempts", "_found", "found", "attempts", "given", "given_key", "doc", "m", "entity"]
+    df = spark.createDataFrame([(1, "mail a.b@example.com now", *names)],
+                               "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    row = pii.replace_pii(df, "k", mark="n").first()
+    assert row["n"] == 1 and "a.b@example.com" not in row["text"] and [row[n] for n in names] == names

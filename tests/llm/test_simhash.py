@@ -155,3 +155,33 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (161, 160), (160, 161)]
     found = {r["node"]: r["root"] for r in S.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 160: 160, 161: 160}
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    from reviewlens.llm import exact_dedup
+    names = ["_dropped_id", "_dropped_digest", "_dropped_sha", "digest", "id", "doc", "fp", "kept", "component_id"]
+    rows = [(1, "one two three four five", *names), (2, "one two three four five", *names), (3, "six seven", *names)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    for stage, kept in ((S.drop_near_copies, [1, 3]), (exact_dedup.drop_exact_copies, [2, 3])):
+        out = stage(df)
+        assert out.columns == df.columns
+        got = sorted(out.collect())
+        assert [r["doc_id"] for r in got] == kept and all([r[n] for n in names] == names for r in got)
+
+
+def test_a_text_is_hashed_in_slices(monkeypatch):
+    texts = ["ab cd ef gh ij kl " * 30, "x" * 500, " \t\n", "", "a " * 99, "é ü " * 50 + "z" * 100, "one two three"]
+    whole = [S.fingerprint(t) for t in texts]
+    for size in (1, 3, 7, 64):
+        monkeypatch.setattr(S, "SLICE", size)
+        assert [S.fingerprint(t) for t in texts] == whole
+
+
+def test_a_text_of_50_mb_needs_little_memory():
+    import tracemalloc
+    rng = np.random.default_rng(0)
+    text = "".join(f"{x:x} " for x in rng.integers(0, 1 << 30, 100_000)) * 60
+    tracemalloc.start()
+    S.fingerprint(text)
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
