@@ -296,6 +296,8 @@ def subtree_totals(nodes: DataFrame, paths: DataFrame, values: list[str], cell:
         return nodes.select(*node, *[F.lit(0).cast("long").alias(s) for s in sums])
     state = state.withColumns({**{k: F.lit(first[k]).cast("long") for k in ("top_conv", "top_depth", "total")},
                                **{s: F.lit(0).cast("long") for s in sums}})
+    if first["total"] > cell:
+        state = written(state, "trie-state")                  # joins on the component, no constants
     small, done = [], []
     while True:
         small.append(state.filter(F.col("total") <= cell))

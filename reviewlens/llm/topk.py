@@ -19,8 +19,9 @@ searches its nearest cell, which gives it a k-th score to beat; then it is sent
 to those cells whose distance range can still hold a better one.  Bounds are
 widened by ``SLACK`` for rounding; scores are exact integers.
 
-Sizes: the cell table (pivots, parts, distance ranges) has a row per cell,
-about rows / CELL_ROWS + PIVOTS; queries are sent to cells, vectors are not.
+Sizes: the cell table (pivots, parts, distance ranges) has a row per pivot.  The
+queries that are sent to a cell go there in blocks of about ``QUERY_ROWS``, and
+its vectors to each block, so a group is bounded by the parameters.
 
 Defined cases: a vector that is NULL or holds a NULL, NaN or infinity takes no
 part, nor does a NULL id or one of another length than the commonest; a
@@ -47,6 +48,7 @@ SAMPLE = 4096
 CELL_ROWS = 4096
 ANNULUS = 256
 QUERY_BLOCK = 512
+QUERY_ROWS = 8192       # queries of a group, about
 SLACK = 1e-6
 
 
@@ -97,6 +99,7 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, to_pivot: np.ndarray
     """
     order = np.argsort(pivot_dist, kind="stable")
     ids, vectors, pivot_dist = ids[order], vectors[order], pivot_dist[order]
+    repeated = len(np.unique(ids)) < len(ids)
     starts = np.arange(0, len(ids), ANNULUS)
     inner, outer = pivot_dist[starts], pivot_dist[np.minimum(starts + ANNULUS, len(ids)) - 1]
     # no vector of an annulus is nearer to the query than this
@@ -123,12 +126,11 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, to_pivot: np.ndarray
             score[query_ids[who][:, None] == ids[part][None, :]] = -np.inf
             both_ids = np.concatenate([best_ids[who], np.broadcast_to(ids[part], score.shape)], 1)
             both = np.concatenate([best[who], score], 1)
-            pick = np.lexsort((both_ids, -both), axis=1)
-            both_ids, both = np.take_along_axis(both_ids, pick, 1), np.take_along_axis(both, pick, 1)
-            same = np.zeros(both.shape, bool)         # rows that repeat a vector lie side by side
-            same[:, 1:] = (both_ids[:, 1:] == both_ids[:, :-1]) & (both[:, 1:] == both[:, :-1])
-            both = np.where(same, -np.inf, both)
-            pick = np.argsort(same, axis=1, kind="stable")[:, :k]
+            if repeated:                              # of the rows of one id the best alone takes a place
+                pick = np.lexsort((-both, both_ids), axis=1)
+                both_ids, both = np.take_along_axis(both_ids, pick, 1), np.take_along_axis(both, pick, 1)
+                both[:, 1:][both_ids[:, 1:] == both_ids[:, :-1]] = -np.inf
+            pick = np.lexsort((both_ids, -both), axis=1)[:, :k]
             best_ids[who] = np.take_along_axis(both_ids, pick, 1)
             best[who] = np.take_along_axis(both, pick, 1)
     at, rank = np.nonzero((best > -np.inf) & (best >= beat[:, None]))
@@ -136,7 +138,7 @@ def search_cell(query_ids: np.ndarray, queries: np.ndarray, to_pivot: np.ndarray
 
 
 def _search(queries: DataFrame, index: DataFrame, width: int, top2: float, k: int) -> DataFrame:
-    """Queries (query_id, vec, to_pivot, beat) meet the vectors of their cell (pivot, part)."""
+    """Blocks of queries (query_id, vec, to_pivot, beat) meet the vectors of their cell (pivot, part)."""
     def run(cell_queries: pa.Table, cell: pa.Table) -> pa.Table:
         out = []
         if cell_queries.num_rows and cell.num_rows:
@@ -152,7 +154,7 @@ def _search(queries: DataFrame, index: DataFrame, width: int, top2: float, k: in
         parts = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("query_id", "vec_id", "score"), parts, strict=True)))
 
-    keys = ["pivot", "part"]
+    keys = ["pivot", "part", "block"]
     return (queries.groupBy(*keys).cogroup(index.groupBy(*keys))
             .applyInArrow(run, "query_id bigint, vec_id bigint, score bigint"))
 
@@ -226,8 +228,19 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
                  pa.array(pivot, pa.int32()), pa.array(dist[who, pivot]), pa.array(beat[who])],
                 ["query_id", "vec", "pivot", "to_pivot", "beat"])
 
-    def spread(queries: DataFrame) -> DataFrame:
-        return queries.withColumn("part", F.explode(F.sequence(F.lit(0), split[F.col("pivot")] - 1)))
+    def search(queries: DataFrame, name: str) -> DataFrame:
+        """Queries in blocks, repeated for each part of their cell; vectors for each block sent there."""
+        sent = written(queries, name)
+        # a row per pivot
+        blocks = {r["pivot"]: math.ceil(r["n"] / QUERY_ROWS)
+                  for r in sent.groupBy("pivot").agg(F.count("*").alias("n")).collect()}
+        many = F.create_map(*[F.lit(x) for item in sorted(blocks.items() or [(-1, 1)]) for x in item])
+        many = many[F.col("pivot")]
+        asked = (sent.withColumn("block", F.pmod(F.xxhash64("query_id"), many).cast("int"))
+                 .withColumn("part", F.explode(F.sequence(F.lit(0), split[F.col("pivot")] - 1))))
+        rows = (index.filter(F.col("pivot").isin(list(blocks)))
+                .withColumn("block", F.explode(F.sequence(F.lit(0), many - 1))))
+        return _search(asked, rows, width, top2, k)
 
     def best(found: DataFrame) -> DataFrame:
         once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -236,12 +249,12 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col:
 
     schema = "query_id bigint, vec array<double>, pivot int, to_pivot double, beat double"
     queries = keyed.filter(is_query).select("id", "vec")
-    first = written(best(_search(spread(queries.mapInArrow(nearest, schema)), index, width, top2, k)), "topk-first")
+    first = written(best(search(queries.mapInArrow(nearest, schema), "topk-nearest")), "topk-first")
     threshold = (first.filter(F.col("rank") == k)
                  .select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("beat")))
     asked = (queries.mapInArrow(nearest, schema).select(F.col("query_id").alias("id"), "vec", F.col("pivot"))
              .join(threshold, "id", "left")
              .select("id", "vec", "pivot", F.coalesce("beat", F.lit(float("-inf"))).alias("beat")))
-    second = _search(spread(asked.mapInArrow(others, schema)), index, width, top2, k)
+    second = search(asked.mapInArrow(others, schema), "topk-others")
     return best(first.select("query_id", "vec_id", "score").unionByName(second)).select(
         "query_id", "rank", "vec_id", "score")

@@ -82,3 +82,23 @@ def test_the_walk_stops_early():
     for q in range(3):
         want = sorted(((int(queries[q] @ v), i) for i, v in enumerate(vec) if i != q), key=lambda x: (-x[0], x[1]))[:5]
         assert [(int(s), int(i)) for s, i in zip(score[at == q], ids[at == q], strict=True)] == want
+
+
+def test_an_id_with_many_vectors_takes_one_place(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0 - i / 100, 0.1]) for i in range(8)] + [(i, [0.5 - i / 50, 0.2]) for i in range(2, 8)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_queries_of_a_cell_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    monkeypatch.setattr(topk, "CELL_ROWS", 16)
+    rows = vectors(120, seed=4)
+    sizes = []
+    real = topk._search
+
+    def seen(queries, index, *a):
+        sizes.append(queries.groupBy("pivot", "part", "block").count().agg({"count": "max"}).first()[0])
+        return real(queries, index, *a)
+    monkeypatch.setattr(topk, "_search", seen)
+    assert run(spark, rows, pivots=4) == brute(rows)
+    assert max(sizes) <= 9
