@@ -46,7 +46,7 @@ from .bpe import text_batches
 from .common import require, text_or_empty
 
 SAMPLE = 1200         # labelled rows of each class that are fitted, at most
-SAMPLE_CHARS = 1 << 25  # characters of each class that are fitted, at most
+SAMPLE_CHARS = 1 << 22  # characters of each class that are fitted, at most
 CALIBRATE = 4         # every fourth of them sets the scale of the scores instead
 WINDOW = 8            # words
 BUCKETS = 1 << 18
@@ -342,8 +342,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = sizes[1] / (sizes[0] + sizes[1])
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     by_hash = Window.partitionBy("y").orderBy("h", "id")
-    ids = (marks.withColumn("h", F.xxhash64("id")).withColumn("n", F.row_number().over(by_hash))
-           .filter(F.col("n") <= sample))
+    hashed = marks.withColumn("h", F.xxhash64("id"))
+    ids = [hashed.filter(F.col("y") == y).orderBy("h", "id").limit(sample) for y in (0, 1)]
+    ids = ids[0].unionByName(ids[1])
     # 2 * sample rows at most, and so many characters
     picked = (rows.filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "id")
               .groupBy("id", "y", "h").agg(F.min("text").alias("text"))
