@@ -33,7 +33,8 @@ from reviewlens.operators.sentiment import model_sentiment
 from reviewlens.schemas import BRAND_MIN_REVIEWS, PRODUCT_MIN_REVIEWS, REPORT_KEYS, REPORT_SCHEMAS
 from reviewlens.session import build_session, shared_path
 from reviewlens.sources.files import read_metadata, read_reviews
-from reviewlens.sinks.tables import key_check, read_table, replace_table, replace_table_jdbc
+from reviewlens.sinks.jdbc import Database
+from reviewlens.sinks.tables import key_check, read_table, replace_table
 
 REPORT_NAMES = tuple(REPORT_KEYS)
 
@@ -47,6 +48,11 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
     "counts": {...}, "null_keys": {name: rows left out}, "out_dir": path}.  ``items`` are clean items, ``scored``
     clean reviews with an int ``sentiment``."""
     out_dir = out_dir or shared_path(spark, "reports")
+    if jdbc_url:
+        # all tables with their keys before any work, as a wrong URL or missing right shows here
+        database = Database(spark, jdbc_url, jdbc_properties)
+        for name in REPORT_NAMES:
+            database.ensure_table(name, REPORT_SCHEMAS[name], REPORT_KEYS[name])
     timings: dict[str, float] = {}
     clock = time.monotonic()
 
@@ -81,7 +87,7 @@ def run_reports(spark: SparkSession, items: DataFrame, scored: DataFrame,
         left_out[name] = replace_table(df, path, REPORT_KEYS[name])
         written[name] = read_table(spark, path)
         if jdbc_url:
-            replace_table_jdbc(written[name], jdbc_url, name, jdbc_properties)
+            database.replace(written[name], name, REPORT_KEYS[name])
         return written[name]
 
     # Stage 1: reports of the fact alone, plus the HAVING-filtered product
@@ -154,6 +160,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--sf-dir", help="the test tables instead of files")
     ap.add_argument("--out")
     ap.add_argument("--jdbc-url", help="replace the report tables of this database, too")
+    ap.add_argument("--jdbc-option", action="append", default=[], metavar="NAME=VALUE",
+                    help="of the connection, e.g. driver=... or user=...")
     ap.add_argument("--master")
     ap.add_argument("--provider", default="observed", choices=("observed", "labels", "model"))
     ap.add_argument("--year-mode", default="calendar", choices=tuple(R.YEAR_MODES))
@@ -179,7 +187,8 @@ def main(argv: list[str] | None = None) -> None:
         else:
             scored = I.scored(spark, args.sf_dir, args.provider)
     result = run_reports(spark, items, scored, args.out, parity=not args.dedupe_items,
-                         year_mode=args.year_mode, jdbc_url=args.jdbc_url)
+                         year_mode=args.year_mode, jdbc_url=args.jdbc_url,
+                         jdbc_properties=dict(o.split("=", 1) for o in args.jdbc_option))
     if args.show:
         for name, df in {**result["reports"], **report_lists(result["reports"])}.items():
             print(name)

@@ -4,8 +4,8 @@ A report replaces its table as a whole, written by the executors (no collect
 to the driver).  A Parquet table is a folder of versions and a small log of
 them: a replacement is written to a fresh version folder, its keys are checked,
 and only then its name is appended to the log, so readers see the old table or
-the new one and a write that fails changes nothing.  JDBC targets any database
-reachable from every executor.
+the new one and a write that fails changes nothing.  ``jdbc.py`` does the same
+in a database.
 """
 
 from __future__ import annotations
@@ -66,24 +66,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(log.agg(F.max_by("folder", "number")).first()[0])
 
 
-def replace_table_jdbc(df: DataFrame, url: str, table: str,
-                       properties: dict[str, str] | None = None,
-                       column_types: str | None = None) -> None:
-    """Replace a JDBC table: truncate and insert when it exists (the table and
-    its grants survive), create it with ``column_types`` otherwise.
-
-    Not one transaction across partitions; write to a staging table and swap
-    when readers must never see a half-written report.
-    """
-    writer = (df.write.mode("overwrite").format("jdbc")
-              .option("url", url).option("dbtable", table).option("truncate", "true"))
-    if column_types:
-        writer = writer.option("createTableColumnTypes", column_types)
-    for key, value in (properties or {}).items():
-        writer = writer.option(key, value)
-    writer.save()
-
-
 def key_check(df: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
     """One row: ``rows``, ``null_keys`` (rows with a NULL key column) and
     ``duplicate_keys`` (rows beyond the first per key).  A primary key holds

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from reviewlens.operators.sample import dev_sample
 from reviewlens.schemas import REVIEW_SAMPLE_SCHEMA
 from reviewlens.session import shared_path
-from reviewlens.sinks.tables import key_check, read_table, replace_table, replace_table_jdbc
+from reviewlens.sinks.jdbc import Database
+from reviewlens.sinks.tables import key_check, read_table, replace_table
 from reviewlens.sources.files import read_metadata, read_reviews, read_training
 
 
@@ -98,18 +99,54 @@ def test_sample_of_two_folders_with_equal_file_names_and_blanks(spark):
     assert dev_sample(spark, [f"{base}/b", f"{base}/a"], out, n=5).count() == 5 == spark.read.text(out).count()
 
 
-def test_jdbc_replace_on_embedded_derby(spark):
+@pytest.fixture
+def database(spark):
     """In-process Derby database: visible only to this JVM (local mode)."""
-    url = "jdbc:derby:memory:reviewlens_test;create=true"
-    props = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    df = spark.createDataFrame([("E", 50.0, 2)], "main_cat string, sentiment_rank double, review_count bigint")
-    replace_table_jdbc(df, url, "CATEGORY_SENTIMENT", props,
-                       column_types="main_cat VARCHAR(200), review_count BIGINT")
-    df2 = spark.createDataFrame([("F", 10.0, 3), ("G", 20.0, 4)], df.schema)
-    replace_table_jdbc(df2, url, "CATEGORY_SENTIMENT", props)
-    back = spark.read.format("jdbc").option("url", url).option("dbtable", "CATEGORY_SENTIMENT") \
-        .option("driver", props["driver"]).load()
-    assert sorted(r[0] for r in back.collect()) == ["F", "G"]
+    import uuid
+    return Database(spark, f"jdbc:derby:memory:reviewlens_{uuid.uuid4().hex};create=true",
+                    {"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+
+
+def test_jdbc_table_with_its_key(spark, database):
+    df = spark.createDataFrame([("E", 2001, 50.0), ("E", 2002, None)], "brand string, year int, sentiment_rank double")
+    assert database.replace(df, "BY_YEAR", ["brand", "year"]) == 2
+    assert database.primary_key("BY_YEAR") == ["brand", "year"]
+    assert not database.ensure_table("BY_YEAR", df.schema, ["brand", "year"])
+    more = spark.createDataFrame([(f"it's {i}", 2000 + i, float(i)) for i in range(40)], df.schema).repartition(4)
+    assert database.replace(more, "BY_YEAR", ["brand", "year"]) == 40
+    assert sorted(map(tuple, database.read("BY_YEAR").collect())) == sorted(map(tuple, more.collect()))
+    assert database.replace(df.limit(0), "BY_YEAR", ["brand", "year"]) == 0
+
+
+def test_a_failing_jdbc_replacement_leaves_the_old_rows(spark, database):
+    good = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    database.replace(good, "T", ["k"])
+    for bad in ([("c", 1), ("c", 2)], [("c", 1), (None, 2)]):
+        with pytest.raises(Exception):
+            database.replace(spark.createDataFrame(bad, good.schema), "T", ["k"])
+    with pytest.raises(Exception):
+        database.replace(spark.range(9).selectExpr("if(id < 8, string(id), raise_error('boom')) AS k", "1 AS v")
+                         .repartition(3), "T", ["k"])
+    # the transaction itself fails: the column is narrower in the target than in the staging table
+    database.execute("CREATE TABLE NARROW (\"k\" VARCHAR(2) NOT NULL PRIMARY KEY, \"v\" INTEGER)")
+    database.replace(good, "NARROW", ["k"])
+    with pytest.raises(Exception):
+        database.replace(spark.createDataFrame([("z", 1), ("long", 2)], good.schema), "NARROW", ["k"])
+    for table in ("T", "NARROW"):
+        assert sorted(map(tuple, database.read(table).collect())) == [("a", 1), ("b", 2)]
+    # no staging table is left
+    with database.connection() as conn:
+        rows, names = conn.getMetaData().getTables(None, "APP", None, None), []
+        while rows.next():
+            names.append(rows.getString("TABLE_NAME"))
+    assert sorted(names) == ["NARROW", "T"]
+
+
+def test_a_wrong_key_or_driver_is_refused(spark, database):
+    with pytest.raises(ValueError, match="no columns"):
+        database.ensure_table("T", spark.range(1).schema, ["other"])
+    with pytest.raises(Exception):
+        Database(spark, "jdbc:nothing:x").ensure_table("T", spark.range(1).schema)
 
 
 def test_sample_spans_files_in_name_order(spark):

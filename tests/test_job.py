@@ -103,3 +103,18 @@ def test_training_program_and_sample_command(spark, capsys):
     assert "3 lines" in capsys.readouterr().out
     assert {r.value for r in spark.read.text(f"{base}/out").collect()} == {
         '{"reviewerID":"r","asin":"a","reviewText":"t","summary":null,"unixReviewTime":0}'}
+
+
+def test_job_replaces_database_tables_with_keys(spark):
+    """Embedded in-memory Derby, which only this JVM sees."""
+    from reviewlens.schemas import REPORT_KEYS
+    from reviewlens.sinks.jdbc import Database
+    url, options = "jdbc:derby:memory:reviewlens_job;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    small = "/root/testdata/sf0.001"
+    for _ in range(2):             # the second run replaces the first one's rows
+        reports = run_reports(spark, I.items(spark, small), I.scored(spark, small), brand_min_reviews=100,
+                              product_min_reviews=2, jdbc_url=url, jdbc_properties=options)["reports"]
+    database = Database(spark, url, options)
+    for name, df in reports.items():
+        assert df.count() and _rows(database.read(name)) == _rows(df)
+        assert database.primary_key(name.upper()) == list(REPORT_KEYS[name])
