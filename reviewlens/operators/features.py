@@ -55,6 +55,15 @@ def char_gram_stage(input_col: str = "text", output_col: str = "chars",
     return SQLTransformer(statement=stmt)
 
 
+def whole_words(term: str) -> str:
+    """SQL: a term filled up to a multiple of four bytes.
+
+    There the hash of ``HashingTF`` and SQL's ``hash`` are the same function, so a
+    column expression finds a term's feature.
+    """
+    return f"concat({term}, repeat(char(1), pmod(-octet_length({term}), 4)))"
+
+
 def featurizer_stages(text_col: str = "text", num_features: int = NUM_FEATURES) -> list:
     """Stages text -> ``features`` (sparse, non-negative, max-abs scaled)."""
     return [
@@ -64,6 +73,9 @@ def featurizer_stages(text_col: str = "text", num_features: int = NUM_FEATURES)
         bigrams("_clean", "_bigrams"),
         SQLTransformer(statement="SELECT *, array_join(_clean, ' ') AS _clean_text FROM __THIS__"),
         char_gram_stage("_clean_text", "_chars"),
+        SQLTransformer(statement="SELECT * EXCEPT (_words, _clean, _bigrams, _chars), " + ", ".join(
+            f"transform({c}, t -> {whole_words('t')}) AS {c}" for c in ("_clean", "_bigrams", "_chars"))
+            + " FROM __THIS__"),
         HashingTF(inputCol="_clean", outputCol="_tf_words", numFeatures=num_features),
         HashingTF(inputCol="_bigrams", outputCol="_tf_bigrams", numFeatures=num_features),
         HashingTF(inputCol="_chars", outputCol="_tf_chars", numFeatures=num_features),
@@ -79,9 +91,8 @@ def english_stop_words() -> list[str]:
 
 def clean_words(text: Column) -> Column:
     """The tokens of a text without the stop words, in order."""
-    stop = F.array(*[F.lit(w) for w in english_stop_words()])
-    return F.filter(F.split(F.lower(text), TOKEN_PATTERN),
-                    lambda w: (F.length(w) > 0) & ~F.array_contains(stop, w))
+    stop = english_stop_words()          # so many literals are looked up in a hash set
+    return F.filter(F.split(F.lower(text), TOKEN_PATTERN), lambda w: (F.length(w) > 0) & ~w.isin(*stop))
 
 
 # -- DataFrame views of the same steps ------------------------------------------

@@ -2,16 +2,20 @@
 
 * observed   - an outcome column already on the review (deterministic)
 * labels     - join stored labels by document id (deterministic)
-* model      - a fitted ``PipelineModel`` (the application's classifier)
+* model      - a fitted ``PipelineModel`` (the application's classifier); the same
+               classifier as an SQL function is ``register_sentiment``
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel, NaiveBayesModel
+from pyspark.ml.feature import HashingTF, MaxAbsScalerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlens.operators.features import TOKEN_PATTERN, char_gram_pattern, english_stop_words, whole_words
 from reviewlens.operators.partitioning import spread
 
 
@@ -53,6 +57,78 @@ def model_sentiment(reviews: DataFrame, model: PipelineModel, text_col: str = "r
     return reviews.join(scored.select(distinct_key, *_outputs(scored)), distinct_key, "left")
 
 
+# -- the classifier as an SQL function --------------------------------------------
+
+def linear_weights(model: PipelineModel) -> tuple[list[float], float, int]:
+    """(a weight per unscaled feature, intercept, features per block): the margin of class 1 over class 0."""
+    last = model.stages[-1]
+    if isinstance(last, NaiveBayesModel):
+        theta, prior = last.theta.toArray(), last.pi.toArray()
+        coefficients, intercept = theta[1] - theta[0], float(prior[1] - prior[0])
+    elif isinstance(last, (LogisticRegressionModel, LinearSVCModel)):
+        coefficients, intercept = last.coefficients.toArray(), float(last.intercept)
+    else:
+        raise ValueError(f"{type(last).__name__} has no weight per feature")
+    largest = next(s for s in model.stages if isinstance(s, MaxAbsScalerModel)).maxAbs.toArray()
+    sizes = {s.getNumFeatures() for s in model.stages if isinstance(s, HashingTF)}
+    largest[largest == 0] = 1.0           # as the scaler has it
+    return (coefficients / largest).tolist(), intercept, sizes.pop()
+
+
+def margin_sql(text: str, weights: str, intercept: str, num_features: int) -> str:
+    """SQL: the classifier's margin for a text, from an array of weights.
+
+    The same steps as ``featurizer_stages``: counts of hashed words, word pairs and
+    character grams, divided by their Euclidean norm.
+    """
+    def bound(name: str, value: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    def features(terms: str, block: int) -> str:
+        return f"transform({terms}, t -> pmod(hash({whole_words('t')}), {num_features}) + {block * num_features})"
+
+    stop = ", ".join("'" + w.replace("'", "\\'") + "'" for w in english_stop_words())
+    words = (f"filter(split(lower(coalesce({text}, '')), r'{TOKEN_PATTERN}'), "
+             f"w -> w <> '' AND w NOT IN ({stop}))")
+    pairs = ("if(size(ws) > 1, transform(sequence(0, size(ws) - 2), i -> concat(ws[i], ' ', ws[i + 1])), "
+             "cast(array() AS array<string>))")
+    grams = f"regexp_extract_all(array_join(ws, ' '), '{char_gram_pattern()}', 1)"
+    found = f"array_sort(concat({features('ws', 0)}, {features(pairs, 1)}, {features(grams, 2)}))"
+    # of equal features in a row, n of them add n * n
+    squares = ("aggregate(fs, named_struct('f', -1, 'n', 0L, 's', 0L), (a, f) -> if(a.f = f, "
+               "named_struct('f', f, 'n', a.n + 1, 's', a.s + 2 * a.n + 1), "
+               "named_struct('f', f, 'n', 1L, 's', a.s + 1)), a -> a.s)")
+    product = f"aggregate(fs, 0D, (a, f) -> a + element_at({weights}, f + 1))"
+    margin = f"if(size(fs) = 0, 0D, {product} / sqrt({squares})) + {intercept}"
+    return bound("ws", words, bound("fs", found, margin))
+
+
+def register_sentiment(spark: SparkSession, model: PipelineModel, name: str = "sentiment") -> None:
+    """Make ``name(text)`` (0 or 1) and ``name_score(text)`` functions of this session's SQL.
+
+    Both are native expressions over the text; the weights are one session variable, so
+    that a query's plan holds them as one value.  ``name(text)`` equals the
+    ``prediction`` of ``model.transform``; the score is that of ``model_sentiment``.
+    """
+    if not name.isidentifier():
+        raise ValueError(f"no function name: {name!r}")
+    weights, intercept, num_features = linear_weights(model)
+    variable = f"session.{name}_weights"
+    given = f"_{name}_given"
+    spark.createDataFrame([(weights,)], "w array<double>").createOrReplaceTempView(given)
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name}_weights ARRAY<DOUBLE>")
+    spark.sql(f"SET VAR {variable} = (SELECT w FROM {given})")
+    spark.catalog.dropTempView(given)
+    margin = margin_sql("text", variable, f"{intercept!r}D", num_features)
+    # a model with probabilities gives that of class 1, another the margin
+    if isinstance(model.stages[-1], LinearSVCModel):
+        score = f"2 * ({margin})"
+    else:
+        score = f"1 / (1 + exp(-({margin})))"
+    for function, kind, body in ((name, "INT", f"CAST({margin} > 0 AS INT)"), (f"{name}_score", "DOUBLE", score)):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {function}(text STRING) RETURNS {kind} RETURN {body}")
+
+
 def _outputs(scored: DataFrame) -> list:
     """``sentiment`` (0/1) and ``score``: P(positive) when the model gives
     probabilities, else the raw margin of class 1 over class 0."""

@@ -14,14 +14,17 @@ its JDBC writer does.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 KEY_TEXT = "VARCHAR(1000)"      # most databases index no unbounded text
+RETRIES = 5
 # what Spark's writer creates where a database has no type of its own
 COMMON_TYPES = {"string": "TEXT", "integer": "INTEGER", "long": "BIGINT", "double": "DOUBLE PRECISION",
                 "float": "REAL", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
@@ -32,6 +35,7 @@ class Database:
 
     def __init__(self, spark: SparkSession, url: str, properties: Mapping[str, str] | None = None):
         self.spark, self.url, self.properties = spark, url, dict(properties or {})
+        self._turn = threading.Lock()
         self._jvm = spark.sparkContext._jvm
         self._dialect = self._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url)
 
@@ -58,10 +62,21 @@ class Database:
         finally:
             conn.close()
 
-    def execute(self, *statements: str) -> None:
-        """Run the statements in one transaction."""
-        with self.connection() as conn:
-            _run(conn, statements)
+    def execute(self, *statements: str, count: str | None = None) -> int:
+        """Run the statements in one transaction; returns what the query ``count`` finds at its end.
+
+        A transaction that the database rolled back for another one's sake (SQLSTATE class 40) is
+        run again.  Reports are replaced concurrently; their statements take turns.
+        """
+        for attempt in range(RETRIES):
+            try:
+                with self._turn, self.connection() as conn:
+                    return _run(conn, statements, count)
+            except Py4JJavaError as error:
+                state = getattr(error.java_exception, "getSQLState", lambda: None)()
+                if attempt + 1 == RETRIES or not str(state).startswith("40"):
+                    raise
+        return 0
 
     def quoted(self, name: str) -> str:
         return self._dialect.quoteIdentifier(name)
@@ -130,12 +145,9 @@ class Database:
                 writer = writer.option(key, value)
             writer.save()
             columns = ", ".join(self.quoted(c) for c in df.columns)
-            with self.connection() as conn:
-                _run(conn, [f"DELETE FROM {table}",
-                            f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {staging}"])
-                rows = conn.createStatement().executeQuery(f"SELECT COUNT(*) FROM {table}")
-                rows.next()
-                return rows.getLong(1)
+            return self.execute(f"DELETE FROM {table}",
+                                f"INSERT INTO {table} ({columns}) SELECT {columns} FROM {staging}",
+                                count=f"SELECT COUNT(*) FROM {table}")
         finally:
             self.execute(f"DROP TABLE {staging}")
 
@@ -146,8 +158,14 @@ class Database:
         return reader.load()
 
 
-def _run(conn, statements: Sequence[str]) -> None:
+def _run(conn, statements: Sequence[str], count: str | None = None) -> int:
     statement = conn.createStatement()
     for sql in statements:
         statement.executeUpdate(sql)
+    found = 0
+    if count:
+        rows = statement.executeQuery(count)
+        rows.next()
+        found = rows.getLong(1)
     statement.close()
+    return found
