@@ -13,15 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens.schemas import SAMPLE_LINES
-from reviewlens.sources.files import read_text_lines
-
-
-def first_lines(lines: DataFrame, n: int = SAMPLE_LINES) -> DataFrame:
-    """``lines`` from ``read_text_lines``; the first n in the order of file
-    paths, then the non-empty ones.  The cut is a bounded top-n
-    (TakeOrderedAndProject)."""
-    head = lines.orderBy("file_path", "block_start", "seq").limit(n)
-    return head.where(F.col("value").isNotNull() & (F.length("value") > 0))
+from reviewlens.sources.head import head_lines
 
 
 def reserialize(lines: DataFrame, schema: T.StructType,
@@ -45,7 +37,7 @@ def dev_sample(spark: SparkSession, source: str | list[str], target: str | None
                defaults: dict[str, object] | None = None) -> DataFrame:
     """Sample ``source`` (files or folders of JSON lines); write to ``target``
     as text when given.  Returns the sample's lines (``value``)."""
-    sample = first_lines(read_text_lines(spark, source), n).select("value")
+    sample = head_lines(spark, source, n).where(F.length("value") > 0).select("value")
     if clean:
         if schema is None:
             raise ValueError("clean=True needs the record schema")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import threading
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from reviewlens.operators.metrics import roc_auc as _roc_auc
 from reviewlens.operators.model import best_row, load_model, save_model, split_training, train_sentiment
 from reviewlens.operators.model import final_metrics as _final_metrics
 from reviewlens.operators.partitioning import spread
-from reviewlens.operators.sentiment import model_sentiment
+from reviewlens.operators.sentiment import model_sentiment, register_sentiment
 from reviewlens.plans import inputs as I
 from reviewlens.plans.queries import query
 from reviewlens.session import shared_path
@@ -189,6 +190,19 @@ def review_sentiment(spark, sf_dir):
                          F.col("score").isNotNull().alias("score_ok"))
 
 
+@query
+def sentiment_sql_function(spark, sf_dir):
+    """The classifier called by name from SQL text, for every document: whether it says what
+    the pipeline's transform says."""
+    _, _, path = trained(spark, sf_dir)
+    name = "sentiment_" + hashlib.md5(path.encode()).hexdigest()[:8]
+    register_sentiment(spark, load_model(path), name)
+    docs = spread(_docs(spark, sf_dir), spark.sparkContext.defaultParallelism)
+    called = spark.sql(f"SELECT doc_id, {name}(text) AS called FROM {{docs}}", docs=docs)
+    scored = load_model(path).transform(docs).select("doc_id", F.col("prediction").cast("int").alias("scored"))
+    return called.join(scored, "doc_id").select("doc_id", (F.col("called") == F.col("scored")).alias("same"))
+
+
 @query
 def category_sentiment_model(spark, sf_dir):
     """The application's report path end to end: category shares with every

@@ -397,6 +397,7 @@ ORACLE_SQL["model_leaderboard"] = "SELECT * FROM (VALUES " + ", ".join(
 ORACLE_SQL["best_model"] = "SELECT TRUE AS is_best, TRUE AS rates_ok"
 ORACLE_SQL["final_metrics"] = "SELECT TRUE AS all_counted, TRUE AS rates_ok, TRUE AS beats_baseline"
 ORACLE_SQL["model_roundtrip"] = "SELECT doc_id, TRUE AS same FROM documents"
+ORACLE_SQL["sentiment_sql_function"] = "SELECT doc_id, TRUE AS same FROM documents"
 ORACLE_SQL["review_sentiment"] = f"""WITH {REVIEWS}
 SELECT rid, asin, unix_time, doc_id, TRUE AS sentiment_ok, TRUE AS score_ok FROM reviews"""
 ORACLE_SQL["category_sentiment_model"] = over(

@@ -32,14 +32,3 @@ def read_training(spark: SparkSession, path: str) -> DataFrame:
            .option("ignoreTrailingWhiteSpace", True)
            .csv(path))
     return raw.select("text", F.trim("sentiment").try_cast("boolean").alias("sentiment"))
-
-
-def read_text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Raw lines with their position: file path, byte offset of the split and
-    a per-partition increasing id, which together give file order."""
-    paths = [path] if isinstance(path, str) else list(path)
-    return (spark.read.text(paths)
-            .select("value",
-                    F.col("_metadata.file_path").alias("file_path"),
-                    F.col("_metadata.file_block_start").alias("block_start"),
-                    F.monotonically_increasing_id().alias("seq")))

@@ -159,3 +159,51 @@ def test_sample_spans_files_in_name_order(spark):
     first_file = spark.read.text(files[0]).count()
     out = sorted(json.loads(r.value)["i"] for r in dev_sample(spark, path, n=first_file + 2).collect())
     assert out == list(range(first_file + 2))
+
+
+def _tasks_of(spark, work):
+    """The number of tasks that ``work`` ran, and its result."""
+    group = f"tasks-{id(work)}"
+    spark.sparkContext.setJobGroup(group, "")
+    out = work()
+    tracker = spark.sparkContext.statusTracker()
+    infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return sum(i.numTasks for i in infos if i), out
+
+
+def test_first_lines_of_a_large_file_read_its_front_only(spark):
+    from reviewlens.sources.head import head_lines
+    base = shared_path(spark, "large")
+    spark.range(300_000).selectExpr("concat('line ', id)").coalesce(1).write.text(base)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")          # some 55 splits
+    try:
+        assert spark.read.text(base).rdd.getNumPartitions() > 40
+        for n in (1, 1000, 9000):
+            tasks, out = _tasks_of(spark, lambda: [r["value"] for r in head_lines(spark, base, n, budget=1000).collect()])
+            assert out == [f"line {i}" for i in range(n)]
+            assert tasks < 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_first_lines_of_many_small_files(spark):
+    from pathlib import Path
+    from reviewlens.sources import head
+    base = shared_path(spark, "small files")
+    folder = Path(base.removeprefix("file:"))
+    folder.mkdir(parents=True)
+    want = []
+    for i, name in enumerate(["a b", "a+b", "a[0]", "a{x}", "a%20b", "b", "ba", "c*", "é", "empty", "z"]):
+        lines = [] if name == "empty" else [f"{name} {k}" for k in range(i + 1)]
+        (folder / f"{name}.json").write_text("".join(f"{x}\n" for x in lines), encoding="utf-8")
+    (folder / "_hidden").write_text("no\n")
+    for file in sorted(p.name for p in folder.glob("*.json")):
+        want += (folder / file).read_text(encoding="utf-8").splitlines()
+    for budget in (1, 30, 10_000):
+        for n in (0, 1, 7, 30, 1000):
+            got = [r["value"] for r in head.head_lines(spark, base, n, budget).collect()]
+            assert got == want[:n], (budget, n)
+    assert [x for x, _ in head.listed_files(spark, [base, base], page=2)] == [
+        x for x, _ in head.listed_files(spark, [base], page=100)]
