@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 def prefix_sums(df: DataFrame, order_col: str, cols: list[str], buckets: int | None = None,
                 accuracy: int = 10_000) -> DataFrame:
-    """Add ``<c>_before``: the sum of integral ``c`` over rows strictly earlier
-    in the ascending order of ``order_col`` (NULLs excluded, NaN after every
+    """Add ``<c>_before``: the sum of integral ``c`` over rows strictly earlier,
+    and ``<c>_total``, the sum over all, in the ascending order of ``order_col`` (NULLs excluded, NaN after every
     number).  ``order_col`` values should be distinct (aggregate by it first),
     which keeps the ranges balanced.  There are as many ranges as shuffle
     partitions unless ``buckets`` says otherwise."""
@@ -28,23 +28,25 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], buckets: int | N
     data = df.where(v.isNotNull()).withColumn("_v", v)
     qs = [i / buckets for i in range(1, buckets)]
     if qs:
-        cuts = data.where(~F.isnan("_v")).select(
-            F.coalesce(F.percentile_approx("_v", qs, accuracy), F.array().cast("array<double>"))).scalar()
         # a value's range is the number of cuts below it, found in two steps:
         # among every ``step``-th cut, then among the ``step`` cuts there
         step = max(1, math.isqrt(len(qs)))
-        data = data.withColumn("_cuts", cuts).withColumn("_coarse", F.size(F.filter(
-            F.filter("_cuts", lambda c, i: i % step == 0), lambda c: c < F.col("_v"))))
+        none = F.array().cast("array<double>")
+        cuts = data.where(~F.isnan("_v")).select(F.coalesce(F.percentile_approx("_v", qs, accuracy), none).alias("c"))
+        cuts = cuts.select(F.struct("c", F.filter("c", lambda c, i: i % step == 0).alias("coarse"))).scalar()
+        data = data.withColumn("_cuts", cuts).withColumn(
+            "_coarse", F.size(F.filter("_cuts.coarse", lambda c: c < F.col("_v"))))
         start = F.greatest(F.lit(0), (F.col("_coarse") - 1) * step)
         data = data.withColumn("_b", start + F.size(F.filter(
-            F.slice("_cuts", start + 1, F.lit(step)), lambda c: c < F.col("_v")))).drop("_cuts", "_coarse")
+            F.slice("_cuts.c", start + 1, F.lit(step)), lambda c: c < F.col("_v")))).drop("_cuts", "_coarse")
     else:
         data = data.withColumn("_b", F.lit(0))
     earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = data.groupBy("_b").agg(*[F.sum(c).cast("bigint").alias(f"_t_{c}") for c in cols])
     # one row per range: a running sum over them is small whatever the table
+    whole = earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}")
-                                    for c in cols])
+                                    for c in cols], *[F.sum(f"_t_{c}").over(whole).alias(f"{c}_total") for c in cols])
     within = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     out = data.join(F.broadcast(offsets), "_b")
     for c in cols:

@@ -69,7 +69,7 @@ def linear_weights(model: PipelineModel) -> tuple[list[float], float, int]:
         coefficients, intercept = last.coefficients.toArray(), float(last.intercept)
     else:
         raise ValueError(f"{type(last).__name__} has no weight per feature")
-    largest = next(s for s in model.stages if isinstance(s, MaxAbsScalerModel)).maxAbs.toArray()
+    largest = next(s for s in model.stages if isinstance(s, MaxAbsScalerModel)).maxAbs.toArray().copy()
     sizes = {s.getNumFeatures() for s in model.stages if isinstance(s, HashingTF)}
     largest[largest == 0] = 1.0           # as the scaler has it
     return (coefficients / largest).tolist(), intercept, sizes.pop()

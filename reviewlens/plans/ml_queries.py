@@ -148,11 +148,23 @@ def model_leaderboard(spark, sf_dir):
         _rate_ok("accuracy", "auc", "auprc", "f1").alias("rates_ok"))
 
 
+@query
+def model_search_rungs(spark, sf_dir):
+    """The search's halving: how many candidates each rung kept out of the next one, and whether
+    its sample is about the share of the training rows that it should be."""
+    board = trained(spark, sf_dir)[1]
+    share = F.col("rows") / board.agg(F.max("rows")).scalar()
+    return (board.groupBy("rung", "rows").agg(F.count("*").alias("candidates"))
+            .select("rung", "candidates", F.abs(share - F.pow(F.lit(2.0), F.col("rung") - 3)).alias("off"))
+            .select("rung", "candidates", (F.col("off") < 0.1).alias("share_ok")))
+
+
 @query
 def best_model(spark, sf_dir):
-    """Whether the winner has the leaderboard's best accuracy."""
+    """Whether the winner has the best accuracy of the last rung."""
     board = trained(spark, sf_dir)[1]
-    top = board.agg(F.max("accuracy")).scalar()
+    top = board.agg(F.max(F.struct("rung", "accuracy")))
+    top = top.select(F.col(top.columns[0])["accuracy"]).scalar()
     return best_row(board).select((F.col("accuracy") == top).alias("is_best"),
                                   _rate_ok("accuracy", "auc").alias("rates_ok"))
 

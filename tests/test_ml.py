@@ -197,6 +197,82 @@ def test_budget_split_and_final_metrics(spark):
     assert m.accuracy >= m.majority_baseline >= 0.5 and m.precision_neg is not None
 
 
+def _search_data(spark, n=400):
+    rnd = random.Random(9)
+    rows = [(" ".join(rnd.choice(["good", "fine", "so"] if i % 2 else ["bad", "poor", "so"]) for _ in range(5))
+             + f" n{i}", i % 2) for i in range(n)]
+    return spark.createDataFrame(rows, "text string, label int")
+
+
+def test_successive_halving(spark):
+    from pyspark.ml.classification import LogisticRegression, NaiveBayes
+    fitted_rows = {}
+
+    class Counting(NaiveBayes):
+        def fit(self, rows):
+            fitted_rows.setdefault(self.who, []).append(rows.count())
+            return super().fit(rows)
+
+    def candidate(who, smoothing):
+        def make():
+            made = Counting(smoothing=smoothing)
+            made.who = who
+            return made
+        return make
+    cands = {f"NB{i}": candidate(f"NB{i}", 10.0**(i - 3)) for i in range(7)}
+    cands["broken"] = lambda: LogisticRegression(regParam=-1.0)
+    data = _search_data(spark)
+    train, validation = split_training(data)
+    model, board = train_sentiment(data, candidates=cands, num_features=1 << 8)
+    rows = {r.trainer: r for r in board.collect()}
+    assert sorted(r.rung for r in rows.values()) == [1] * 4 + [2] * 2 + [3] * 2
+    assert rows["broken"].error and rows["broken"].rung == 1
+    every = train.count()
+    for name, counts in fitted_rows.items():
+        assert len(counts) == rows[name].rung and counts[-1] == rows[name].rows and counts == sorted(counts)
+        assert all(abs(n / every - 0.25 * 2**k) < 0.1 for k, n in enumerate(counts))
+    assert {r.rows for r in rows.values() if r.rung == 3} == {every}
+    best = best_row(board).first()
+    assert best.rung == 3 and model.stages[-1].getSmoothing() == 10.0**(int(best.trainer[2]) - 3)
+    # who went on was not worse than who stayed, at the rung where they parted
+    stayed = [r.accuracy for r in rows.values() if r.rung == 1 and r.error is None]
+    assert len(stayed) == 3 and best.accuracy >= 0.9
+
+
+def test_the_budget_ends_the_search_with_a_model_of_all_rows(spark, monkeypatch):
+    from pyspark.ml.classification import NaiveBayes
+    from reviewlens.operators import model as M
+    cands = {f"NB{i}": (lambda i=i: NaiveBayes(smoothing=10.0**(i - 3))) for i in range(8)}
+    data = _search_data(spark)
+    calls = []
+    real = M.evaluate
+    monkeypatch.setattr(M, "evaluate", lambda *a: calls.append(1) or real(*a))
+
+    class Clock:
+        monotonic = staticmethod(lambda: 0.0 if len(calls) < 3 else 1e9)
+    monkeypatch.setattr(M, "time", Clock)
+    model, board = train_sentiment(data, candidates=cands, num_features=1 << 8, parallelism=1, budget_s=100)
+    rows = board.collect()
+    assert sorted(r.rung for r in rows) == [0] * 5 + [1] * 2 + [3]
+    assert sum(r.error == NOT_STARTED for r in rows) == 5
+    assert max(r.rows for r in rows) == split_training(data)[0].count()
+
+
+def test_weighted_metrics_equal_repeated_rows(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(2), rnd.randrange(2), rnd.choice([0.1, 0.2, 0.7, None, float("nan")]), rnd.randrange(1, 6))
+            for _ in range(60)]
+    df = spark.createDataFrame(rows, "label int, prediction int, score double, n int")
+    each = df.selectExpr("*", "explode(sequence(1, n)) AS copy")
+    from reviewlens.operators.metrics import score_metrics
+    assert binary_metrics(df, weight="n").first() == binary_metrics(each).first()
+    assert score_metrics(df, weight="n").first() == score_metrics(each).first()
+    # a weight beyond any array
+    big = spark.createDataFrame([(1, 1, 0.9, 5_000_000_000), (0, 0, 0.1, 3)], "label int, prediction int, score double, n bigint")
+    assert binary_metrics(big, weight="n").first().tp == 5_000_000_000
+    assert score_metrics(big, weight="n").first().positives == 5_000_000_000
+
+
 def test_reviews_without_a_stored_text_stay(spark):
     from reviewlens.operators.sentiment import model_sentiment
     rows = [("good fine", 1), ("bad poor", 0)] * 20
