@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reviewlens.functions import dates
 from reviewlens.schemas import MISSING_NUMBER
 
 # ---------------------------------------------------------------------------
@@ -21,13 +22,6 @@ from reviewlens.schemas import MISSING_NUMBER
 PRICE_PATTERN = r"^[^\p{Nd}]*(\d[\d,]*(?:\.\d*)?(?:[eE][+-]?\d+)?)\s*$"
 # Rank: the first run of digits with optional thousands commas.
 RANK_PATTERN = r"\p{Nd}+(,\p{Nd}+)*"
-# Date: day-precision formats tried in order, then ISO-8601 with an offset.
-DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "MMM. d, yyyy", "d MMMM yyyy", "d MMM yyyy",
-                "M/d/yyyy", "yyyy-MM-dd", "yyyy/MM/dd")
-# A time of day without an offset is UTC.
-LOCAL_TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss",
-                      "M/d/yyyy h:mm a", "MMMM d, yyyy h:mm a", "MMMM d, yyyy H:mm")
-DATE_TIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssX")
 # ---------------------------------------------------------------------------
 
 SECONDS_PER_DAY = 86400
@@ -51,25 +45,9 @@ def rank_to_long(rank: Column | str) -> Column:
     return F.coalesce(number, F.lit(MISSING_NUMBER).cast("bigint"))
 
 
-def date_to_epoch(date: Column | str,
-                  day_formats: tuple[str, ...] = DATE_FORMATS,
-                  time_formats: tuple[str, ...] = DATE_TIME_FORMATS,
-                  local_formats: tuple[str, ...] = LOCAL_TIME_FORMATS) -> Column:
-    """Date text to epoch seconds (double, UTC); -1 when no format matches.
-
-    Day-only formats go through ``try_to_date`` and ``unix_date`` so the result
-    does not depend on the session time zone; formats with an explicit offset
-    denote an instant already.
-    """
-    d = F.trim(_col(date))
-    candidates = [F.unix_date(F.try_to_date(d, fmt)).cast("double") * SECONDS_PER_DAY
-                  for fmt in day_formats]
-    candidates += [F.unix_micros(F.try_to_timestamp(d, F.lit(fmt))).cast("double") / 1e6
-                   for fmt in time_formats]
-    # the offset is spelled out, so the session time zone plays no part
-    candidates += [F.unix_micros(F.try_to_timestamp(F.concat(d, F.lit(" +00:00")), F.lit(f"{fmt} XXX")))
-                   .cast("double") / 1e6 for fmt in local_formats]
-    return F.coalesce(*candidates, F.lit(float(MISSING_NUMBER)))
+def date_to_epoch(date: Column | str, order: str = "month first") -> Column:
+    """Date text to epoch seconds (double, UTC); -1 when it is no date (``dates.py``)."""
+    return dates.date_to_epoch(_col(date), MISSING_NUMBER, order)
 
 
 def epoch_day(unix_time: Column | str) -> Column:

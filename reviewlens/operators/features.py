@@ -18,6 +18,7 @@ from pyspark.ml.feature import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewlens.operators.ordered import numbered
 
 TOKEN_PATTERN = r"\s+"
 CHAR_GRAM = 3
@@ -139,6 +140,42 @@ def char_gram_counts(docs: DataFrame, text_col: str = "text", n: int = CHAR_GRAM
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("count"))
 
 
+def word_grams(docs: DataFrame, key: str = "doc_id", text_col: str = "text", longest: int = 2) -> DataFrame:
+    """(key, term): every word and every run of up to ``longest`` words, stop words left out before."""
+    rows = docs.select(key, clean_words(F.col(text_col)).alias("_words"))
+
+    def runs(n: int) -> Column:
+        none = F.array().cast("array<string>")
+        return F.when(F.size("_words") >= n, F.transform(
+            F.sequence(F.lit(1), F.size("_words") - (n - 1)),
+            lambda i: F.array_join(F.slice("_words", i, n), " "))).otherwise(none)
+    # the words are an array of their row, found once
+    return rows.select(key, F.explode(F.concat(F.col("_words"), *[runs(n) for n in range(2, longest + 1)])).alias("term"))
+
+
+def ngram_dictionary(docs: DataFrame, key: str = "doc_id", text_col: str = "text", longest: int = 2,
+                     min_docs: int = 1) -> DataFrame:
+    """(term, id, doc_count): a number for every n-gram of the texts, from 0, the most frequent first.
+
+    Unlike hashed features no two n-grams share a number, and unlike a fitted
+    vocabulary the dictionary is a table: terms are counted with partial
+    aggregation and numbered by a range sort, so it is never on one machine.
+    """
+    once = word_grams(docs, key, text_col, longest).distinct()
+    found = once.groupBy("term").agg(F.count(F.lit(1)).alias("doc_count")).where(F.col("doc_count") >= min_docs)
+    return numbered(found, [F.desc("doc_count"), F.asc("term")]).select("term", "id", "doc_count")
+
+
+def ngram_counts(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text_col: str = "text",
+                 longest: int = 2) -> DataFrame:
+    """(key, id, count): each text's n-grams by their numbers; an n-gram that is not in the dictionary is left out.
+
+    A text's n-grams are counted before they meet the dictionary, which has one row a term.
+    """
+    counts = word_grams(docs, key, text_col, longest).groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
+    return counts.join(dictionary.select("term", "id"), "term").select(key, "id", "count")
+
+
 def max_abs_scaled_counts(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, term) count divided by the term's largest count in any document:
     the MaxAbsScaler of term-count vectors, as rows.

@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlens.session import shared_path
+
 
 def prefix_sums(df: DataFrame, order_col: str, cols: list[str], buckets: int | None = None,
                 accuracy: int = 10_000) -> DataFrame:
@@ -53,3 +55,24 @@ def prefix_sums(df: DataFrame, order_col: str, cols: list[str], buckets: int | N
         out = out.withColumn(f"{c}_before",
                              F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
     return out.drop("_v", "_b", *[f"_o_{c}" for c in cols])
+
+
+def numbered(df: DataFrame, order: list[Column], column: str = "id") -> DataFrame:
+    """``df`` with each row's number, from 0, in the order of ``order``.
+
+    The rows are range-sorted and written to the shared folder, so that a
+    partition is what it was when it is read again; a row's number is its place
+    in its partition and the rows of the partitions before it (one row a
+    partition).  ``order`` should tell all rows apart.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "numbered")
+    (df.repartitionByRange(*order).sortWithinPartitions(*order)
+     .withColumn("_at", F.monotonically_increasing_id()).write.parquet(path))
+    placed = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("_part").agg(F.count("*").alias("_n"))
+               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    inside = F.col("_at") - F.shiftleft("_part", 33)
+    return (placed.join(F.broadcast(offsets), "_part").withColumn(column, F.col("_before") + inside)
+            .select(*df.columns, column))

@@ -10,9 +10,7 @@ appends the group key ascending so ties cut deterministically.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens.schemas import (
@@ -120,6 +118,27 @@ def product_ranking(report: DataFrame, which: str, n: int = RANKING_SIZE) -> Dat
     return ranked(report, PRODUCT_RANKINGS[which], ["title", "brand"], n)
 
 
+def all_rankings(report: DataFrame, rankings: dict[str, Order], keys: list[str], n: int = RANKING_SIZE) -> DataFrame:
+    """The first n rows of every ranking, with ``ranking`` and ``place`` (from 1), from one pass over ``report``.
+
+    Each row stands once per ranking with its sort values (falling ones negated),
+    and a window per ranking keeps the first n; Spark keeps the first n of each
+    partition before the shuffle, so a ranking's group has at most n rows a task.
+    """
+    longest = max(len(order) for order in rankings.values())
+
+    def entry(name: str, order: Order) -> Column:
+        values = [(F.col(c) if up else -F.col(c)).cast("double") for c, up in order]
+        values += [F.lit(0.0)] * (longest - len(order))
+        return F.struct(F.lit(name).alias("ranking"), *[v.alias(f"by{i}") for i, v in enumerate(values)])
+
+    entries = F.array(*[entry(name, order) for name, order in rankings.items()])
+    rows = report.withColumn("_e", F.explode(entries))
+    first = Window.partitionBy("_e.ranking").orderBy(*[F.col(f"_e.by{i}") for i in range(longest)], *keys)
+    return (rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= n)
+            .select(F.col("_e.ranking").alias("ranking"), "place", *report.columns))
+
+
 def product_report(report: DataFrame, n: int = RANKING_SIZE) -> DataFrame:
     """Distinct union of the four top-n product lists (at most 4n rows).
 
@@ -127,8 +146,8 @@ def product_report(report: DataFrame, n: int = RANKING_SIZE) -> DataFrame:
     apart.  Rows of one key are equal (same aggregate), so keeping any is
     keeping the last.
     """
-    lists = [product_ranking(report, which, n) for which in PRODUCT_RANKINGS]
-    return reduce(DataFrame.unionByName, lists).dropDuplicates(["title", "brand"])
+    return (all_rankings(report, PRODUCT_RANKINGS, ["title", "brand"], n).drop("ranking", "place")
+            .dropDuplicates(["title", "brand"]))
 
 
 def product_key(title: str = "title", brand: str = "brand") -> Column:

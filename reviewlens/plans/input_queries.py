@@ -283,3 +283,20 @@ def _job_table(name):
 
 for _name in ("brand_sentiment_by_year", "category_demand", "brand_demand"):
     _job_table(_name)
+
+
+@query
+def date_shapes(spark, sf_dir):
+    """Dates written in a dozen shapes, each with a time of day that follows from the part's key."""
+    key = F.col("p_partkey")
+    day = F.date_add(F.lit("2013-01-01").cast("date"), (key % 365).cast("int"))
+    second = (key * 37 % 1440) * 60 + key % 60
+    # built from the calendar day and the seconds, without any zone
+    at = (day.cast("timestamp_ntz") + F.make_dt_interval(secs=(second + F.col("p_partkey") % 1000 / 1000).cast("decimal(18,6)")))
+    shapes = ["MMMM d, yyyy", "M/d/yyyy", "M/d/yyyy h:mm:ss a", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "EEEE, MMMM d, yyyy",
+              "EEEE, MMMM d, yyyy h:mm a", "yyyy-MM-dd'T'HH:mm:ss'+02:00'", "d MMMM yyyy HH:mm", "yyyy-MM-dd HH:mm:ss",
+              "M/d/yyyy h:mm a", "MMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"]
+    text = F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        text = F.when(key % len(shapes) == i, F.date_format(at, shape)).otherwise(text)
+    return table(spark, sf_dir, "part").select("p_partkey", date_to_epoch(text).alias("unixTime"))

@@ -63,6 +63,17 @@ def char_trigrams(spark, sf_dir):
     return FT.char_gram_counts(_docs(spark, sf_dir))
 
 
+@query
+def ngram_dictionary(spark, sf_dir):
+    return FT.ngram_dictionary(_docs(spark, sf_dir))
+
+
+@query
+def ngram_counts(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return FT.ngram_counts(docs, FT.ngram_dictionary(docs, min_docs=2))
+
+
 @query
 def max_abs_scaled_counts(spark, sf_dir):
     return FT.max_abs_scaled_counts(_docs(spark, sf_dir))

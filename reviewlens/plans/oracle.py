@@ -107,6 +107,10 @@ for _name, _order in PRODUCT_ORDERS.items():
 
 _UNION = " UNION ".join(
     f"(SELECT * FROM product_report ORDER BY {o} LIMIT 20)" for o in PRODUCT_ORDERS.values())
+ORACLE_SQL["product_rankings"] = over("product_report", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{n.removeprefix('products_')}' AS ranking, "
+    f"CAST(row_number() OVER (ORDER BY {o}) AS INTEGER) AS place, * FROM product_report) WHERE place <= 20"
+    for n, o in PRODUCT_ORDERS.items()))
 ORACLE_SQL["product_report"] = over("product_report", f"SELECT DISTINCT * FROM ({_UNION})")
 ORACLE_SQL["product_report_keyed"] = over(
     "product_report",
@@ -187,6 +191,13 @@ ORACLE_SQL["metadata_filter"] = f"""WITH {RAW_ITEMS}
 SELECT asin, title, brand, main_cat FROM raw WHERE {ITEM_FILTER}"""
 ORACLE_SQL["price_clean"] = f"WITH {RAW_ITEMS}\nSELECT asin, price AS price_text, {PRICE} AS price FROM raw"
 ORACLE_SQL["date_clean"] = f"WITH {RAW_ITEMS}\nSELECT asin, date AS date_text, {DATE} AS unixTime FROM raw"
+ORACLE_SQL["date_shapes"] = """
+WITH k AS (SELECT p_partkey, epoch(DATE '2013-01-01' + CAST(p_partkey % 365 AS INTEGER)) AS day,
+                  p_partkey * 37 % 1440 * 60 AS minutes, p_partkey % 60 AS seconds FROM part)
+SELECT p_partkey, CAST(day + CASE p_partkey % 12 WHEN 2 THEN minutes + seconds WHEN 3 THEN minutes + seconds
+  WHEN 5 THEN minutes WHEN 6 THEN minutes + seconds - 7200 WHEN 7 THEN minutes WHEN 8 THEN minutes + seconds
+  WHEN 9 THEN minutes WHEN 11 THEN minutes + seconds + p_partkey % 1000 / 1000 ELSE 0 END AS DOUBLE) AS unixTime
+FROM k"""
 ORACLE_SQL["rank_clean"] = f"WITH {RAW_ITEMS}\nSELECT asin, rank AS rank_text, {RANK} AS rank FROM raw"
 ORACLE_SQL["metadata_clean"] = f"""WITH {RAW_ITEMS}
 SELECT asin, title, brand, main_cat, cat0 || '|' || cat1 AS category, description, '' AS image, {PRICE} AS price, {DATE} AS unixTime, {RANK} AS rank
@@ -317,6 +328,13 @@ SELECT gram, COUNT(*) AS count FROM (
   SELECT unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS gram
   FROM (SELECT array_to_string(c, ' ') AS t FROM cln) WHERE length(t) >= 3)
 GROUP BY gram"""
+NGRAMS = """gr AS (SELECT doc_id, unnest(list_concat(c, list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1])))
+  AS term FROM cln),
+dict AS (SELECT term, row_number() OVER (ORDER BY COUNT(DISTINCT doc_id) DESC, term) - 1 AS id,
+  COUNT(DISTINCT doc_id) AS doc_count FROM gr GROUP BY term)"""
+ORACLE_SQL["ngram_dictionary"] = f"WITH {TOKENS},\n{CLEAN},\n{NGRAMS}\nSELECT term, id, doc_count FROM dict"
+ORACLE_SQL["ngram_counts"] = f"""WITH {TOKENS},\n{CLEAN},\n{NGRAMS}
+SELECT doc_id, id, COUNT(*) AS count FROM gr JOIN dict USING (term) WHERE doc_count >= 2 GROUP BY doc_id, id"""
 ORACLE_SQL["max_abs_scaled_counts"] = f"""WITH {TOKENS},\n{CLEAN},
 tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(c) AS term FROM cln) GROUP BY doc_id, term)
 SELECT doc_id, term, tf, tf / max(tf) OVER (PARTITION BY term) AS scaled FROM tf"""

@@ -99,6 +99,12 @@ def products_worst_sentiment(spark, sf_dir):
     return R.product_ranking(I.product_report_base(spark, sf_dir), "worst_sentiment")
 
 
+@query
+def product_rankings(spark, sf_dir):
+    """The four lists with their places, from one pass over the aggregate."""
+    return R.all_rankings(I.product_report_base(spark, sf_dir), R.PRODUCT_RANKINGS, ["title", "brand"])
+
+
 @query
 def product_report(spark, sf_dir):
     return R.product_report(I.product_report_base(spark, sf_dir))

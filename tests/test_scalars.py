@@ -104,3 +104,25 @@ def test_date_shapes(spark):
     day = 1380585600
     assert {k: got[k] - day for k in shapes} == shapes
     assert got["n/a"] == got[None] == got[""] == -1
+
+
+def test_date_grammar(spark):
+    shapes = {"10/1/2013 10:30:05 AM": 37805, "Tue, 01 Oct 2013 10:30:05 GMT": 37805, "Tuesday, October 1, 2013": 0,
+              "Tuesday, October 1, 2013 12:05 AM": 300, "Tuesday, October 1, 2013 12:05 PM": 43500,
+              "1-Oct-2013": 0, "OCTOBER 1st, 2013": 0, "Sept 30, 2013 24:00": None, "10.1.2013": 0, "2013-10-01T10:30:05.25Z": 37805.25,
+              "2013-10-01 10:30:05 -0130": 37805 + 5400, "10/1/2013 3 pm": 54000, "10/1/2013 13 pm": None, "10/1/2013 0:10 am": None,
+              "2013-10-01T10:30": 37800, "13/1/2013": None, "10/32/2013": None, "February 29, 2013": None, "Octob 1, 2013": None,
+              "10/1/13": None, "October 2013": None, "10/1/2013 10:61": None, "10/1/2013 10:30:60": None, "x 10/1/2013": None,
+              "10/1/2013 x": None, "\u0001": None, "2013": None}
+    df = spark.createDataFrame([(k,) for k in shapes], "d string")
+    got = {r.d: r.t for r in df.select("d", date_to_epoch("d").alias("t")).collect()}
+    assert {k: None if got[k] == -1 else got[k] - 1380585600 for k in shapes} == shapes
+    european = df.select(date_to_epoch(F.lit("13/1/2013"), "day first")).first()[0]
+    assert european == dt.datetime(2013, 1, 13, tzinfo=dt.timezone.utc).timestamp()
+
+
+def test_dates_of_a_century_read_back(spark):
+    df = spark.range(0, 36525, 7).select(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")).alias("day"))
+    for shape in ("EEEE, MMMM d, yyyy", "d MMM yyyy", "M/d/yyyy", "yyyy/MM/dd"):
+        bad = df.filter(date_to_epoch(F.date_format("day", shape)) != F.unix_date("day").cast("double") * 86400)
+        assert bad.count() == 0
