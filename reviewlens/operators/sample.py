@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reviewlens.functions.json_text import json_object
 from reviewlens.schemas import SAMPLE_LINES
 from reviewlens.sources.head import head_lines
 
@@ -19,7 +20,7 @@ from reviewlens.sources.head import head_lines
 def reserialize(lines: DataFrame, schema: T.StructType,
                 defaults: dict[str, object] | None = None) -> DataFrame:
     """Parse each line to ``schema`` (FAILFAST) and write it back as JSON with
-    every field present; ``defaults`` fill NULLs of non-nullable value types
+    every field present, escaped as the application's serializer escapes; ``defaults`` fill NULLs of non-nullable value types
     (a missing epoch time becomes 0)."""
     rec = F.from_json("value", schema, {"mode": "FAILFAST"})
     fields = []
@@ -27,8 +28,8 @@ def reserialize(lines: DataFrame, schema: T.StructType,
         c = rec[f.name]
         if defaults and f.name in defaults:
             c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
-        fields.append(c.alias(f.name))
-    return lines.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
+        fields.append((f.name, c, f.dataType))
+    return lines.select(json_object(fields).alias("value"))
 
 
 def dev_sample(spark: SparkSession, source: str | list[str], target: str | None = None,

@@ -162,10 +162,7 @@ def sample_first_lines(spark, sf_dir):
                           ("asin", "title", "brand", "main_cat", "price", "date", "rank")])
 
 
-@query
-def sample_reserialized(spark, sf_dir):
-    """First 1,000 review lines re-serialised to the declared fields (a
-    missing time becomes 0, a missing summary is written as null)."""
+def _reserialized(spark, sf_dir):
     raw = _raw_reviews(spark, sf_dir, with_position=True)
     raw = raw.withColumn("unixReviewTime", F.when(
         F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(MISSING_TIME_EVERY)) == 0,
@@ -174,8 +171,21 @@ def sample_reserialized(spark, sf_dir):
                                .sortWithinPartitions("l_orderkey", "l_linenumber")))
     path = shared_path(spark, "reviews-json")
     lines.write.text(path)
-    sample = dev_sample(spark, path, shared_path(spark, "review-sample"), n=SAMPLE_LINES, clean=True,
-                        schema=REVIEW_SAMPLE_SCHEMA, defaults={"unixReviewTime": 0})
+    return dev_sample(spark, path, shared_path(spark, "review-sample"), n=SAMPLE_LINES, clean=True,
+                      schema=REVIEW_SAMPLE_SCHEMA, defaults={"unixReviewTime": 0})
+
+
+@query
+def sample_reserialized_bytes(spark, sf_dir):
+    """The hash of each line of the re-serialised sample, byte for byte."""
+    return _reserialized(spark, sf_dir).select(F.sha2("value", 256).alias("line_sha256"))
+
+
+@query
+def sample_reserialized(spark, sf_dir):
+    """First 1,000 review lines re-serialised to the declared fields (a
+    missing time becomes 0, a missing summary is written as null)."""
+    sample = _reserialized(spark, sf_dir)
     rec = F.from_json("value", REVIEW_SAMPLE_SCHEMA)
     return sample.select(rec["reviewerID"].alias("reviewerID"), rec["asin"].alias("asin"),
                          rec["unixReviewTime"].alias("unixReviewTime"),

@@ -18,8 +18,10 @@ keys have been checked; rows with a NULL key are left out and counted.
 from __future__ import annotations
 
 import argparse
+import itertools
 import json
 import time
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -146,6 +148,14 @@ def report_lists(reports: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
+def report_slices(reports: dict[str, DataFrame]) -> Iterator[tuple[str, DataFrame]]:
+    """The demand of each category and of each brand by month, as the console shows them."""
+    for name, column, cut in (("category_demand", "main_cat", R.category_demand_for),
+                              ("brand_demand", "brand", R.brand_demand_for)):
+        for row in reports[name].select(column).distinct().orderBy(column).toLocalIterator():
+            yield f"{name} of {row[0]}", cut(reports[name], row[0])
+
+
 def inputs_from_files(spark: SparkSession, metadata: str, reviews: str, model_path: str):
     """(clean items, scored reviews) of the application's JSON files and a stored model."""
     items = clean_items(read_metadata(spark, metadata))
@@ -190,7 +200,8 @@ def main(argv: list[str] | None = None) -> None:
                          year_mode=args.year_mode, jdbc_url=args.jdbc_url,
                          jdbc_properties=dict(o.split("=", 1) for o in args.jdbc_option))
     if args.show:
-        for name, df in {**result["reports"], **report_lists(result["reports"])}.items():
+        shown = [*result["reports"].items(), *report_lists(result["reports"]).items()]
+        for name, df in itertools.chain(shown, report_slices(result["reports"])):
             print(name)
             df.show(truncate=False)
         check_keys(result["reports"]).show()

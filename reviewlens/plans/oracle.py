@@ -264,6 +264,23 @@ SELECT rid AS reviewerID, asin,
        CAST(NULL AS VARCHAR) AS summary, sha256(review_text) AS review_text_sha256
 FROM lines WHERE line_no <= 1000"""
 
+_JSON = """CASE WHEN {x} IS NULL THEN 'null' ELSE '"' || array_to_string(list_transform(range(1, length({x}) + 1),
+  lambda i: CASE WHEN regexp_full_match(substr({x}, i, 1), '[ !#$%()*,\\-./0-9:;=?@A-Z\\[\\]^_a-z{{|}}~]') THEN substr({x}, i, 1)
+    WHEN substr({x}, i, 1) = chr(92) THEN chr(92) || chr(92)
+    WHEN unicode(substr({x}, i, 1)) = 8 THEN '\\b' WHEN unicode(substr({x}, i, 1)) = 9 THEN '\\t'
+    WHEN unicode(substr({x}, i, 1)) = 10 THEN '\\n' WHEN unicode(substr({x}, i, 1)) = 12 THEN '\\f'
+    WHEN unicode(substr({x}, i, 1)) = 13 THEN '\\r'
+    WHEN unicode(substr({x}, i, 1)) < 65536 THEN '\\u' || printf('%04X', unicode(substr({x}, i, 1)))
+    ELSE '\\u' || printf('%04X', 55296 + ((unicode(substr({x}, i, 1)) - 65536) >> 10))
+      || '\\u' || printf('%04X', 56320 + ((unicode(substr({x}, i, 1)) - 65536) & 1023)) END), '') || '"' END"""
+ORACLE_SQL["sample_reserialized_bytes"] = ORACLE_SQL["sample_reserialized"].replace(
+    "lines AS (", "texts AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS n "
+    "FROM reviews) WHERE n <= 1000),\nlines AS (").replace("FROM reviews)\nSELECT", "FROM texts)\nSELECT").split(
+    "SELECT rid AS reviewerID")[0] + """SELECT sha256('{"reviewerID":' || """ + _JSON.format(x="rid") + """
+  || ',"asin":' || """ + _JSON.format(x="asin") + """ || ',"reviewText":' || """ + _JSON.format(x="review_text") + """
+  || ',"summary":null,"unixReviewTime":' || CASE WHEN (l_orderkey * 7 + l_linenumber) % 17 = 0 THEN 0 ELSE unix_time END
+  || '}') AS line_sha256 FROM lines"""
+ORACLE_SQL["category_sentiment_stored"] = ORACLE_SQL["category_sentiment"]
 ORACLE_SQL["report_replace"] = ORACLE_SQL["category_sentiment"]
 ORACLE_SQL["report_readback"] = ORACLE_SQL["top_brands_by_sentiment"]
 

@@ -80,6 +80,7 @@ def test_job_on_files_with_a_stored_model(spark, capsys):
     # reviews of a count twice each (a is listed twice), that of c once
     assert (out["counts"]["metadata_count"], out["counts"]["review_count"]) == (3, 5)
     assert out["null_keys"]["category_demand"] == 1 and "brands, most_popular" in printed
+    assert "category_demand of E" in printed and "category_demand of F" in printed
     from reviewlens.sinks.tables import read_table
     assert sorted(map(tuple, read_table(spark, f"{base}/out/category_sentiment").collect())) == [("E", 50.0, 8), ("F", 100.0, 1)]
     with pytest.raises(SystemExit):

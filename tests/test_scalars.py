@@ -126,3 +126,22 @@ def test_dates_of_a_century_read_back(spark):
     for shape in ("EEEE, MMMM d, yyyy", "d MMM yyyy", "M/d/yyyy", "yyyy/MM/dd"):
         bad = df.filter(date_to_epoch(F.date_format("day", shape)) != F.unix_date("day").cast("double") * 86400)
         assert bad.count() == 0
+
+
+def test_json_text(spark):
+    import json
+    from pyspark.sql import types as T
+    from reviewlens.functions.json_text import json_object, json_string
+    texts = ["", "plain text.", "a\"b", "<b>&'+`", "back\\slash /", "\b\t\n\f\r\x00\x1f\x7f", "é ü 日", "😀\U0010ffff\ue000", "end\n"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(json_string(F.col("t"))).collect()]
+    assert [json.loads(g) for g in got] == texts
+    assert got[1:5] == ['"plain text."', r'"a\u0022b"', r'"\u003Cb\u003E\u0026\u0027\u002B\u0060"', r'"back\\slash /"']
+    assert got[5] == r'"\b\t\n\f\r\u0000\u001F\u007F"' and got[7] == r'"\uD83D\uDE00\uDBFF\uDFFF\uE000"'
+    assert all(g.isascii() for g in got)
+    row = spark.createDataFrame([(None, 5, ["x<", None], True)], "s string, n bigint, a array<string>, b boolean")
+    kinds = {f.name: f.dataType for f in row.schema}
+    assert row.select(json_object([(c, F.col(c), kinds[c]) for c in row.columns])).first()[0] \
+        == '{"s":null,"n":5,"a":["x\\u003C",null],"b":true}'
+    assert row.select(json_object([])).first()[0] == "{}"
+    with pytest.raises(TypeError):
+        json_object([("d", F.lit(1.0), T.DoubleType())])
