@@ -71,6 +71,9 @@ def token_ids(vocab_path: str, text: str) -> np.ndarray:
         return vocabulary(vocab_path).encode([text])[0].astype(np.uint32)
 
 
+STRETCH = 1 << 16     # sequences that one row counts out
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens."""
     head = n % capacity
@@ -201,21 +204,26 @@ def pack(pieces_df: DataFrame, size_col: str = "length", keys: tuple[str, ...] =
         fresh = (chosen.filter(F.col("gap") == capacity)
                  .select(*kept, (F.col("gap_rank") + sequences).alias("sequence_id"), "offset"))
         placed = fresh
-        after = F.broadcast(_table(spark, [r for r in runs if r[3] > 0], "gap first last left"))
-        ids = (spark.range(sequences, sequences + opened)
-               .select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap"),
-                       (F.col("id") - sequences).alias("rank")))
+        left_over = [r for r in runs if r[3] > 0]
         if gaps is not None:
             placed = fresh.unionByName(
                 chosen.filter(F.col("gap") < capacity).select(*kept, "offset", "gap", "gap_rank")
                 .join(gaps.select("gap", F.col("rank").alias("gap_rank"), "sequence_id"), ["gap", "gap_rank"])
                 .select(*kept, "sequence_id", "offset"))
-            ids = ids.unionByName(gaps.select("sequence_id", "gap", "rank"))
         done.append(written(placed, "pack-placed"))
         if not left:
             break
-        gaps = written(ids.join(after, "gap").filter("rank >= first AND rank < last")
-                       .select("sequence_id", F.col("left").alias("gap")), "pack-gaps")
+        # what is left of new sequences: their ranges, counted out; of older gaps: met by size and rank
+        after = _table(spark, [r for r in left_over if r[0] == capacity], "gap first last left")
+        remain = (after.select("last", "left", F.explode(F.expr(f"sequence(first, last - 1, {STRETCH}L)")).alias("start"))
+                  .repartition("start", "left")
+                  .select("left", F.explode(F.expr(f"sequence(start, least(start + {STRETCH}L, last) - 1)")).alias("rank"))
+                  .select((F.col("rank") + sequences).alias("sequence_id"), F.col("left").alias("gap")))
+        if gaps is not None:
+            older = F.broadcast(_table(spark, [r for r in left_over if r[0] < capacity], "gap first last left"))
+            remain = remain.unionByName(gaps.join(older, "gap").filter("rank >= first AND rank < last")
+                                        .select("sequence_id", F.col("left").alias("gap")))
+        gaps = written(remain, "pack-gaps")
         sequences += opened
     out = done[0] if done else rows.select(*pieces_df.columns).withColumns(
         {"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
