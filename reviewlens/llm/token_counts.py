@@ -18,8 +18,14 @@ alone, so a retried or replayed batch changes nothing, and a batch that died
 before its commit is never read.  Should the log get an id twice, the row with
 the smallest number holds.  One writer at a time commits to a store.
 
-Scale: a batch is joined with the latest state of the documents that it
-touches; sums are partial aggregates by group, so a source that holds a third
+Snapshots: every ``SNAPSHOT_EVERY``-th commit also writes the latest row of each
+document that is live, and the totals, as a folder that stands for all batches
+so far; it is logged like a batch, under a name that no batch can have.  Readers
+start from the last snapshot, so what they read is bounded by the documents and
+the batches since, not by the history.  The ids of all batches stay in the log.
+
+Scale: a batch meets only the state rows of the documents that it touches (the
+others are left out before anything is grouped); sums are partial aggregates by group, so a source that holds a third
 of all rows is one row per task.  The list of batches is one small table.
 
 Defined cases: a NULL source, lang or tokenizer is a group of its own; a NULL
@@ -42,6 +48,8 @@ from .packing import token_ids
 
 GROUP = ("source", "lang", "tokenizer")
 OPS = ("insert", "revise", "delete")
+SNAPSHOT_EVERY = 16
+SNAPSHOT = "\u0000snapshot"        # followed by the number of the last batch in it
 _DOC = "doc_id bigint, source string, lang string, tokenizer string, tokens bigint"
 
 
@@ -79,8 +87,15 @@ class Rollup:
                 .groupBy("batch_id").agg(F.min(F.struct("number", "folder")).alias("r")))
         return {r["batch_id"]: (r["r"]["number"], r["r"]["folder"]) for r in rows.collect()}
 
+    def _folders(self) -> list[str]:
+        """The last snapshot and the batches since."""
+        log = self.log()
+        last, folder = max((r for name, r in log.items() if name.startswith(SNAPSHOT)), default=(-1, None))
+        since = [f for name, (n, f) in log.items() if n > last and not name.startswith(SNAPSHOT)]
+        return since if folder is None else [folder, *since]
+
     def _read(self, name: str, schema: str) -> DataFrame:
-        parts = [f"{folder}/{name}" for _, folder in self.log().values()]
+        parts = [f"{folder}/{name}" for folder in self._folders()]
         if not parts:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*parts)
@@ -91,14 +106,33 @@ class Rollup:
                 .agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
                 .filter("documents <> 0"))
 
-    def state(self) -> DataFrame:
-        """The latest row of every document that a batch touched; ``live`` is false once deleted."""
+    def state(self, touched: DataFrame | None = None) -> DataFrame:
+        """The latest row of every document (of those in ``touched``) that a batch touched;
+        ``live`` is false once deleted."""
         rows = self._read("state", self._STATE)
+        if touched is not None:
+            rows = rows.join(touched.select("doc_id"), "doc_id", "left_semi")
         last = F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "number").alias("r")
         return rows.groupBy("doc_id").agg(last).select("doc_id", "r.*")
 
+    def _log(self, number: int, name: str, folder: str) -> None:
+        (self.spark.createDataFrame([(number, name, folder)], self._LOG).coalesce(1)
+         .write.mode("append").parquet(f"{self.path}/log"))
+
+    def snapshot(self) -> None:
+        """Write what all committed batches come to, for readers to start from."""
+        numbers = [n for name, (n, _) in self.log().items() if not name.startswith(SNAPSHOT)]
+        if not numbers or f"{SNAPSHOT}{max(numbers)}" in self.log():
+            return
+        folder = f"{self.path}/snapshot-{uuid.uuid4().hex}"
+        self.state().filter("live").write.parquet(f"{folder}/state")
+        self.totals().write.parquet(f"{folder}/deltas")
+        self._log(max(numbers), f"{SNAPSHOT}{max(numbers)}", folder)
+
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Apply a batch; False if that batch id is committed already."""
+        if batch_id.startswith(SNAPSHOT):
+            raise ValueError("this id is a snapshot's")
         log = self.log()
         if batch_id in log:
             return False
@@ -106,10 +140,11 @@ class Rollup:
         number = 1 + max([n for n, _ in log.values()], default=-1)
         folder = f"{self.path}/batch-{uuid.uuid4().hex}"
         row = F.struct("seq", "op", *GROUP, F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("tokens"))
-        new = (changes.filter(F.col("op").isin(*OPS) & F.col("doc_id").isNotNull())
-               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(row).alias("r"))
-               .select("doc_id", "r.*"))
-        old = self.state().filter("live").select("doc_id", F.struct(*GROUP, "tokens").alias("old"))
+        (changes.filter(F.col("op").isin(*OPS) & F.col("doc_id").isNotNull())
+         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(row).alias("r"))
+         .select("doc_id", "r.*").write.parquet(f"{folder}/changes"))
+        new = self.spark.read.parquet(f"{folder}/changes")
+        old = self.state(new).filter("live").select("doc_id", F.struct(*GROUP, "tokens").alias("old"))
         live = F.col("op") != "delete"
         (new.join(old, "doc_id", "left").filter(live | F.col("old").isNotNull())
          .select("doc_id", *GROUP, "tokens", live.alias("live"), F.lit(number).cast("long").alias("number"), "old")
@@ -124,6 +159,7 @@ class Rollup:
         (applied.select(F.explode(F.filter(signed, lambda x: x.isNotNull())).alias("d")).select("d.*")
          .groupBy(*GROUP).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
          .write.parquet(f"{folder}/deltas"))
-        (self.spark.createDataFrame([(number, batch_id, folder)], self._LOG).coalesce(1)
-         .write.mode("append").parquet(f"{self.path}/log"))
+        self._log(number, batch_id, folder)
+        if (number + 1) % SNAPSHOT_EVERY == 0:
+            self.snapshot()
         return True

@@ -2,6 +2,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from llm_fixtures import vocab  # noqa: F401
 from reviewlens.llm import token_counts as T
@@ -26,7 +27,9 @@ def recount(state):
     return {g: (docs[g], tokens[g]) for g in docs}
 
 
-def test_random_batches(spark):
+@pytest.mark.parametrize("every", [2, 16])
+def test_random_batches(spark, monkeypatch, every):
+    monkeypatch.setattr(T, "SNAPSHOT_EVERY", every)
     rng = np.random.default_rng(0)
     store, state = T.Rollup(spark, shared_path(spark, "rollup-test")), {}
     for batch in range(4):
@@ -46,6 +49,22 @@ def test_random_batches(spark):
         assert totals(store) == recount(state)
 
 
+def test_readers_start_from_the_last_snapshot(spark, monkeypatch):
+    monkeypatch.setattr(T, "SNAPSHOT_EVERY", 3)
+    store = T.Rollup(spark, shared_path(spark, "rollup-test"))
+    for b in range(7):
+        assert store.commit(f"b{b}", frame(spark, [(b, "insert", 1, "a", "en", "v", 10), (b - 1, "delete", 1, "a", "en", "v", 0)]))
+        assert len(store._folders()) <= 3
+    assert totals(store) == {("a", "en", "v"): (1, 10)}
+    assert store.state().filter("live").count() == 1 and store.state().count() <= 2
+    assert not store.commit("b0", frame(spark, []))               # known though it is only in a snapshot
+    store.snapshot()
+    store.snapshot()
+    assert len(store._folders()) == 1 and totals(store) == {("a", "en", "v"): (1, 10)}
+    with pytest.raises(ValueError):
+        store.commit(T.SNAPSHOT, frame(spark, []))
+
+
 def test_odd_changes(spark):
     store = T.Rollup(spark, shared_path(spark, "rollup-test"))
     assert totals(store) == {}
