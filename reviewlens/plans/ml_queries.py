@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import threading
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reviewlens.operators import features as FT
@@ -161,13 +162,20 @@ def model_leaderboard(spark, sf_dir):
 
 @query
 def model_search_rungs(spark, sf_dir):
-    """The search's halving: how many candidates each rung kept out of the next one, and whether
-    its sample is about the share of the training rows that it should be."""
+    """The search's halving: whether each rung passed the better half on, with more rows, and the
+    last one had all training rows.  How many rungs there are depends on the rows."""
     board = trained(spark, sf_dir)[1]
-    share = F.col("rows") / board.agg(F.max("rows")).scalar()
-    return (board.groupBy("rung", "rows").agg(F.count("*").alias("candidates"))
-            .select("rung", "candidates", F.abs(share - F.pow(F.lit(2.0), F.col("rung") - 3)).alias("off"))
-            .select("rung", "candidates", (F.col("off") < 0.1).alias("share_ok")))
+    every = training_split(spark, sf_dir)[0].select(F.count(F.lit(1))).scalar()
+    rung = Window.orderBy("rung")                       # a row per rung
+    there = F.sum("n").over(rung.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rungs = (board.groupBy("rung", "rows").agg(F.count("*").alias("n"))
+             .select("rung", "rows", "n", there.alias("there"), F.lead("rows").over(rung).alias("next_rows")))
+    last = F.col("next_rows").isNull()
+    return rungs.agg(F.sum("n").alias("candidates"),
+                     F.bool_and(last | (F.col("there") - F.col("n") == F.ceil(F.col("there") / 2))).alias("halved"),
+                     F.bool_and(last | (F.col("next_rows") > F.col("rows"))).alias("rows_grow"),
+                     F.max("rows").alias("most")).select(
+        "candidates", "halved", "rows_grow", (F.col("most") == every).alias("last_has_all"))
 
 
 @query

@@ -430,8 +430,8 @@ _TRAINERS = ("LogisticRegression(regParam=0.001)", "LogisticRegression(regParam=
              "NaiveBayes(smoothing=1.0)", "NaiveBayes(smoothing=0.1)", "NaiveBayes(smoothing=0.01)")
 ORACLE_SQL["model_leaderboard"] = "SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{name}', TRUE, TRUE)" for i, name in enumerate(_TRAINERS)) + ") v(iteration, trainer, fitted, rates_ok)"
-ORACLE_SQL["model_search_rungs"] = ("SELECT * FROM (VALUES (1, 3::BIGINT, TRUE), (2, 2::BIGINT, TRUE), "
-                                    "(3, 2::BIGINT, TRUE)) v(rung, candidates, share_ok)")
+ORACLE_SQL["model_search_rungs"] = ("SELECT 7::BIGINT AS candidates, TRUE AS halved, TRUE AS rows_grow, "
+                                    "TRUE AS last_has_all")
 ORACLE_SQL["best_model"] = "SELECT TRUE AS is_best, TRUE AS rates_ok"
 ORACLE_SQL["final_metrics"] = "SELECT TRUE AS all_counted, TRUE AS rates_ok, TRUE AS beats_baseline"
 ORACLE_SQL["model_roundtrip"] = "SELECT doc_id, TRUE AS same FROM documents"
