@@ -37,19 +37,41 @@ def text_digest(name: str) -> Column:
 DROPPED_BROADCAST = 200_000       # (id, digest) pairs, 40 bytes each
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """The documents as one struct column ``doc``, so that no name of theirs meets another column."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
+def _digest_in(doc: str, text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(f"{doc}.`{text_col}`"), F.lit("")), 256))
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
+    """The distinct (id, digest) pairs, written and counted: few are broadcast, so no text is shuffled."""
+    held = written(pairs.distinct(), "dropped")
+    return F.broadcast(held) if held.count() <= DROPPED_BROADCAST else held
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` without the rows whose (id, digest) is in ``dropped``; all its columns, whatever their names.
+    """``docs`` without the rows whose (id, digest) is in ``dropped``; all its columns, whatever their names."""
+    same = F.col(f"doc.`{id_col}`").eqNullSafe(F.col("id")) & (_digest_in("doc", text_col) == F.col("digest"))
+    return _whole(docs).join(_counted(dropped), same, "left_anti").select("doc.*")
+
+
+def one_of_each(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row for each (id, digest) in ``repeated``: the least by a hash of the whole row.
 
-    The dropped pairs are counted: few are broadcast, so no text is shuffled.
+    Other rows pass through; only those repeated are grouped, with partial aggregation.
     """
-    gone = written(dropped.distinct(), "dropped")
-    if gone.count() <= DROPPED_BROADCAST:
-        gone = F.broadcast(gone)
-    # the document's columns are one struct, so that no name of theirs meets one of these
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    same = (F.col(f"doc.`{id_col}`").eqNullSafe(F.col("id"))
-            & (F.unhex(F.sha2(F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")), 256)) == F.col("digest")))
-    return rows.join(gone, same, "left_anti").select("doc.*")
+    if repeated.isEmpty():
+        return docs
+    pairs = _counted(repeated)
+    rows = _whole(docs)
+    same = F.col(f"doc.`{id_col}`").eqNullSafe(F.col("id")) & (_digest_in("doc", text_col) == F.col("digest"))
+    several = rows.join(pairs, same, "left_semi").groupBy(
+        F.col(f"doc.`{id_col}`").alias("id"), _digest_in("doc", text_col).alias("digest")).agg(
+        F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc"))
+    return rows.join(pairs, same, "left_anti").unionByName(several.select("doc")).select("doc.*")
 
 
 def require(df: DataFrame, *names: str) -> None:

@@ -16,8 +16,9 @@
 
 Defined cases: a NULL text counts as empty; a NULL id sorts below every id, so
 it is kept only if all ids of its group are NULL; rows that repeat the kept id
-are the kept document itself and are all marked ``kept``; an empty table gives
-an empty result; further columns are ignored, whatever their names.
+are the kept document itself and are all marked ``kept``, but the filter
+``drop_exact_copies`` lets one of them stay; an empty table gives an empty
+result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import require, text_or_empty, without, written
+from .common import one_of_each, require, text_or_empty, without, written
 
 HEAVY = 1024          # most winners broadcast (about 60 bytes each)
 TRACKED = 4096        # items that a sketch tracks
@@ -75,7 +76,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns, whatever their names."""
-    dropped = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(
-        F.col(id_col).alias("id"), F.unhex("text_sha256").alias("digest"))
-    return without(docs, dropped, id_col, text_col)
+    """The documents that stay, with all their columns, whatever their names.
+
+    One row of a group stays: of rows that repeat the kept id, too, the least by a hash of the whole row.
+    """
+    decided = written(exact_dedup(docs, id_col, text_col).select(
+        F.col(id_col).alias("id"), F.unhex("text_sha256").alias("digest"), "kept"), "exact-decided")
+    left = without(docs, decided.filter(~F.col("kept")).select("id", "digest"), id_col, text_col)
+    repeated = decided.filter("kept").groupBy("id", "digest").count().filter("count > 1").select("id", "digest")
+    return one_of_each(left, repeated, id_col, text_col)

@@ -3,6 +3,8 @@ import hashlib
 from collections import defaultdict
 
 from llm_fixtures import docs  # noqa: F401
+from pyspark.sql import functions as F
+
 from reviewlens.llm import exact_dedup as E
 
 
@@ -49,3 +51,15 @@ def test_kept_documents_have_all_columns(docs):
     kept = E.drop_exact_copies(docs([(1, "a"), (2, "a"), (3, None), (4, "b")]))
     assert kept.columns == ["doc_id", "text", "digest"]
     assert sorted(r[0] for r in kept.collect()) == [2, 3, 4]
+
+
+def test_a_file_read_twice_stays_once(docs, spark):
+    rows = [(1, "a"), (2, "b"), (2, "b2"), (None, "n"), (5, None)] + [(i, "hot") for i in range(10, 40)]
+    once = docs(rows).withColumn("at", F.lit(1))
+    twice = once.unionByName(once.withColumn("at", F.lit(2))).unionByName(once).repartition(5)
+    kept = E.drop_exact_copies(twice)
+    assert kept.columns == ["doc_id", "text", "digest", "at"]
+    got = kept.collect()
+    assert sorted((tuple(r)[:2] for r in got), key=str) == sorted([*rows[:5], (39, "hot")], key=str)
+    # the row that stays does not depend on how the rows are dealt
+    assert sorted(map(str, got)) == sorted(map(str, E.drop_exact_copies(twice.repartition(3)).collect()))
