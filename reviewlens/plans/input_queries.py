@@ -17,7 +17,7 @@ from reviewlens.schemas import (
 from reviewlens.session import shared_path
 from reviewlens.sinks.tables import key_check, read_table, replace_table
 from reviewlens.sources.derived import (
-    EMPTY_LINE_AT, EMPTY_LINE_EVERY, metadata_json_lines, review_json_lines, training_rows,
+    EMPTY_LINE_AT, EMPTY_LINE_EVERY, metadata_json_lines, review_json_lines, training_rows, write_lines,
 )
 from reviewlens.sources.files import read_metadata, read_reviews, read_training
 from reviewlens.sources.tables import (
@@ -133,7 +133,7 @@ def metadata_scan(spark, sf_dir):
 @query
 def review_scan(spark, sf_dir):
     path = shared_path(spark, "reviews-json")
-    review_json_lines(_raw_reviews(spark, sf_dir)).write.text(path)
+    write_lines(review_json_lines(_raw_reviews(spark, sf_dir)), path)
     df = read_reviews(spark, path)
     return df.select("reviewerID", "asin", "unixReviewTime",
                      F.sha2("reviewText", 256).alias("review_text_sha256"))
@@ -265,7 +265,7 @@ def report_job_from_json(spark, sf_dir):
     items -> read -> clean -> fact -> category report.  Texts of odd length count as positive."""
     from reviewlens.operators.cleanup import clean_reviews
     metadata, path = _metadata_file(spark, sf_dir), shared_path(spark, "reviews-json")
-    review_json_lines(_raw_reviews(spark, sf_dir)).write.text(path)
+    write_lines(review_json_lines(_raw_reviews(spark, sf_dir)), path)
     scored = clean_reviews(read_reviews(spark, path)).withColumn("sentiment", F.length("review_text") % 2)
     return R.category_sentiment(build_fact(clean_items(read_metadata(spark, metadata)), scored))
 

@@ -60,6 +60,13 @@ def review_json_lines(raw_reviews: DataFrame) -> DataFrame:
     return raw_reviews.select(obj.alias("value"))
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Write ``value`` as text files, compressed: every review carries its whole text, so plain lines take
+    many times the room of the tables they come from.  A file is one task for its reader."""
+    (lines.select("value").write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+     .text(path))
+
+
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Training text (one line per row) and its label spelled three ways."""
     text = F.trim(F.regexp_replace("text", r"\s+", " "))

@@ -1,6 +1,7 @@
 """Sources, samples and sinks on files written to the shared folder."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +208,17 @@ def test_first_lines_of_many_small_files(spark):
             assert got == want[:n], (budget, n)
     assert [x for x, _ in head.listed_files(spark, [base, base], page=2)] == [
         x for x, _ in head.listed_files(spark, [base], page=100)]
+
+
+def test_review_lines_are_written_compressed_and_read_back_whole(spark, tmp_path):
+    from reviewlens.sources.derived import review_json_lines, write_lines
+    from reviewlens.sources.files import read_reviews
+    text = "a \"quoted\" word, ünd ein Zeichen \t 🙂 " * 400
+    rows = [(str(i), "a", f"{i} {text}" if i % 7 else None, i) for i in range(300)]
+    raw = spark.createDataFrame(rows, "reviewerID string, asin string, reviewText string, unixReviewTime bigint")
+    path = str(tmp_path / "lines")
+    write_lines(review_json_lines(raw), path)
+    files = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert sum(os.path.getsize(os.path.join(path, f)) for f in files) * 4 < sum(len(r[2] or "") for r in rows)
+    read = read_reviews(spark, path).select("reviewerID", "asin", "reviewText", "unixReviewTime")
+    assert sorted(map(tuple, read.collect())) == sorted(rows)
