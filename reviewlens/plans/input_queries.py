@@ -17,7 +17,8 @@ from reviewlens.schemas import (
 from reviewlens.session import shared_path
 from reviewlens.sinks.tables import key_check, read_table, replace_table
 from reviewlens.sources.derived import (
-    EMPTY_LINE_AT, EMPTY_LINE_EVERY, metadata_json_lines, review_json_lines, training_rows, write_lines,
+    EMPTY_LINE_AT, EMPTY_LINE_EVERY, metadata_json_lines, review_json_lines, training_rows, write_head_first,
+    write_lines,
 )
 from reviewlens.sources.files import read_metadata, read_reviews, read_training
 from reviewlens.sources.tables import (
@@ -167,10 +168,8 @@ def _reserialized(spark, sf_dir):
     raw = raw.withColumn("unixReviewTime", F.when(
         F.pmod(F.col("l_orderkey") * 7 + F.col("l_linenumber"), F.lit(MISSING_TIME_EVERY)) == 0,
         F.lit(None).cast("bigint")).otherwise(F.col("unixReviewTime")))
-    lines = (review_json_lines(raw.repartitionByRange("l_orderkey", "l_linenumber")
-                               .sortWithinPartitions("l_orderkey", "l_linenumber")))
     path = shared_path(spark, "reviews-json")
-    lines.write.text(path)
+    write_head_first(raw, ["l_orderkey", "l_linenumber"], review_json_lines, path)
     return dev_sample(spark, path, shared_path(spark, "review-sample"), n=SAMPLE_LINES, clean=True,
                       schema=REVIEW_SAMPLE_SCHEMA, defaults={"unixReviewTime": 0})
 

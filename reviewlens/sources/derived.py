@@ -9,6 +9,8 @@ bare string instead of a list, and ``rank`` as a JSON list instead of text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from reviewlens.sources.tables import MALFORMED_LINE_EVERY
 CATEGORY_AS_TEXT_EVERY = 10      # key % 10 = 9: "category" is a JSON string
 EMPTY_LINE_EVERY = 100           # key % 100 = 42: the line is empty
 EMPTY_LINE_AT = 42
+HEAD_LINES = 50_000              # lines that a file set written head first has in order, at least
 LABEL_SPELLINGS = (("1", "0"), ("true", "false"), ("TRUE", "FALSE"))
 # ---------------------------------------------------------------------------
 
@@ -67,6 +70,24 @@ def write_lines(lines: DataFrame, path: str) -> None:
      .text(path))
 
 
+def write_head_first(rows: DataFrame, order: list[str], make_lines: Callable[[DataFrame], DataFrame], path: str,
+                     head: int = HEAD_LINES) -> None:
+    """Write the lines of all ``rows`` so that those of the ``head`` first rows by ``order`` come first, in order.
+
+    Only they are sorted with their texts: ordering all lines would move every review's text through
+    a shuffle.  Where the head ends is found on the ``order`` columns alone; rows equal to its last one
+    belong to it.  Behind the head lines come in any order.
+    """
+    last = rows.select(*order).orderBy(*order).limit(head).orderBy(*[F.desc(c) for c in order]).first()
+    inside = F.lit(False)
+    for c in reversed(order):                   # NULLs come first, as they are sorted
+        v = F.lit(last[c] if last else None)
+        inside = F.coalesce(F.col(c) < v, v.isNotNull() & F.col(c).isNull()) | (F.col(c).eqNullSafe(v) & (
+            inside if c != order[-1] else F.lit(True)))
+    write_lines(make_lines(rows.where(inside).orderBy(*order)), f"{path}/0-first")
+    write_lines(make_lines(rows.where(~inside)), f"{path}/1-further")
+
+
 def training_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Training text (one line per row) and its label spelled three ways."""
     text = F.trim(F.regexp_replace("text", r"\s+", " "))

@@ -222,3 +222,36 @@ def test_review_lines_are_written_compressed_and_read_back_whole(spark, tmp_path
     assert sum(os.path.getsize(os.path.join(path, f)) for f in files) * 4 < sum(len(r[2] or "") for r in rows)
     read = read_reviews(spark, path).select("reviewerID", "asin", "reviewText", "unixReviewTime")
     assert sorted(map(tuple, read.collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("head", [1, 100, 1000])
+def test_head_first_lines_are_whole_and_their_head_is_sorted(spark, tmp_path, head):
+    from reviewlens.sources.derived import write_head_first
+    from reviewlens.sources.head import head_lines
+    keys = [(k % 37 or None, k % 5) for k in range(500)] * 2             # repeated and missing keys
+    rows = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(keys)], "a bigint, b int, i int").repartition(7)
+    path = str(tmp_path / f"head-{head}")
+
+    def lines(df):
+        return df.select(F.concat_ws(",", F.coalesce("a", F.lit(0)), "b", "i").alias("value"))
+    write_head_first(rows, ["a", "b"], lines, path, head)
+    found = [tuple(map(int, r[0].split(","))) for r in head_lines(spark, path, 2000).collect()]
+    whole = [(a or 0, b, i) for i, (a, b) in enumerate(keys)]
+    assert sorted(found) == sorted(whole)
+    assert [f[:2] for f in found][:head] == sorted(w[:2] for w in whole)[:head]
+
+
+def test_ordering_the_sample_moves_no_text(spark, monkeypatch):
+    """No line of the sample's file set but those of its head passes through a range exchange."""
+    from conftest import SF_SMALL
+    from reviewlens.plans import input_queries
+    written = []
+    keep = input_queries.write_head_first
+
+    def seen(rows, order, make_lines, path, head=2000):
+        keep(rows, order, lambda df: written.append(df) or make_lines(df), path, head)
+    monkeypatch.setattr(input_queries, "write_head_first", seen)
+    assert input_queries.sample_reserialized(spark, SF_SMALL).count() == 1000
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in written]
+    assert "rangepartitioning" in plans[0] and "rangepartitioning" not in plans[1]
+    assert 2000 <= written[0].count() < 2100
