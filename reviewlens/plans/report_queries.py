@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from reviewlens.operators import reports as R
 from reviewlens.plans import inputs as I
 from reviewlens.plans.queries import query
-from reviewlens.plans.store import ReviewStore
+from reviewlens.plans.store import ReviewStore, buckets_for
 from reviewlens.sources.tables import table
 
 # A category slice needs one concrete value; this one exists at every scale.
@@ -26,9 +26,9 @@ def category_sentiment(spark, sf_dir):
 @query
 def category_sentiment_stored(spark, sf_dir):
     """The category report over the bucketed store, filled with two batches of reviews."""
-    store = ReviewStore(spark, f"reviews_{uuid.uuid4().hex[:8]}", buckets=8)
-    scored = I.scored(spark, sf_dir)
-    store.replace_items(I.items(spark, sf_dir))
+    items, scored = I.items(spark, sf_dir), I.scored(spark, sf_dir)
+    store = ReviewStore(spark, f"reviews_{uuid.uuid4().hex[:8]}", buckets=buckets_for(items, least=8))
+    store.replace_items(items)
     for half in (0, 1):
         store.add_reviews(scored.where(F.pmod(F.xxhash64("rid"), F.lit(2)) == half))
     return R.category_sentiment(store.fact())

@@ -13,6 +13,7 @@ the items.  ``compact`` merges the batches into one file a bucket.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,15 @@ from reviewlens.operators.fact import item_weights, join_fact, review_stats
 from reviewlens.session import shared_path
 
 BUCKETS = 64
+ITEMS_PER_BUCKET = 8192
 STATS_KEYS = ("asin", "year", "week_year", "month")
 
 
+def buckets_for(items: DataFrame, least: int = 1) -> int:
+    """How many buckets keep a bucket's items, and so the memory of its task, the same however many items there are."""
+    return max(least, math.ceil(items.count() / ITEMS_PER_BUCKET))
+
+
 class ReviewStore:
     def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS):
         self.spark, self.name, self.buckets = spark, name, buckets

@@ -38,3 +38,15 @@ def test_no_exchange_under_the_join(spark):
         assert "Exchange" in build_fact(items, scored)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_buckets_grow_with_the_items(spark, monkeypatch):
+    from reviewlens.plans import report_queries, store
+    made = []
+    monkeypatch.setattr(store, "ITEMS_PER_BUCKET", 10)
+    monkeypatch.setattr(report_queries, "ReviewStore", lambda *a, **k: made.append(ReviewStore(*a, **k)) or made[-1])
+    want = _rows(R.category_sentiment(I.fact(spark, SF_SMALL)))
+    assert _rows(report_queries.category_sentiment_stored(spark, SF_SMALL)) == want
+    items = I.items(spark, SF_SMALL).count()
+    assert made[0].buckets == -(-items // 10) > 8
+    assert store.buckets_for(I.items(spark, SF_SMALL).limit(3), least=8) == 8
