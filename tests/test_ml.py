@@ -285,3 +285,48 @@ def test_reviews_without_a_stored_text_stay(spark):
     texts = spark.createDataFrame([(1, "good"), (1, "good")], "unix_time bigint, text string")
     found = model_sentiment(reviews, model, distinct_key="unix_time", texts=texts).collect()
     assert sorted((r.unix_time, r.sentiment) for r in found) == [(1, 1), (2, None), (3, None)]
+
+
+GRAM_DOCS = [(1, "red fox red fox RED"), (2, "the fox"), (2, "fox jumps, fox"), (None, "red fox"), (None, "red"),
+             (3, None), (4, ""), (5, "the a of"), (6, "zürich red")]
+
+
+def _grams_of(rows):
+    from collections import Counter
+    stop = set(FT.english_stop_words())
+    words = [(k, [w for w in (t or "").lower().split() if w not in stop]) for k, t in rows]
+    uni, both = Counter(), Counter()
+    for k, ws in words:
+        uni.update((k, w) for w in ws)
+        both.update((k, t) for t in ws + [" ".join(p) for p in zip(ws, ws[1:])])
+    return uni, both
+
+
+def test_grams_are_counted_per_key_also_where_a_key_repeats(spark):
+    from collections import Counter
+    docs = spark.createDataFrame(GRAM_DOCS, "doc_id bigint, text string").repartition(3)
+    uni, both = _grams_of(GRAM_DOCS)
+    df = Counter(t for _, t in both)
+    dictionary = FT.ngram_dictionary(docs)
+    assert {(r.term, r.doc_count) for r in dictionary.collect()} == set(df.items())
+    ids = {r.term: r.id for r in dictionary.collect()}
+    assert sorted(ids.values()) == list(range(len(df)))
+    found = FT.ngram_counts(docs, dictionary).collect()
+    assert Counter({(r.doc_id, r.id): r["count"] for r in found}) == Counter({(k, ids[t]): n for (k, t), n in both.items()})
+    assert len(found) == len(both)
+    peak = Counter()
+    for (_, t), n in uni.items():
+        peak[t] = max(peak[t], n)
+    scaled = FT.max_abs_scaled_counts(docs).collect()
+    assert sorted(map(str, ((r.doc_id, r.term, r.tf, r.scaled) for r in scaled))) == sorted(
+        map(str, ((k, t, n, n / peak[t]) for (k, t), n in uni.items())))
+
+
+def test_the_terms_of_a_text_are_counted_without_a_shuffle(spark):
+    """Few rows leave the texts' own tasks: a term of the dictionary once a task, not once a text."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "'red fox jumps high' AS text").repartition(2)
+    plan = FT.ngram_dictionary(docs)
+    assert {(r.term, r.doc_count) for r in plan.collect()} == {
+        (t, 400) for t in ("red", "fox", "jumps", "high", "red fox", "fox jumps", "jumps high")}
+    text = FT.ngram_counts(docs, plan)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in text or "BroadcastHashJoin" in text
