@@ -330,3 +330,14 @@ def test_the_terms_of_a_text_are_counted_without_a_shuffle(spark):
         (t, 400) for t in ("red", "fox", "jumps", "high", "red fox", "fox jumps", "jumps high")}
     text = FT.ngram_counts(docs, plan)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in text or "BroadcastHashJoin" in text
+
+
+def test_features_are_made_once(spark, monkeypatch):
+    """The scaler is fitted on the features that are held, not on texts read and featurised again."""
+    from pyspark.ml.feature import MaxAbsScaler
+    held = []
+    fit = MaxAbsScaler.fit
+    monkeypatch.setattr(MaxAbsScaler, "fit", lambda self, df, *a: held.append((df.storageLevel.useMemory, df.columns)) or fit(self, df, *a))
+    rows = [(f"good {i} fine" if i % 2 else f"bad {i} poor", i % 2) for i in range(60)]
+    train_sentiment(spark.createDataFrame(rows, "text string, label int"), num_features=64)
+    assert held == [(True, ["_l2", "label", "_share"])]
