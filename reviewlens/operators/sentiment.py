@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel, NaiveBayesModel
-from pyspark.ml.feature import HashingTF, MaxAbsScalerModel
+from pyspark.ml.feature import MaxAbsScalerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.operators.features import TOKEN_PATTERN, char_gram_pattern, english_stop_words, whole_words
+from reviewlens.operators.features import BLOCKS, TOKEN_PATTERN, char_gram_pattern, english_stop_words, whole_words
 from reviewlens.operators.partitioning import spread
 
 
@@ -70,9 +70,8 @@ def linear_weights(model: PipelineModel) -> tuple[list[float], float, int]:
     else:
         raise ValueError(f"{type(last).__name__} has no weight per feature")
     largest = next(s for s in model.stages if isinstance(s, MaxAbsScalerModel)).maxAbs.toArray().copy()
-    sizes = {s.getNumFeatures() for s in model.stages if isinstance(s, HashingTF)}
     largest[largest == 0] = 1.0           # as the scaler has it
-    return (coefficients / largest).tolist(), intercept, sizes.pop()
+    return (coefficients / largest).tolist(), intercept, len(largest) // BLOCKS
 
 
 def margin_sql(text: str, weights: str, intercept: str, num_features: int) -> str:

@@ -341,3 +341,41 @@ def test_features_are_made_once(spark, monkeypatch):
     rows = [(f"good {i} fine" if i % 2 else f"bad {i} poor", i % 2) for i in range(60)]
     train_sentiment(spark.createDataFrame(rows, "text string, label int"), num_features=64)
     assert held == [(True, ["_l2", "label", "_share"])]
+
+
+def test_hashed_terms_equal_the_hashing_of_arrays(spark):
+    """Words, pairs and grams hashed over Arrow batches are those of HashingTF; no gram is an array's element."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, SQLTransformer, VectorAssembler
+    rnd = random.Random(8)
+    texts = ["", " ", None, "the a of", "a", "ab", "abc", "good  Good\tgood\nbad bad", "aren't it's", "x" * 3000,
+             "y" * 3000 + " " + "y" * 3000, "poor çé ünï 日本語 😀😀", "😀", "a😀b 😀😀😀c", "İstanbul ΣΑΣ ß", "nb\u00a0sp \x85z\x1f"]
+    texts += ["".join(rnd.choice("ab é日😀 \n") for _ in range(rnd.randrange(60))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    for n in (1 << 14, 7):
+        stages = FT.featurizer_stages("text", n)
+        got = Pipeline(stages=stages[:-2]).fit(docs).transform(docs)
+        assert "regexp_extract_all" not in got._jdf.queryExecution().toString()
+        blocks = [("_w", "_clean"), ("_b", "_pairs"), ("_c", "_chars")]
+        before = Pipeline(stages=[
+            SQLTransformer(statement="SELECT *, coalesce(text, '') AS _text FROM __THIS__"), FT.tokenizer("_text", "_words"),
+            FT.stop_words_remover("_words", "_clean"), FT.bigrams("_clean", "_pairs"),
+            SQLTransformer(statement="SELECT *, array_join(_clean, ' ') AS _joined FROM __THIS__"),
+            FT.char_gram_stage("_joined", "_chars"),
+            SQLTransformer(statement="SELECT doc_id, " + ", ".join(
+                f"transform({c}, t -> {FT.whole_words('t')}) AS {c}" for _, c in blocks) + " FROM __THIS__"),
+            *[HashingTF(inputCol=c, outputCol=t, numFeatures=n) for t, c in blocks],
+            VectorAssembler(inputCols=[t for t, _ in blocks], outputCol="_raw")]).fit(docs).transform(docs)
+        want = {r.doc_id: r._raw for r in before.select("doc_id", "_raw").collect()}
+        found = {r.doc_id: r._raw for r in got.select("doc_id", "_raw").collect()}
+        assert len(found) == len(texts) and found == want
+
+
+def test_texts_are_hashed_a_chunk_at_a_time(monkeypatch):
+    import pyarrow as pa
+    texts = pa.array(["red fox", "", None, "the red 😀 fox", "é" * 400, "fox", ""])
+    once = FT._term_vectors(texts, 64)
+    monkeypatch.setattr(FT, "CHUNK", 10)
+    assert FT._term_vectors(texts, 64).equals(once)
+    assert FT._term_vectors(texts.slice(2, 3), 64).to_pylist() == once.to_pylist()[2:5]
+    assert len(FT._term_vectors(texts.slice(0, 0), 64)) == 0
