@@ -92,11 +92,12 @@ def margin_sql(text: str, weights: str, intercept: str, num_features: int) -> st
     pairs = ("if(size(ws) > 1, transform(sequence(0, size(ws) - 2), i -> concat(ws[i], ' ', ws[i + 1])), "
              "cast(array() AS array<string>))")
     grams = f"regexp_extract_all(array_join(ws, ' '), '{char_gram_pattern()}', 1)"
-    found = f"array_sort(concat({features('ws', 0)}, {features(pairs, 1)}, {features(grams, 2)}))"
-    # of equal features in a row, n of them add n * n
-    squares = ("aggregate(fs, named_struct('f', -1, 'n', 0L, 's', 0L), (a, f) -> if(a.f = f, "
-               "named_struct('f', f, 'n', a.n + 1, 's', a.s + 2 * a.n + 1), "
-               "named_struct('f', f, 'n', 1L, 's', a.s + 1)), a -> a.s)")
+    # sort_array compares the numbers themselves, array_sort evaluates a comparison for each two of them
+    found = f"sort_array(concat({features('ws', 0)}, {features(pairs, 1)}, {features(grams, 2)}))"
+    # of equal features in a row, n of them add n * n: n is the distance of their end from the end before
+    ends = "filter(sequence(1, size(fs)), i -> NOT (get(fs, i) <=> fs[i - 1]))"
+    runs = bound("es", ends, "transform(es, (e, i) -> cast(e - if(i = 0, 0, es[i - 1]) AS bigint))")
+    squares = f"aggregate({runs}, 0L, (a, n) -> a + n * n)"
     product = f"aggregate(fs, 0D, (a, f) -> a + element_at({weights}, f + 1))"
     margin = f"if(size(fs) = 0, 0D, {product} / sqrt({squares})) + {intercept}"
     return bound("ws", words, bound("fs", found, margin))
