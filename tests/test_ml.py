@@ -379,3 +379,28 @@ def test_texts_are_hashed_a_chunk_at_a_time(monkeypatch):
     assert FT._term_vectors(texts, 64).equals(once)
     assert FT._term_vectors(texts.slice(2, 3), 64).to_pylist() == once.to_pylist()[2:5]
     assert len(FT._term_vectors(texts.slice(0, 0), 64)) == 0
+
+
+@pytest.mark.parametrize("name", ["model_roundtrip", "sentiment_sql_function"])
+def test_no_scored_documents_pass_through_the_driver(spark, tmp_path, monkeypatch, name):
+    """Two scorings of the documents meet by a shuffle, also where they are few enough to be broadcast."""
+    from pyspark.ml.classification import NaiveBayes
+    from reviewlens.plans import ml_queries as Q
+    rows = [(i, f"good fine n{i}" if i % 2 else f"bad poor n{i}") for i in range(60)]
+    rows += [(1, "bad poor"), (2, None), (None, "good"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    data = docs.where("doc_id < 60").selectExpr("coalesce(text, '') AS text", "CAST(doc_id % 2 AS int) AS label")
+    model, board = train_sentiment(data, data, candidates={"NB": lambda: NaiveBayes()}, num_features=1 << 8)
+    path = shared_path(spark, "model")
+    save_model(model, path)
+    monkeypatch.setattr(Q, "trained", lambda *_: (model, board, path))
+    found = getattr(Q, name)(spark, str(tmp_path))
+    got = [tuple(r) for r in found.collect()]
+    said = {(i, t): p for i, t, p in model.transform(docs).select("doc_id", "text", "prediction").collect()}
+    assert said[1, "good fine n1"] != said[1, "bad poor"]
+    # each row of a repeated key meets each other, a missing key meets none
+    assert sorted(got) == sorted((i, p == q) for (i, _), p in said.items() for (j, _), q in said.items()
+                                 if i is not None and i == j)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "isFinalPlan=true" in plan and "Broadcast" not in plan
