@@ -404,3 +404,27 @@ def test_no_scored_documents_pass_through_the_driver(spark, tmp_path, monkeypatc
                                  if i is not None and i == j)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "isFinalPlan=true" in plan and "Broadcast" not in plan
+
+
+def test_vectors_leave_a_worker_a_chunk_at_a_time(spark, monkeypatch):
+    """A batch of texts has several times as many bytes of features: no more than a chunk's are held at once."""
+    import pyarrow as pa
+    from pyspark.util import PythonEvalType
+    texts = pa.array(["red fox", "", None, "the red fox", "x" * 50, "fox", "", "y"])
+    monkeypatch.setattr(FT, "CHUNK", 16)
+    parts = list(FT._term_chunks(texts, 64))
+    assert [len(p) for p in parts] == [3, 1, 1, 3]
+    assert pa.concat_arrays(parts).equals(FT._term_vectors(texts, 64))
+    assert list(FT._term_chunks(texts.slice(0, 0), 64)) == []
+    # neither the input's batches nor the chunks are the rows' partitions: all rows, in their order
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(i, None if i % 9 == 0 else f"fox{i} " * (40000 if i % 10 == 0 else i)) for i in range(40)]
+        docs = spark.createDataFrame(rows, "i int, t string").repartition(2)
+        got = FT.HashedTerms(inputCol="t", outputCol="v", numFeatures=64).transform(docs)
+        assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in got._jdf.queryExecution().executedPlan().toString()
+        found = {r.i: r.v.toArray()[:64].sum() for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {i: len((t or "").split()) for i, t in rows}
