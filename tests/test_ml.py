@@ -428,3 +428,32 @@ def test_vectors_leave_a_worker_a_chunk_at_a_time(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found == {i: len((t or "").split()) for i, t in rows}
+
+
+@pytest.mark.parametrize("name", ["model_roundtrip", "sentiment_sql_function", "review_sentiment",
+                                  "category_sentiment_model"])
+def test_more_texts_are_more_tasks(spark, tmp_path, monkeypatch, name):
+    """What a task scores is bounded: texts of twice the size are dealt to twice the tasks."""
+    from pyspark.ml.classification import NaiveBayes
+    from reviewlens.operators import partitioning as P
+    from reviewlens.plans import inputs as I
+    from reviewlens.plans import ml_queries as Q
+    docs = spark.createDataFrame([(i, ("good fine" if i % 2 else "bad poor") + f" n{i:04}") for i in range(300)]
+                                 + [(300, None)], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    data = docs.where("text IS NOT NULL").selectExpr("text", "CAST(doc_id % 2 AS int) AS label")
+    model, board = train_sentiment(data, data, candidates={"NB": lambda: NaiveBayes()}, num_features=1 << 8)
+    path = shared_path(spark, "model")
+    save_model(model, path)
+    monkeypatch.setattr(Q, "trained", lambda *_: (model, board, path))
+    monkeypatch.setattr(I, "reviews", lambda *_: spark.range(301).selectExpr(
+        "CAST(id AS string) AS rid", "CAST(id % 3 AS string) AS asin", "id AS unix_time", "id AS doc_id"))
+    monkeypatch.setattr(I, "items", lambda *_: spark.range(3).selectExpr(
+        "CAST(id AS string) AS asin", "'t' AS title", "'b' AS brand", "'c' AS main_cat"))
+    size = sum(len(r.text or "") for r in docs.collect())
+    monkeypatch.setattr(P, "TEXT_BYTES", 100)
+    tasks = -(-size // 100)
+    assert P.text_partitions(docs) == tasks > 20
+    found = getattr(Q, name)(spark, str(tmp_path))
+    assert f"RoundRobinPartitioning({tasks})" in found._jdf.queryExecution().toString()
+    assert P.text_partitions(docs.limit(0)) == P.text_partitions(docs.limit(1)) == spark.sparkContext.defaultParallelism
