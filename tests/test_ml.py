@@ -457,3 +457,56 @@ def test_more_texts_are_more_tasks(spark, tmp_path, monkeypatch, name):
     found = getattr(Q, name)(spark, str(tmp_path))
     assert f"RoundRobinPartitioning({tasks})" in found._jdf.queryExecution().toString()
     assert P.text_partitions(docs.limit(0)) == P.text_partitions(docs.limit(1)) == spark.sparkContext.defaultParallelism
+
+
+def test_rows_that_do_not_fit_in_memory_are_fitted_one_candidate_at_a_time(spark, monkeypatch):
+    """Each fit holds the rows once more."""
+    import threading
+    from pyspark.ml.classification import NaiveBayes
+    from reviewlens.operators import model as M
+    going, most, lock = [], [], threading.Lock()
+
+    class Counting(NaiveBayes):
+        def fit(self, rows):
+            with lock:
+                going.append(1)
+                most.append(len(going))
+            try:
+                return super().fit(rows)
+            finally:
+                with lock:
+                    going.pop()
+    cands = {f"NB{i}": (lambda i=i: Counting(smoothing=10.0**-i)) for i in range(4)}
+    held, real = [], M._held_bytes
+    monkeypatch.setattr(M, "_held_bytes", lambda df: held.append(real(df)) or held[-1])
+    monkeypatch.setattr(M, "_storage_bytes", lambda _: 2 * held[0])
+    train_sentiment(_search_data(spark), candidates=cands, num_features=1 << 8, halving=False)
+    assert max(most) == 1 and len(most) == 4 and held[0] > 1000
+    monkeypatch.undo()
+    assert M._storage_bytes(spark) > 1 << 20
+
+
+def test_the_leaderboard_fits_every_candidate_on_all_rows(spark, tmp_path, monkeypatch):
+    """No candidate's metrics come from a sample of the texts, and the time that the first ones took leaves none out."""
+    from reviewlens.operators import model as M
+    from reviewlens.plans import ml_queries as Q
+    _search_data(spark, 200).selectExpr("monotonically_increasing_id() AS doc_id", "text", "label AS quality").write.parquet(
+        f"{tmp_path}/all.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/all.parquet")
+    rows.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    rows.select("doc_id", "quality").write.parquet(f"{tmp_path}/labels.parquet")
+
+    class Clock:
+        now = 0.0
+
+        @classmethod
+        def monotonic(cls):
+            cls.now += 1e6
+            return cls.now
+    monkeypatch.setattr(M, "time", Clock)
+    board = Q.trained(spark, str(tmp_path))[1].collect()
+    every = Q.training_split(spark, str(tmp_path))[0].count()
+    assert len(board) == len(M.default_candidates()) and 100 < every < 200
+    assert all((r.error, r.rows, r.rung) == (None, every, 1) and r.accuracy is not None for r in board)
+    found = Q.model_leaderboard(spark, str(tmp_path)).collect()
+    assert sorted(r.iteration for r in found) == list(range(7)) and all(r.fitted and r.rates_ok for r in found)
